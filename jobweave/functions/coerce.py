@@ -72,13 +72,13 @@ def to_day(c: Column | str) -> Column:
     """ISO calendar date from the first ten characters."""
     text = F.substring(strip(c), 1, 10)
     return F.when(
-        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd"))
-    ).when(text.rlike(r"^[0-9]{8}$"), F.try_to_date(text, F.lit("yyyyMMdd")))
+        text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd")
+    ).when(text.rlike(r"^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def to_short_day(c: Column | str) -> Column:
     """Dates written like ``24-Aug-12``; they are stored as text and parsed on demand."""
-    return F.try_to_date(strip(c), F.lit("d-MMM-yy"))
+    return F.try_to_date(strip(c), "d-MMM-yy")
 
 
 def split_list(c: Column | str, separator: str) -> Column:

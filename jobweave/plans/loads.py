@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.operators.reshape import wide_to_long
 from jobweave.operators.upsert import Merge, fixed_children, require_parents, upsert
 from jobweave.operators.validate import RowSpec, split_rows_once
 from jobweave.session import RunClock
@@ -318,19 +319,9 @@ def embedded_contacts(rows: DataFrame) -> DataFrame:
     The position inside the row extends the input order, so a person named
     twice keeps the later name.
     """
-    contacts = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_position"),
-                F.lit(role).alias("role_name"),
-                F.col(sid).alias("employee_sid"),
-                F.col(name).alias("employee_name"),
-            )
-            for i, (role, (sid, name)) in enumerate(EMBEDDED_CONTACTS.items())
-        ]
-    )
     kept = [SEQ, "app_id", "_loaded_at", "_run_id", "_loader", "_run_date"]
-    long = rows.select(*kept, F.inline(contacts)).filter(F.col("employee_sid").isNotNull())
+    names = ["employee_sid", "employee_name"]
+    long = wide_to_long(rows, kept, EMBEDDED_CONTACTS, names, "role_name")
     ordered = F.struct(F.col(SEQ).alias("row"), F.col("_position").alias("position"))
     return _membership_columns(long.withColumn(SEQ, ordered).drop("_position"))
 
