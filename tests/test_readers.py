@@ -50,11 +50,11 @@ def test_sources_are_interchangeable(spark, tmp_path):
 
 
 def test_jdbc_options():
-    plain = JdbcQuery("jdbc:x", "select 1 ;\n", user="u", password="p")
+    plain = JdbcQuery("jdbc:x", "select 1 ;\n", user="u", password="pw")
     assert plain.options() == {
-        "url": "jdbc:x", "fetchsize": "1000", "user": "u", "password": "p", "query": "select 1",
+        "url": "jdbc:x", "fetchsize": "1000", "user": "u", "password": "pw", "query": "select 1",
     }
-    assert "p" not in repr(plain).replace("jdbc", "").split("password")[0][-3:]
+    assert "pw" not in repr(plain)
     split = JdbcQuery("jdbc:x", "select 1", partition_column="id", lower_bound=0, upper_bound=9,
                       num_partitions=3).options()
     assert split["dbtable"] == "(select 1) source" and "query" not in split
