@@ -64,64 +64,85 @@ def _text(field: Field, raw: SparkColumn) -> SparkColumn:
     return coerce.blank_to_null(raw)
 
 
-def value_and_errors(field: Field, present: bool) -> tuple[SparkColumn, list[SparkColumn]]:
-    """The typed value of a field, and its rules; a rule is NULL when it holds."""
-    raw = F.col(field.name) if present else F.lit(None).cast("string")
-    label = field.name
+def field_value(field: Field, raw: SparkColumn) -> SparkColumn:
+    """The typed value of a field; NULL where the text cannot be read."""
+    if field.kind == "text":
+        return _text(field, raw)
+    if field.kind == "flag":
+        return coerce.to_flag(raw)
+    if field.kind == "role":
+        return canonical_role(raw)
+    return _PARSERS[field.kind][0](raw)
+
+
+def _given(field: Field, raw: SparkColumn) -> SparkColumn:
+    """Whether a typed cell counts as present.
+
+    Integers and dates read an empty cell as absent; other kinds reject it.
+    """
+    if field.kind in ("integer", "day"):
+        return F.coalesce(raw.cast("string") != "", F.lit(False))
+    return raw.isNotNull()
+
+
+def field_errors(field: Field, value: SparkColumn, raw: SparkColumn) -> list[SparkColumn]:
+    """The rules of a field over its computed value; a rule is NULL when it holds."""
 
     def rule(broken: SparkColumn, name: str) -> SparkColumn:
-        return F.when(broken, F.lit(f"{label}:{name}"))
+        return F.when(broken, F.lit(f"{field.name}:{name}"))
 
+    errors = []
     if field.kind == "text":
-        value = _text(field, raw)
-        errors = []
         if field.required:
             missing = F.coalesce(value, F.lit("")) == "" if field.nonempty else value.isNull()
             errors.append(rule(missing, "required"))
         if field.domain:
             errors.append(rule(value.isNotNull() & ~value.isin(*field.domain), "domain"))
-        return value, errors
+        return errors
     if field.kind == "flag":
-        return coerce.to_flag(raw), []
+        return errors
     if field.kind == "role":
-        value = canonical_role(raw)
-        return value, [rule(value.isNull(), "domain")]
-
-    parse, type_rule, spark_type = _PARSERS[field.kind]
-    value = parse(raw)
-    given = raw.isNotNull()
-    if field.kind in ("integer", "day"):
-        # Only these kinds read an empty cell as absent; other kinds reject it.
-        given = given & (raw.cast("string") != "")
-    errors = []
+        return [rule(value.isNull(), "domain")]
+    given = _given(field, raw)
     if field.required:
-        errors.append(rule(~F.coalesce(given, F.lit(False)), "required"))
-    errors.append(rule(F.coalesce(given, F.lit(False)) & value.isNull(), type_rule))
+        errors.append(rule(~given, "required"))
+    errors.append(rule(given & value.isNull(), _PARSERS[field.kind][1]))
     if field.low is not None:
         errors.append(rule(value < F.lit(field.low), "range"))
     if field.high is not None:
         errors.append(rule(value > F.lit(field.high), "range"))
-    if field.default is not None:
-        value = F.when(given, value).otherwise(F.lit(field.default).cast(spark_type))
-    return value, errors
+    return errors
 
 
 def check_rows(df: DataFrame, spec: RowSpec, seq: str = SEQ) -> DataFrame:
     """Typed columns plus ``_errors`` (empty when accepted) and the raw row.
 
     Columns the spec does not know are dropped from the typed row; columns the
-    source lacks are NULL.
+    source lacks are NULL. Values are one projection and rules the next, so a
+    cell is parsed once however many rules look at it.
     """
-    known = set(df.columns)
-    pairs = [(f, *value_and_errors(f, f.name in known)) for f in spec.fields]
-    rules = [error for _, _, errors in pairs for error in errors]
+    raw_names = [c for c in df.columns if c != seq]
+
+    def cell(field: Field) -> SparkColumn:
+        known = field.name in df.columns
+        return F.col(f"_raw.{field.name}") if known else F.lit(None).cast("string")
+
+    packed = df.select(F.col(seq), F.struct(*raw_names).alias("_raw"))
+    typed = packed.select(
+        seq, "_raw", *[field_value(f, cell(f)).alias(f.name) for f in spec.fields]
+    )
+    rules = [r for f in spec.fields for r in field_errors(f, F.col(f.name), cell(f))]
     errors = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<string>")
-    raw = [c for c in df.columns if c != seq]
-    return df.select(
-        F.col(seq),
-        *[value.alias(f.name) for f, value, _ in pairs],
-        errors.alias("_errors"),
-        F.struct(*raw).alias("_raw"),
+
+    def final(field: Field) -> SparkColumn:
+        value = F.col(field.name)
+        if field.default is None:
+            return value
+        default = F.lit(field.default).cast(_PARSERS[field.kind][2])
+        return F.when(_given(field, cell(field)), value).otherwise(default).alias(field.name)
+
+    return typed.select(
+        F.col(seq), *[final(f) for f in spec.fields], errors.alias("_errors"), "_raw"
     )
 
 
@@ -140,9 +161,13 @@ class Checked:
 
 
 def split_rows(df: DataFrame, spec: RowSpec, seq: str = SEQ) -> Checked:
-    """Accepted and rejected rows as two filters over one lazy plan."""
-    checked = check_rows(df, spec, seq)
-    passed = F.size("_errors") == 0
+    """Accepted and rejected rows as two filters over one lazy plan.
+
+    The task number keeps the optimizer from moving the filter below the
+    parsing, where every cell would be parsed a second time.
+    """
+    checked = check_rows(df, spec, seq).withColumn("_task", F.spark_partition_id())
+    passed = (F.size("_errors") == 0) & (F.col("_task") >= 0)
     accepted = checked.filter(passed).select(seq, *spec.names)
     if spec.enrich:
         accepted = spec.enrich(accepted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from jobweave.operators import closure, history, quality
 from jobweave.operators.upsert import Merge, rename_keys, upsert
 from jobweave.plans.loads import DEPENDENCIES, LOADS, run_load
 from jobweave.session import RunClock
-from jobweave.sinks.runs import LoadSummary
+from jobweave.sinks.runs import RUN_TABLE, LoadSummary, RunLog
 from jobweave.sinks.tables import TableSet
+from jobweave.sinks.together import run_together
 from jobweave.sources import specs, vocabulary
-from jobweave.sources.files import stage
+from jobweave.sources.files import path_exists, stage
 from jobweave.sources.readers import Source, with_sequence
 
 REFERENCE_STAGES = (
@@ -63,25 +65,23 @@ def bootstrap(
 ) -> None:
     """Seed vocabularies, then the local supplements, then the role names. Safe to re-run."""
     spark = tables.spark
-    _merge_static(tables, "ontology_term", vocabulary.published_terms(spark), ["iri"])
-    _merge_static(tables, "role", _plain_roles(spark), ["name"])
-    _merge_static(tables, "scheduler_kind", vocabulary.scheduler_kinds(spark), ["name"])
-    _merge_static(tables, "company", vocabulary.company(spark), ["name"])
-    _merge_static(tables, "business_segment", vocabulary.business_segments(spark), ["code"])
+    current = vocabulary.segment_memberships(spark)
+    former = vocabulary.segment_memberships(spark, historical=True)
     ends = ["company", "segment_code"]
-    _add_missing(tables, "has_business_segment", vocabulary.segment_memberships(spark), ends)
-    _add_missing(
-        tables,
-        "has_business_segment_historical",
-        vocabulary.segment_memberships(spark, historical=True),
-        ends,
-    )
-    _merge_static(tables, "dq_dimension", vocabulary.quality_dimensions(spark), ["name"])
-    _merge_static(tables, "dq_metric", vocabulary.quality_metrics(spark), ["name"])
-    _add_missing(
-        tables, "in_dimension", vocabulary.metric_dimensions(spark), ["metric", "dimension"]
-    )
-    _merge_static(tables, "agent", vocabulary.loader_agent(spark), ["id"])
+    seeds = [
+        (_merge_static, "ontology_term", vocabulary.published_terms(spark), ["iri"]),
+        (_merge_static, "role", _plain_roles(spark), ["name"]),
+        (_merge_static, "scheduler_kind", vocabulary.scheduler_kinds(spark), ["name"]),
+        (_merge_static, "company", vocabulary.company(spark), ["name"]),
+        (_merge_static, "business_segment", vocabulary.business_segments(spark), ["code"]),
+        (_add_missing, "has_business_segment", current, ends),
+        (_add_missing, "has_business_segment_historical", former, ends),
+        (_merge_static, "dq_dimension", vocabulary.quality_dimensions(spark), ["name"]),
+        (_merge_static, "dq_metric", vocabulary.quality_metrics(spark), ["name"]),
+        (_add_missing, "in_dimension", vocabulary.metric_dimensions(spark), ["metric", "dimension"]),
+        (_merge_static, "agent", vocabulary.loader_agent(spark), ["id"]),
+    ]
+    run_together(spark, [partial(merge, tables, *rest) for merge, *rest in seeds])
     for name in supplements:
         apply_supplement(tables, name, namespace)
     if update_role_names:
@@ -351,6 +351,8 @@ def verify_keys(tables: TableSet) -> DataFrame:
         for table, columns in vocabulary.DECLARED_KEYS.values()
         if tables.exists(table)
     }
+    if path_exists(tables.spark, RunLog(tables).path):
+        present[RUN_TABLE] = RunLog(tables).runs()
     return quality.check_declared_keys(present, vocabulary.DECLARED_KEYS)
 
 

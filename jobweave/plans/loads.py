@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from jobweave.operators.validate import RowSpec, split_rows_once
 from jobweave.session import RunClock
 from jobweave.sinks.runs import LoadSummary, RunLog
 from jobweave.sinks.tables import TableSet
+from jobweave.sinks.together import run_together
 from jobweave.sources import specs
 from jobweave.sources.files import StagedFolder
 from jobweave.sources.readers import SEQ
@@ -88,13 +90,19 @@ class Load:
         return f"{self.spec.name}.{self.version}"
 
 
+def _apply(write: Write, rows: DataFrame, tables: TableSet) -> None:
+    batch = write.batch(rows, tables)
+    tables.write(write.table, upsert(tables.read_or_none(write.table), batch, write.merge()))
+
+
 def run_load(
     load: Load, source: DataFrame, tables: TableSet, clock: RunClock, source_label: str | None = None
 ) -> LoadSummary:
     """Check, match, merge and log one source; rejected and unmatched rows are kept.
 
-    A bad row never fails the run. Any other error marks the run FAILED and is
-    raised again.
+    The writes of one load touch different tables, so they run together. A bad
+    row never fails the run. Any other error marks the run FAILED and is raised
+    again.
     """
     log = RunLog(tables)
     label = source_label or load.source_label
@@ -139,11 +147,9 @@ def run_load(
                         F.to_json(F.struct(*load.spec.names)).alias("row"),
                     ),
                 )
-        for write in load.writes:
-            batch = write.batch(matched, tables)
-            tables.write(
-                write.table, upsert(tables.read_or_none(write.table), batch, write.merge())
-            )
+        run_together(
+            tables.spark, [partial(_apply, write, matched, tables) for write in load.writes]
+        )
     except Exception:
         log.close(summary, "FAILED")
         raise

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.operators.upsert import Merge, upsert
+from jobweave.operators.upsert import Merge, collapse
 from jobweave.session import RunClock, _utc_now
 from jobweave.sinks.tables import TableSet
 from jobweave.sources.readers import literal_table
@@ -44,48 +45,51 @@ class LoadSummary:
 
 
 class RunLog:
-    """Opens a run before a load and closes it with counts and a status."""
+    """Opens a run before a load and closes it with counts and a status.
+
+    Each step appends one row; nothing is rewritten, so loads running at the
+    same time do not disturb each other's log.
+    """
 
     def __init__(self, tables: TableSet) -> None:
-        self.tables = tables
         self.spark = tables.spark
-
-    def _merge(self, row: tuple, merge: Merge) -> None:
-        batch = literal_table(self.spark, [row], _SCHEMA).withColumn("_seq", F.lit(0))
-        self.tables.write(RUN_TABLE, upsert(self.tables.read_or_none(RUN_TABLE), batch, merge))
+        self.path = f"{tables.root}/{RUN_TABLE}/steps"
+
+    def _append(self, row: tuple) -> None:
+        literal_table(self.spark, [row], _SCHEMA).write.mode("append").parquet(self.path)
+
+    def runs(self) -> DataFrame:
+        """One row per run: how it was opened, and its latest status and counts."""
+        steps = self.spark.read.schema(_SCHEMA).parquet(self.path)
+        closing = F.col("completed_at").isNotNull()
+        merge = Merge(
+            keys=("run_id",),
+            set_columns=("status",),
+            keep_old=(
+                "kind", "loader", "source", "started_at", "completed_at", "rows_processed",
+                "rows_rejected",
+            ),
+        )
+        return collapse(steps.withColumn("_seq", closing), merge).select(*steps.columns)
 
     def open(self, clock: RunClock, loader: str, source: str) -> LoadSummary:
         started = _as_datetime(clock.loaded_at)
-        self._merge(
-            (clock.run_id, "load", loader, source, started, "STARTED", None, None, None),
-            Merge(
-                keys=("run_id",),
-                create_only=(
-                    "kind", "loader", "source", "started_at", "status", "completed_at",
-                    "rows_processed", "rows_rejected",
-                ),
-            ),
+        self._append(
+            (clock.run_id, "load", loader, source, started, "STARTED", None, None, None)
         )
         return LoadSummary(loader, clock.run_id, clock.loaded_at)
 
     def close(self, summary: LoadSummary, status: str) -> LoadSummary:
         summary.status = status
         summary.completed_at = _utc_now()
-        self._merge(
+        self._append(
             (
                 summary.run_id, None, None, None, None, status,
-                _as_datetime(summary.completed_at),
-                summary.rows_processed, summary.rows_rejected,
-            ),
-            Merge(
-                keys=("run_id",),
-                set_columns=("status", "completed_at", "rows_processed", "rows_rejected"),
-            ),
+                _as_datetime(summary.completed_at), summary.rows_processed, summary.rows_rejected,
+            )
         )
         return summary
 
 
-def _as_datetime(text: str):
-    from datetime import datetime, timezone
-
+def _as_datetime(text: str) -> datetime:
     return datetime.strptime(text, "%Y-%m-%d %H:%M:%S").replace(tzinfo=timezone.utc)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from jobweave.sources.files import child_names, path_exists
 
@@ -22,6 +23,8 @@ class TableSet:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        # Schemas of versions written here, so reading them back infers nothing.
+        self._schemas: dict[str, StructType] = {}
 
     def _versions(self, name: str) -> list[int]:
         found = (_VERSION.match(child) for child in child_names(self.spark, f"{self.root}/{name}"))
@@ -46,17 +49,27 @@ class TableSet:
         version = self.current_version(name)
         if version is None:
             raise FileNotFoundError(f"no table {name!r} under {self.root}")
-        return self.spark.read.parquet(self._folder(name, version))
+        return self._scan(self._folder(name, version))
+
+    def _scan(self, folder: str) -> DataFrame:
+        reader = self.spark.read
+        if folder in self._schemas:
+            reader = reader.schema(self._schemas[folder])
+        return reader.parquet(folder)
 
     def read_or_none(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next version and return it as the new current table."""
+        """Write the next version and return it as the new current table.
+
+        Two writers of one version cannot both succeed: the second fails.
+        """
         version = max(self._versions(name), default=0) + 1
         folder = self._folder(name, version)
         df.write.parquet(folder)
-        return self.spark.read.parquet(folder)
+        self._schemas[folder] = df.schema
+        return self._scan(folder)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """The current rows plus new ones, as the next version."""
