@@ -10,7 +10,7 @@ name is split by adaptive skew handling, since nothing but a write follows it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -164,15 +164,21 @@ def _extended(front: DataFrame, steps: DataFrame, guard: str) -> DataFrame:
 
 
 def _walk_stepwise(
-    anchor: DataFrame, direct: DataFrame, folder: StagedFolder, max_level: int, guard: str
+    anchor: DataFrame,
+    steps_from: Callable[[DataFrame], DataFrame],
+    folder: StagedFolder,
+    max_level: int,
+    guard: str,
 ) -> DataFrame:
-    """Guarded paths from ``anchor`` rows, one hop per step."""
-    one = F.lit(1)
+    """Guarded paths from ``anchor`` rows, one hop per step.
+
+    ``steps_from`` gives the direct dependencies of the jobs a frontier ends at.
+    """
     frontier, count = folder.write(anchor, "paths/recursion_level=1")
-    steps = direct.withColumn("recursion_level", one)
     level = 1
     while count and level < max_level:
         front = frontier.withColumn("recursion_level", F.lit(level))
+        steps = steps_from(frontier).withColumn("recursion_level", F.lit(1))
         level += 1
         frontier, count = folder.write(
             _extended(front, steps, guard).drop("recursion_level"),
@@ -244,16 +250,18 @@ def dependency_paths(
         return _report(_walk_doubling(direct, folder, max_level, guard))
     consumes, _ = folder.write(consumes, "consumes")
     produces, _ = folder.write(produces, "produces")
-    chosen = anchored(consumes, anchor_folders, anchor_like)
-    return _report(
-        _walk_stepwise(
-            direct_dependencies(chosen, produces, match_cyclic),
-            direct_dependencies(consumes, produces, match_cyclic),
-            folder,
-            max_level,
-            guard,
+
+    def steps_from(frontier: DataFrame) -> DataFrame:
+        # Only consumers the walk stands at meet the producers.
+        reached = frontier.select(F.col("dependent_job").alias("job")).distinct()
+        return direct_dependencies(
+            consumes.join(reached, "job", "left_semi"), produces, match_cyclic
         )
+
+    start = direct_dependencies(
+        anchored(consumes, anchor_folders, anchor_like), produces, match_cyclic
     )
+    return _report(_walk_stepwise(start, steps_from, folder, max_level, guard))
 
 
 def shortest_edges(paths: DataFrame) -> DataFrame:
@@ -348,7 +356,7 @@ def dependency_edges(
     )
     guarded, _ = folder.write(guarded, "guarded")
     paths = _walk_stepwise(
-        direct.join(guarded, list(start), "left_semi"), direct, folder, max_level, guard
+        direct.join(guarded, list(start), "left_semi"), lambda _: direct, folder, max_level, guard
     ).withColumn("dependency_path", _path())
     free = walked.join(guarded, list(start), "left_anti")
     return shortest_edges(free.select(*chosen).unionByName(paths.select(*chosen)))

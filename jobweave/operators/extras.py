@@ -62,7 +62,7 @@ def support_teams(
 
 def missing_role(entities: DataFrame, memberships: DataFrame, key: str, role: str) -> DataFrame:
     """Entities nobody holds the role for."""
-    held = memberships.filter(F.col("role_name") == role).select(key)
+    held = memberships.filter(F.col("role_name") == role).select(key).distinct()
     return entities.select(key).join(held, key, "left_anti")
 
 
@@ -70,7 +70,8 @@ def holder_not_among(
     left: DataFrame, right: DataFrame, key: str, person: str
 ) -> DataFrame:
     """Holders on the left who do not appear on the right for the same entity."""
-    return left.select(key, person).distinct().join(right.select(key, person), [key, person], "left_anti")
+    other = right.select(key, person).distinct()
+    return left.select(key, person).distinct().join(other, [key, person], "left_anti")
 
 
 def differs_from_all(

@@ -27,10 +27,16 @@ def every_row_linked(
     rows: DataFrame, links: DataFrame, on: Sequence[str], name: str,
     labels: tuple[str, str] = ("rows", "linked"),
 ) -> DataFrame:
-    """Every row has at least one link."""
-    marked = links.select(*on, F.lit(1).alias("_linked"))
-    counted = rows.select(*on).join(marked, list(on), "left").agg(
-        F.count(F.lit(1)).alias("_rows"), F.count("_linked").alias("_links")
+    """Every row has at least one link.
+
+    Counts the rows of the optional match (a row with several links counts for
+    each), from links reduced to a count per key.
+    """
+    per_key = links.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    found = F.coalesce("_n", F.lit(0))
+    counted = rows.select(*on).join(per_key, list(on), "left").agg(
+        F.coalesce(F.sum(F.greatest(found, F.lit(1))), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum(found), F.lit(0)).alias("_links"),
     )
     ok = F.col("_rows") == F.col("_links")
     return _result(counted, name, ok, **{labels[0]: "_rows", labels[1]: "_links"})

@@ -40,9 +40,9 @@ def collapse(batch: DataFrame, merge: Merge, seq: str = SEQ) -> DataFrame:
     order = F.col(seq)
     wanted: list[Column] = []
     if merge.create_only:
-        wanted.append(F.min_by(F.struct(*merge.create_only), order).alias("_first"))
+        wanted.append(F.min_by(_row(merge.create_only), order).alias("_first"))
     if merge.set_columns:
-        wanted.append(F.max_by(F.struct(*merge.set_columns), order).alias("_last"))
+        wanted.append(F.max_by(_row(merge.set_columns), order).alias("_last"))
     for name in merge.keep_old:
         wanted.append(F.max_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name))
     if not wanted:
@@ -50,12 +50,23 @@ def collapse(batch: DataFrame, merge: Merge, seq: str = SEQ) -> DataFrame:
     grouped = batch.groupBy(*merge.keys).agg(*wanted)
     return grouped.select(
         *merge.keys,
-        *[F.col(f"_first.{c}").alias(c) for c in merge.create_only],
-        *[F.col(f"_last.{c}").alias(c) for c in merge.set_columns],
+        *_unpacked("_first", merge.create_only),
+        *_unpacked("_last", merge.set_columns),
         *merge.keep_old,
     )
 
 
+def _row(columns: Sequence[str]) -> Column:
+    """Several columns travel as one row; a single one stays plain, which can hash-aggregate."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+
+
+def _unpacked(packed: str, columns: Sequence[str]) -> list[Column]:
+    if len(columns) == 1:
+        return [F.col(packed).alias(columns[0])]
+    return [F.col(f"{packed}.{c}").alias(c) for c in columns]
+
+
 def upsert(
     target: DataFrame | None,
     batch: DataFrame,
@@ -106,9 +117,10 @@ def require_parents(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows whose parent exists, and the rows a merge would have dropped.
 
-    ``on`` maps child columns to parent columns.
+    ``on`` maps child columns to parent columns. Parent keys are made distinct
+    first: that reduces a hot key before the shuffle the join needs anyway.
     """
-    renamed = parent.select(*[F.col(p).alias(f"_parent_{c}") for c, p in on.items()])
+    renamed = parent.select(*[F.col(p).alias(f"_parent_{c}") for c, p in on.items()]).distinct()
     matches = [F.col(c) == F.col(f"_parent_{c}") for c in on]
     return child.join(renamed, matches, "left_semi"), child.join(renamed, matches, "left_anti")
 

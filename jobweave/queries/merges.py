@@ -110,16 +110,18 @@ def edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Edges keyed by both ends and a property, first and last seen."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, folder, "lineitem")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = F.col("l_shipdate").cast("date")
     batch = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("customer"),
         F.col("l_suppkey").alias("supplier"),
         F.col("l_returnflag").alias("via"),
         day.alias("first_seen"),
         day.alias("last_seen"),
-        F.col("l_shipdate").alias("_seq"),
+        day.alias("_seq"),
     )
-    return upsert(None, batch, Merge(("customer", "supplier", "via"), ("first_seen",), ("last_seen",)))
+    merge = Merge(("customer", "supplier", "via"), ("first_seen",), ("last_seen",))
+    edges = upsert(None, batch, merge)
+    return edges.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators import extras
+from jobweave.operators.upsert import require_parents
 from jobweave.queries.registry import query, table
 
 
@@ -63,7 +64,7 @@ def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
     first = lines.filter(F.col("l_linenumber") == 1).withColumnRenamed("l_returnflag", "role_name")
     returned = lines.filter(F.col("l_returnflag") == "R")
     accepted = lines.filter(F.col("l_returnflag") == "A")
-    large = lines.filter(F.col("l_quantity") > 49).select("p_partkey")
+    large = lines.filter(F.col("l_quantity") > 49)
     return extras.reconciliation_issues(
         {
             "no holder": extras.missing_role(parts, first, "p_partkey", "N"),
@@ -73,9 +74,9 @@ def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
             "differs from every child": extras.differs_from_all(
                 parts.select("p_partkey", "p_size"), lines, "p_partkey", "p_size", "l_linenumber"
             ),
-            "absent from second source": parts.select("p_partkey").join(
-                large, "p_partkey", "left_anti"
-            ),
+            "absent from second source": require_parents(
+                parts, large, {"p_partkey": "p_partkey"}
+            )[1],
         },
         "p_partkey",
     )

@@ -393,24 +393,18 @@ def framework_roles(spark: SparkSession) -> DataFrame:
 
 def rename_roles(roles: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
     """Rename roles in place, each only while the new name is not taken."""
-    for old, new in (renames or ROLE_RENAMES).items():
-        taken = roles.filter(F.col("name") == new).select(F.lit(old).alias("_old")).distinct()
-        free = (
-            roles.filter(F.col("name") == old)
-            .join(taken, F.col("name") == F.col("_old"), "left_anti")
-            .withColumns(
-                {
-                    "name": F.lit(new),
-                    "deprecated_name": F.lit(old),
-                    "spec_source": F.lit(_FRAMEWORK),
-                }
-            )
-        )
-        blocked = roles.filter(F.col("name") == old).join(
-            taken, F.col("name") == F.col("_old"), "left_semi"
-        )
-        roles = roles.filter(F.col("name") != old).unionByName(free).unionByName(blocked)
-    return roles
+    pairs = (renames or ROLE_RENAMES).items()
+    proposed = F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("name")]
+    taken = roles.select(F.col("name").alias("_new"), F.lit(True).alias("_taken")).distinct()
+    fires = F.col("_new").isNotNull() & F.col("_taken").isNull()
+    renamed = roles.withColumn("_new", proposed).join(taken, "_new", "left").withColumns(
+        {
+            "name": F.when(fires, F.col("_new")).otherwise(F.col("name")),
+            "deprecated_name": F.when(fires, F.col("name")).otherwise(F.col("deprecated_name")),
+            "spec_source": F.when(fires, F.lit(_FRAMEWORK)).otherwise(F.col("spec_source")),
+        }
+    )
+    return renamed.select(*roles.columns)
 
 
 def scheduler_kinds(spark: SparkSession) -> DataFrame:
