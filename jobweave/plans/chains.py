@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -161,19 +161,30 @@ def scheduler_rows(
     """The four scheduler extracts, projected; from views only active, current rows.
 
     Files keep inactive folders (flagged, not dropped). Filters and the
-    projection come before the folder join, so they reach the source.
+    projection come before rows are numbered and joined, so they reach the
+    source.
     """
+
+    def prepare(name: str) -> Callable[[DataFrame], DataFrame]:
+        def narrowed(frame: DataFrame) -> DataFrame:
+            rows = specs.project_view(frame, name)
+            if not drop_inactive:
+                return rows
+            is_folder = name == "controlm_folders"
+            return closure.active_folders(rows) if is_folder else specs.current_rows(rows)
+
+        return narrowed
+
     rows = {
-        name: specs.project_view(sources[name].read(spark), name)
+        name: sources[name].read(spark, prepare(name))
         for name in SCHEDULER_STAGES
         if name in sources
     }
     if drop_inactive:
-        rows["controlm_folders"] = closure.active_folders(rows["controlm_folders"])
         active = rows["controlm_folders"].select("folder_id")
         for name in SCHEDULER_STAGES[1:]:
             if name in rows:
-                rows[name] = specs.current_rows(rows[name]).join(active, "folder_id", "left_semi")
+                rows[name] = rows[name].join(active, "folder_id", "left_semi")
     return rows
 
 
@@ -215,7 +226,7 @@ def ingest_scheduler(
     if dependencies is not None:
         derived = dependencies.read(spark)
     else:
-        raw = {n: specs.project_view(sources[n].read(spark), n) for n in SCHEDULER_STAGES}
+        raw = scheduler_rows(sources, spark, drop_inactive=False)
         typed = {n: _typed(raw[n], n) for n in SCHEDULER_STAGES}
         paths = derived_dependencies(
             typed["controlm_jobs"],

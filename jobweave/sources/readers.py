@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ def with_sequence(df: DataFrame, order_by: str | None = None) -> DataFrame:
     return df.withColumn(SEQ, F.col(order_by) if order_by else F.monotonically_increasing_id())
 
 
-def read_delimited(
+def scan_delimited(
     spark: SparkSession,
     path: str | list[str],
     delimiter: str = ",",
@@ -48,7 +48,12 @@ def read_delimited(
         .csv(path)
     )
     names = [name.lstrip("﻿").strip().lower() for name in raw.columns]
-    return with_sequence(raw.toDF(*names).na.fill(""))
+    return raw.toDF(*names).na.fill("")
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """:func:`scan_delimited` with its input order."""
+    return with_sequence(scan_delimited(spark, path, **options))
 
 
 @dataclass(frozen=True)
@@ -101,7 +106,7 @@ def read_jdbc(
     frame = raw.toDF(*[name.lower() for name in raw.columns])
     for name, values in (where or {}).items():
         frame = frame.filter(F.col(name).isin(list(values)))
-    return with_sequence(frame)
+    return frame
 
 
 @dataclass(frozen=True)
@@ -123,9 +128,22 @@ class Source:
             return spark.catalog.tableExists(str(self.location))
         return True
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(
+        self, spark: SparkSession, prepare: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
+        """The rows in input order.
+
+        ``prepare`` filters and projects before rows are numbered: a filter
+        after the numbering would not be pushed into the source.
+        """
+        frame = self._scan(spark)
+        if prepare is not None:
+            frame = prepare(frame)
+        return frame if SEQ in frame.columns else with_sequence(frame, self.order_by)
+
+    def _scan(self, spark: SparkSession) -> DataFrame:
         if self.kind == "delimited":
-            return read_delimited(spark, str(self.location), **self.options)
+            return scan_delimited(spark, str(self.location), **self.options)
         if self.kind == "jdbc":
             return read_jdbc(spark, self.location, **self.options)
         if self.kind == "parquet":
@@ -136,8 +154,7 @@ class Source:
             frame = self.location
         else:
             raise ValueError(f"unknown source kind {self.kind!r}")
-        frame = frame.toDF(*[name.strip().lower() for name in frame.columns])
-        return frame if SEQ in frame.columns else with_sequence(frame, self.order_by)
+        return frame.toDF(*[name.strip().lower() for name in frame.columns])
 
 
 def stage_sources(

@@ -37,7 +37,8 @@ def test_projection_and_filter_reach_the_scan(spark, tmp_path):
         *[F.lit("x").alias(f"unused_{i}") for i in range(70)],
     )
     wide.write.parquet(str(tmp_path / "jobs"))
-    rows = current_rows(project_view(Source("parquet", str(tmp_path / "jobs")).read(spark), "controlm_jobs"))
+    source = Source("parquet", str(tmp_path / "jobs"))
+    rows = source.read(spark, lambda df: current_rows(project_view(df, "controlm_jobs")))
     plan = plan_of(rows)
     assert "unused_" not in plan
     assert "EqualTo(is_current_version,1)" in plan
