@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.operators.reshape import wide_to_long
+from jobweave.operators.reshape import splay_list, wide_to_long
 from jobweave.operators.upsert import Merge, fixed_children, require_parents, upsert
 from jobweave.operators.validate import RowSpec, split_rows_once
 from jobweave.session import RunClock
@@ -555,6 +555,37 @@ DEPENDENCIES = Load(
     source_label="oracle",
 )
 
+# --- optional: which team develops which application ----------------------------
+
+
+def _mapped_applications(rows: DataFrame) -> DataFrame:
+    return splay_list(rows, "seal_ids", "seal_id").withColumn("_orphan", F.lit(True))
+
+
+# An application nobody has loaded yet becomes a stub flagged as orphan.
+PRODUCT_MAPPING = Load(
+    specs.PRODUCT_MAPPING,
+    (
+        Write("dev_team", _same("team_id"), _created("PAT"), SEEN, {"name": "team_name"}),
+        Write("application", _same("seal_id"), {"orphan": "_orphan"}, rows=_mapped_applications),
+        Write(
+            "application_has_dev_team",
+            _same("seal_id", "team_id"),
+            _first_seen("PAT"),
+            SEEN,
+            rows=_mapped_applications,
+        ),
+        Write(
+            "product_has_application",
+            _same("product_id", "seal_id"),
+            _first_seen("PAT"),
+            SEEN,
+            rows=_mapped_applications,
+            where=_given("product_id"),
+        ),
+    ),
+)
+
 # Loads by name.
 LOADS = {
     load.name: load

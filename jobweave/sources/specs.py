@@ -187,6 +187,12 @@ DEV_TEAMS = RowSpec(
     ),
 )
 
+# One row per team; the applications it develops are one comma-separated cell.
+PRODUCT_MAPPING = RowSpec(
+    "product_mapping",
+    (*_required("team_id"), *_optional("team_name", "product_id", "seal_ids")),
+)
+
 # Source columns of the scheduler extracts when they come from database views.
 VIEW_COLUMNS = {
     "controlm_folders": {"table_id": "folder_id"},

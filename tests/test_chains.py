@@ -317,3 +317,23 @@ def test_ready_dependency_rows_can_be_loaded(spark, tmp_path, scheduler):
     assert counts(results)["controlm_dependencies_derived"] == (3, 1, 1)
     edge = tables.read("was_informed_by").collect()
     assert [(e.recursion_level, e.dependency_path) for e in edge] == [(1, "short")]
+
+
+def test_product_mapping_completes_the_application_state(spark, tmp_path, reference):
+    from jobweave.plans.loads import PRODUCT_MAPPING, run_load
+
+    source, sources, _, _ = reference
+    tables = TableSet(spark, str(tmp_path / "t"))
+    chains.load_table("seal_applications", sources["seal_applications"], tables, CLOCK)
+    path = write_csv(
+        tmp_path / "m.csv", "team_id,team_name,product_id,seal_ids",
+        [["T1", "Pod One", "P2", "101, 102,101"], ["T2", "", "P1", "101"], ["T3", "None", "", "777"]],
+    )
+    rows = Source("delimited", path).read(spark)
+    assert run_load(PRODUCT_MAPPING, rows, tables, CLOCK).rows_processed == 3
+    assert {(r.seal_id, r.orphan) for r in tables.read("application").collect()} == {
+        ("101", None), ("102", None), ("777", True),
+    }
+    states = {r.seal_id: r for r in chains.entity_states(tables)["applications"].collect()}
+    assert (states["101"].product_id, states["101"].dev_team_ids) == ("P1", ["T1", "T2"])
+    assert (states["777"].product_id, states["777"].dev_team_ids) == (None, ["T3"])
