@@ -1,8 +1,8 @@
 """Idempotent merges of a batch into a node or edge table.
 
 The batch is first collapsed to one row per key with partial aggregation, so a
-key holding a third of all rows is reduced on the map side. The two sides of
-the join that follows each have unique keys, so no key can be hot there.
+key holding a third of all rows is reduced on the map side. Both sides of the
+join that follows have unique keys, so no key can be hot there.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.sources.files import fits_broadcast
 from jobweave.sources.readers import SEQ
 
 
@@ -73,43 +74,65 @@ def upsert(
     merge: Merge,
     seq: str = SEQ,
     collapsed: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
-    """The table after the batch: full outer join on the keys, column by column.
+    """The table after the batch, column by column.
 
     Target columns the batch does not carry stay as they are, and are NULL on
     new rows, so a stub holding only its key is the same call.
+
+    A large batch meets the table in one full outer join. A ``small`` one (by
+    default: Spark's size estimate is below its broadcast limit) leaves the
+    table where it is: existing rows pick up their changes in a broadcast join
+    and only rows with new keys are added, so nothing of the table is shuffled.
     """
     new = batch.select(*merge.columns) if collapsed else collapse(batch, merge, seq)
     if target is None:
         return new
-    known = set(target.columns)
-    extra = [c for c in new.columns if c not in known]
-    old_names = [c for c in target.columns if c not in merge.keys]
+    extra = [c for c in new.columns if c not in target.columns]
     old_side = target.select(
-        *merge.keys, *[F.col(c).alias(f"_old_{c}") for c in old_names], F.lit(1).alias("_old")
+        *merge.keys,
+        *[F.col(c).alias(f"_old_{c}") for c in target.columns if c not in merge.keys],
+        F.lit(1).alias("_old"),
     )
     new_side = new.select(
         *merge.keys,
         *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in merge.keys],
         F.lit(1).alias("_new"),
     )
-    joined = old_side.join(new_side, list(merge.keys), "full_outer")
+    keys = list(merge.keys)
+    ordered = [c for c in target.columns if c not in merge.keys] + extra
+    if fits_broadcast(new) if small is None else small:
+        updated = old_side.join(new_side, keys, "left")
+        present = target.select(*keys).join(new.select(*keys), keys, "left_semi")
+        added = new.join(present, keys, "left_anti")
+        rest = {
+            f.name: F.lit(None).cast(f.dataType).alias(f.name)
+            for f in target.schema
+            if f.name not in new.columns
+        }
+        return updated.select(*keys, *_merged(ordered, merge, target.columns)).unionByName(
+            added.select(*keys, *[rest.get(c, F.col(c)) for c in ordered])
+        )
+    joined = old_side.join(new_side, keys, "full_outer")
+    return joined.select(*keys, *_merged(ordered, merge, target.columns))
+
+
+def _merged(names: Sequence[str], merge: Merge, known: Sequence[str]) -> list[Column]:
+    """Each column of a joined old and new row; presence is a marker, never a data column."""
     in_old, in_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
 
-    def merged(name: str) -> Column:
+    def value(name: str) -> Column:
         old = F.col(f"_old_{name}") if name in known else F.lit(None)
         if name in merge.create_only:
-            value = F.when(in_old, old).otherwise(F.col(f"_new_{name}"))
-        elif name in merge.set_columns:
-            value = F.when(in_new, F.col(f"_new_{name}")).otherwise(old)
-        elif name in merge.keep_old:
-            value = F.coalesce(F.col(f"_new_{name}"), old)
-        else:
-            value = old
-        return value.alias(name)
-
-    ordered = [c for c in target.columns if c not in merge.keys] + extra
-    return joined.select(*merge.keys, *[merged(c) for c in ordered])
+            return F.when(in_old, old).otherwise(F.col(f"_new_{name}"))
+        if name in merge.set_columns:
+            return F.when(in_new, F.col(f"_new_{name}")).otherwise(old)
+        if name in merge.keep_old:
+            return F.coalesce(F.col(f"_new_{name}"), old)
+        return old
+
+    return [value(name).alias(name) for name in names]
 
 
 def require_parents(

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from jobweave.operators.upsert import Merge, upsert
+from jobweave.operators.upsert import Merge, collapse, upsert
 from jobweave.plans.loads import Load, run_load
 from jobweave.session import RunClock
 from jobweave.sinks.tables import TableSet
+from jobweave.sources.files import stage
 
 
 def file_stream(
@@ -43,7 +44,11 @@ def merge_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
-        tables.write(name, upsert(tables.read_or_none(name), rows, merge, seq))
+        # Written once, the batch has a known size, and a small one is merged
+        # without shuffling the table.
+        changes = stage(collapse(rows, merge, seq), f"batch-{name}")
+        current = tables.read_or_none(name)
+        tables.write(name, upsert(current, changes, merge, collapsed=True))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -46,6 +46,8 @@ def test_matches_row_by_row_merging(spark, seed):
     assert rows(twice) == brute_force({r[0]: r[1:] for r in expected}, second)
     again = upsert(twice, spark.createDataFrame(second, SCHEMA), MERGE)
     assert rows(again) == rows(twice)
+    small = upsert(once, spark.createDataFrame(second, SCHEMA), MERGE, small=True)
+    assert rows(small) == rows(twice) and small.count() == twice.count()
 
 
 def test_explicit_null_overwrites_but_keep_old_does_not(spark):
@@ -63,13 +65,32 @@ def test_create_only_null_of_an_existing_row_stays_null(spark):
 def test_stub_leaves_other_columns(spark):
     old = spark.createDataFrame([(1, "full")], "k int, name string")
     stubs = spark.createDataFrame([(1, 0), (2, 1), (2, 2)], "k int, _seq int")
-    assert rows(upsert(old, stubs, Merge(("k",)))) == {(1, "full"), (2, None)}
+    for small in (True, False):
+        merged = upsert(old, stubs, Merge(("k",)), small=small)
+        assert rows(merged) == {(1, "full"), (2, None)}
 
 
 def test_new_columns_are_added(spark):
     old = spark.createDataFrame([(1,)], "k int")
     new = spark.createDataFrame([(2, 5, 0)], "k int, v int, _seq int")
-    assert rows(upsert(old, new, Merge(("k",), set_columns=("v",)))) == {(1, None), (2, 5)}
+    for small in (True, False):
+        merged = upsert(old, new, Merge(("k",), set_columns=("v",)), small=small)
+        assert rows(merged) == {(1, None), (2, 5)}
+
+
+def test_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
+    spark.range(1000).selectExpr("id k", "id v").write.parquet(str(tmp_path / "table"))
+    spark.range(5).selectExpr("id k", "-id v", "id _seq").write.parquet(str(tmp_path / "batch"))
+    table, batch = (spark.read.parquet(str(tmp_path / n)) for n in ("table", "batch"))
+    merge = Merge(("k",), (), ("v",))
+    merged = upsert(table, batch, merge)
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for shuffled in ("SortMergeJoin", "ShuffledHashJoin", "FullOuter"):
+        assert shuffled not in plan
+    large = upsert(table, batch, merge, small=False)
+    assert "FullOuter" in large._jdf.queryExecution().executedPlan().toString()
+    assert rows(large) == rows(merged)
 
 
 def test_edge_key_with_property(spark):
