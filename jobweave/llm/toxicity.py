@@ -193,6 +193,8 @@ def label_toxicity(
         .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & (remainder("id", fold) != held))
         .groupBy("id")
         .agg(F.max("toxic").alias("toxic"))
+        # The labels grow with the corpus, so no size of theirs may switch to a broadcast.
+        .hint("merge")
     )
     part = F.pmod(remainder("id", fold), F.lit(PARTS)).cast("int")
     learnable = id_and_text(docs, id_col, text_col).filter(remainder("id", fold) != held)
