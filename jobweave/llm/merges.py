@@ -1,18 +1,20 @@
 """Byte-fallback BPE segmentation with seeded merge-dropout, and its exact inverse.
 
 Merges are taken from an agenda, best rank first and leftmost among equals. A
-candidate merge is skipped for good if a hash of (seed, variant, unit, place)
-falls below the dropout rate. The hash replaces a random number, so a text is
+candidate merge is skipped for good if a hash keyed by (seed, variant, unit) has
+a byte below the dropout rate at its place; the rate is a multiple of 1/256. The hash replaces a random number, so a text is
 cut the same way on every attempt, and a unit that occurs again under the same
 variant need not be cut again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,21 @@ DROPOUT = 0.1
 SEED = 11
 #: Ways to cut the same unit; the place of a unit in its text chooses one.
 VARIANTS = 2
-#: Units remembered per worker process and variant.
-REMEMBERED = 400_000
+#: Units in each of the two memories of a worker process and variant: when the
+#: younger is full it becomes the older, so a worker holds about 2 * VARIANTS *
+#: REMEMBERED entries of 170 bytes at most. Longer units are not remembered.
+REMEMBERED = 500_000
+LONG = 64
 #: No merge of the model crosses from other characters to a blank, so units are cut alone.
 _UNIT = re.compile(r" *[^ ]+| +")
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_WORD = (1 << 64) - 1
+
+
+def _noise(unit: str, seed: int, size: int) -> tuple[bytes, int]:
+    """Bytes that decide which candidates of a unit are dropped, and the mask of an index into them."""
+    if size <= 32:
+        return xxhash.xxh3_128_digest(unit, seed) + xxhash.xxh3_128_digest(unit, ~seed & 0xFFFFFFFF), 31
+    length = 1 << size.bit_length()
+    return hashlib.shake_128(b"%d %s" % (seed, unit.encode("utf-8"))).digest(length), length - 1
 
 
 class Segmenter:
@@ -45,6 +56,8 @@ class Segmenter:
 
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
+        if size > 1 << 16:
+            raise ValueError("ids are held in two bytes; the model has more pieces")
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(size)]
         self.ids = {model.id_to_piece(i): i for i in range(size) if not special[i]}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
@@ -57,9 +70,11 @@ class Segmenter:
                 self.pieces[i] = bytes([value])
             elif not special[i]:
                 self.pieces[i] = model.id_to_piece(i).replace(BLANK, " ").encode("utf-8")
-        self.cut_below = int(dropout * 2**32)
+        self.mark = array("H", self.spelled(BLANK)).tobytes()
+        self.cut_below = round(dropout * 256)
         self.seeds = [seed * variants + v for v in range(variants)]
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     @staticmethod
     def default_path() -> str:
@@ -73,83 +88,79 @@ class Segmenter:
             cls._loaded[settings] = cls(*settings)
         return cls._loaded[settings]
 
-    def cut(self, unit: str, seed: int) -> tuple[int, ...]:
-        """Ids of one unit: characters merged by the agenda, what is unknown as bytes."""
-        # A literal blank mark is kept apart from a blank: it becomes bytes.
-        text = [BLANK if c == " " else ("" if c == BLANK else c) for c in unit]
+    def cut(self, unit: str, seed: int) -> bytes:
+        """Ids of one unit, two bytes each: characters merged by the agenda, the unknown as bytes."""
+        if BLANK in unit:
+            # A literal blank mark merges with nothing and becomes bytes.
+            return self.mark.join(self.cut(part, seed) for part in unit.split(BLANK))
+        text = list(unit.replace(" ", BLANK))
         size = len(text)
         after = list(range(1, size + 1))
         before = list(range(-1, size - 1))
-        rank, below = self.rank, self.cut_below
-        base = xxhash.xxh64_intdigest(unit, seed) if below else 0
+        rank, below = self.rank.get, self.cut_below
+        noise, mask = _noise(unit, seed, size) if below else (b"\0", 0)
+        push, pop = heapq.heappush, heapq.heappop
         agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if not text[left] or not text[right]:
-                return
-            both = text[left] + text[right]
-            worth = rank.get(both)
-            if worth is None:
-                return
-            if below:
-                place = left * _ODD[1] + right * _ODD[2] + len(both)
-                mixed = ((base ^ place) * _ODD[0]) & _WORD
-                mixed = ((mixed ^ (mixed >> 29)) * _ODD[1]) & _WORD
-                if mixed >> 32 < below:
-                    return
-            heapq.heappush(agenda, (worth, left, right, both))
-
-        for left in range(size - 1):
-            propose(left, left + 1)
+        for left, both in enumerate(map(add, text, text[1:])):
+            worth = rank(both)
+            if worth is not None and noise[(48 * left + 19) & mask] >= below:
+                agenda.append((worth, left, left + 1, both))
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, both = heapq.heappop(agenda)
+            _, left, right, both = pop(agenda)
             # Stale unless both neighbours are still what they were.
-            if after[left] != right or not text[right] or text[left] + text[right] != both:
+            if after[left] != right or text[left] + text[right] != both:
                 continue
             text[left], text[right] = both, ""
             following = after[left] = after[right]
+            after[right] = -1
             if following < size:
                 before[following] = left
-                propose(left, following)
-            if before[left] >= 0:
-                propose(before[left], left)
-        out: list[int] = []
-        at = 0
-        while at < size:
-            piece = text[at]
-            found = self.ids.get(piece) if piece else None
-            if found is not None:
-                out.append(found)
-            else:
-                out += [self.bytes[b] for b in (piece or BLANK).encode("utf-8")]
-            at = after[at]
-        return tuple(out)
-
-    def encode(self, text: str, start: int = 0) -> np.ndarray:
-        """Ids of a whole text; unit i takes variant (start + i) mod the number of variants."""
+                more = both + text[following]
+                worth = rank(more)
+                if worth is not None and noise[(31 * left + 17 * following + len(more)) & mask] >= below:
+                    push(agenda, (worth, left, following, more))
+            first = before[left]
+            if first >= 0:
+                more = text[first] + both
+                worth = rank(more)
+                if worth is not None and noise[(31 * first + 17 * left + len(more)) & mask] >= below:
+                    push(agenda, (worth, first, left, more))
+        pieces = list(filter(None, text))
+        found = list(map(self.ids.get, pieces))
+        if None in found:
+            found = [i for p, known in zip(pieces, found) for i in ([known] if known is not None else self.spelled(p))]
+        return array("H", found).tobytes()
+
+    def spelled(self, piece: str) -> list[int]:
+        return [self.bytes[b] for b in piece.encode("utf-8")]
+
+    def encode(self, text: str, start: int = 0) -> bytes:
+        """Ids of a whole text, four bytes each; unit i takes variant (start + i) mod their number."""
         if not text:
-            return np.zeros(0, np.uint32)
+            return b""
         units = _UNIT.findall(" " + text)
         many = len(self.seeds)
-        found: list[tuple[int, ...]] = [()] * len(units)
+        found: list[bytes] = [b""] * len(units)
         for v in range(many):
             mine = units[v::many]
-            known, seed = self.known[(start + v) % many], self.seeds[(start + v) % many]
-            got = list(map(known.get, mine))
-            if None in got:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for i, ids in enumerate(got):
-                    if ids is None:
-                        unit = mine[i]
-                        ids = known.get(unit)
-                        if ids is None:
-                            ids = self.cut(unit, seed)
-                            if len(unit) <= 64:
-                                known[unit] = ids
-                        got[i] = ids
+            at = (start + v) % many
+            got = list(map(self.young[at].get, mine))
+            missed = [i for i, ids in enumerate(got) if ids is None]
+            for i in missed:
+                got[i] = self.recall(mine[i], at)
             found[v::many] = got
-        return np.fromiter(chain.from_iterable(found), np.uint32)
+        return np.frombuffer(b"".join(found), np.uint16).astype("<u4").tobytes()
+
+    def recall(self, unit: str, variant: int) -> bytes:
+        """A unit that the younger memory lacks: from the older one, or cut anew."""
+        young = self.young[variant]
+        ids = young.get(unit) or self.old[variant].get(unit) or self.cut(unit, self.seeds[variant])
+        if len(unit) <= LONG:
+            if len(young) >= REMEMBERED:
+                self.old[variant], self.young[variant] = young, {}
+            self.young[variant][unit] = ids
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids from ``encode``: the joined bytes without the leading blank."""
@@ -159,7 +170,7 @@ class Segmenter:
     def encoded(self, text: str | None, doc_id: int | None) -> bytes | None:
         if text is None:
             return None
-        return self.encode(text, doc_id or 0).astype("<u4").tobytes()
+        return self.encode(text, doc_id or 0)
 
     def decoded(self, ids: bytes | None) -> str | None:
         return None if ids is None else self.decode(np.frombuffer(ids, "<u4").tolist())
