@@ -144,9 +144,13 @@ def _sampled(
     narrow = docs.filter(usable).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang")
     )
+    sizes = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     mix = F.xxhash64(F.lit("language"), "id")
     first = Window.partitionBy("lang").orderBy(mix, "id")
-    drawn = narrow.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= rows)
+    # About twice the rows wanted pass, so that a common language is not ranked whole in one task.
+    share = F.pmod(mix, F.lit(1 << 31)) / (1 << 31)
+    passed = narrow.join(sizes, "lang").filter(share * F.col("size") <= 2.0 * rows).select("id", "lang")
+    drawn = passed.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= rows)
     chosen = (
         docs.filter(usable)
         .select(
