@@ -106,14 +106,23 @@ class Tree:
         def offer(who: np.ndarray, a: int, b: int) -> None:
             nonlocal measured
             measured += len(who) * (b - a)
-            cosine = dot(queries[who][:, None, :], self.vectors[None, a:b]) / (q_length[who][:, None] * length[a:b])
-            found = np.broadcast_to(self.ids[a:b], cosine.shape)
-            cosine = np.where(found == ids[who][:, None], -np.inf, cosine)
-            found = np.where(found == ids[who][:, None], np.iinfo(np.int64).max, found)
-            all_c = np.concatenate([best[who], cosine], axis=1)
-            all_i = np.concatenate([best_id[who], found], axis=1)
-            at = np.lexsort((all_i, -all_c), axis=1)[:, :k]
-            best[who], best_id[who] = np.take_along_axis(all_c, at, 1), np.take_along_axis(all_i, at, 1)
+            # The matrix product only finds who may enter; scores are then added in a fixed order,
+            # so equal vectors score alike wherever they lie.
+            near = q_unit[who] @ unit[a:b].T >= best[who][:, -1:] - SLACK
+            row, column = np.nonzero(near & (self.ids[a:b] != ids[who][:, None]))
+            if not len(row):
+                return
+            at = a + column
+            cosine = dot(queries[who[row]], self.vectors[at]) / (q_length[who[row]] * length[at])
+            touched = np.unique(row)
+            changed = who[touched]
+            of = np.concatenate([np.repeat(touched, k), row])
+            scores = np.concatenate([best[changed].ravel(), cosine])
+            names = np.concatenate([best_id[changed].ravel(), self.ids[at]])
+            order = np.lexsort((names, -scores, of))
+            first = np.searchsorted(of[order], touched)
+            kept = order[first[:, None] + np.arange(k)]
+            best[changed], best_id[changed] = scores[kept], names[kept]
 
         def radius(who: np.ndarray) -> np.ndarray:
             return factor * np.sqrt(np.maximum(2 - 2 * best[who][:, -1], 0)) + SLACK
