@@ -20,55 +20,44 @@ CONDITIONS_OUT = (
     "folder_id,job_id,version_serial,condition_name,odate,sign,isn,version_opcode,"
     "is_current_version,capture_date"
 )
-ANCHOR = "PRSHPG-STORE-7001-REFUND-DLY"
+#: Layer k of the estate is a folder with k + 1 jobs; a job waits for the jobs of the layer
+#: before whose number is the same or one off. Two folders are empty, one of them idle.
+LAYERS = range(1, 5)
 _FOLDER_NAMES = {
-    "7101": ANCHOR,
-    "7102": "PRSHPG-STORE-7002-TRUSTED-DLY",
-    "7103": "PRSHPG-STORE-7002-TRUSTED-CYC",
-    "7104": "PRSHPG-STORE-7003-SUPPLY-DLY",
-    "7105": "PRCARG-CAR-7004-CLAIMS-DLY",
-    "7106": "PRCARG-CAR-7005-TRUSTED-DLY",
-    "7107": "PRBOKG-BOOK-7006-RECON-DLY",
-    "7199": "PROLDG-OLD-7007-RETIRED",
+    f"80{k:02d}": f"PRZQ{'ABCDEF'[k - 1]}G-ZQ{'ABCDEF'[k - 1]}-{8000 + k}-LAYER{k}-DLY"
+    for k in (*LAYERS, 5, 6)
 }
-# folder, job, version, name: two folders share the watcher's name and (job, version).
-_JOBS = [
-    ("7101", "5", "3", "REFUND_DETAIL"),
-    ("7101", "3", "3", "REFUND_TOTAL"),
-    ("7102", "22", "2", "WATCH_DETAIL"),
-    ("7102", "23", "2", "PREP_DETAIL"),
-    ("7102", "24", "2", "PLACE_DETAIL"),
-    ("7102", "25", "2", "TRUST_DETAIL"),
-    ("7103", "22", "2", "WATCH_DETAIL"),
-    ("7103", "21", "2", "TOKEN_DETAIL"),
-    ("7102", "12", "2", "PLACE_TOTAL"),
-    ("7103", "13", "2", "TRUST_TOTAL"),
-    ("7105", "1", "1", "CLAIMS_WATCH"),
-    ("7105", "2", "1", "CLAIMS_LOAD"),
-    ("7107", "1", "5", "RECON_WATCH"),
-]
+IDLE = "8005"
+ANCHOR = _FOLDER_NAMES["8004"]
+_NODES = [(k, n) for k in LAYERS for n in range(1, k + 2)]
+
+
+def job_name(k, n):
+    return f"Q{k}_STEP{n}_RUN"
+
+
+def version(k):
+    """The first two layers share their versions, so pairs of job and version repeat."""
+    return str(max(k - 1, 1))
+
+
+_JOBS = [(f"80{k:02d}", str(n), version(k), job_name(k, n)) for k, n in _NODES]
+HOPS = {(k, n): [(k - 1, m) for m in (n - 1, n, n + 1) if (k - 1, m) in _NODES] for k, n in _NODES}
 _IN = [
-    ("7101", "5", "3", "TRUST_DETAIL-OK", "AND"),
-    ("7101", "5", "3", "PLACE_DETAIL-OK", "AND"),
-    ("7101", "5", "3", "PREP_DETAIL-OK", "AND"),
-    ("7101", "5", "3", "WATCH_DETAIL-OK", "OR"),
-    ("7101", "5", "3", "TOKEN_DETAIL-OK", "OR"),
-    ("7101", "3", "3", "TRUST_TOTAL-OK", "AND"),
-    ("7101", "3", "3", "PLACE_TOTAL-OK", "AND"),
-    ("7102", "25", "2", "PLACE_DETAIL-OK", "AND"),
-    ("7102", "24", "2", "PREP_DETAIL-OK", "AND"),
-    ("7102", "23", "2", "WATCH_DETAIL-OK", "AND"),
-]
-_OUT = [
-    ("7102", "25", "2", "TRUST_DETAIL-OK"),
-    ("7102", "24", "2", "PLACE_DETAIL-OK"),
-    ("7102", "23", "2", "PREP_DETAIL-OK"),
-    ("7102", "22", "2", "WATCH_DETAIL-OK"),
-    ("7103", "22", "2", "WATCH_DETAIL-OK"),
-    ("7103", "21", "2", "TOKEN_DETAIL-OK"),
-    ("7102", "12", "2", "PLACE_TOTAL-OK"),
-    ("7103", "13", "2", "TRUST_TOTAL-OK"),
+    (f"80{k:02d}", str(n), version(k), f"{job_name(*before)}-DONE", "AND" if k % 2 else "OR")
+    for (k, n), needed in HOPS.items()
+    for before in needed
 ]
+_OUT = [(f"80{k:02d}", str(n), version(k), f"{job_name(k, n)}-DONE") for k, n in _NODES]
+
+
+def walked(layers=LAYERS):
+    """Every path of the estate that starts in one of the layers, as lists of nodes."""
+    paths, ready = [], [[node] for node in _NODES if node[0] in layers]
+    while ready:
+        ready = [[*path, before] for path in ready for before in HOPS[path[-1]]]
+        paths += ready
+    return paths
 
 
 def write_csv(path, header, rows):
@@ -81,20 +70,20 @@ def write_csv(path, header, rows):
 
 def _job_row(folder, job, version, name):
     return [
-        job, version, folder, name, _FOLDER_NAMES[folder], "SHP", "G", "Job", "N", "", job,
+        job, version, folder, name, _FOLDER_NAMES[folder], "ZQX", "G", "Job", "N", "", job,
         "svc.batch", "author", "host-1", f"/opt/{name.lower()}.sh", "text", "", "5", "Y", "", "",
         "N", "1", "U", "20260101000000", "author", "MAIN", "2026-01-02 03:00:00",
     ]
 
 
 def write_scheduler(folder):
-    servers = ["S1", "S1", "S2", "S3", "S1", "S1", "S4", "S2"]
+    servers = ["S1", "S2", "S3", "S2", "S1", "S3"]
     write_csv(
         folder / "controlm_folders.csv",
         FOLDERS,
         [
             [
-                fid, name, server, "" if fid == "7199" else "Y", "A", "2", "MAIN",
+                fid, name, server, "" if fid == IDLE else "Y", "A", "2", "MAIN",
                 "2026-01-02 03:00:00", "svc.admin", "2026-01-02 03:00:00",
             ]
             for (fid, name), server in zip(_FOLDER_NAMES.items(), servers)
@@ -132,22 +121,23 @@ def write_reference(folder):
         folder / "catalog_lobs.csv",
         "lob_id,code,name,reconciles_to_segment,reconcile_confidence",
         [
-            ["L1", "CCB", "Consumer", "CCB", "1.0"],
-            ["L2", "AWMCIB", "Wealth and Bank", "AWM", "0.5"],
-            ["L3", "CT", "Technology", "Corp", "1.0"],
-            ["L4", "HR", "People", " ", "0.7"],
-            ["L5", "ET", "Engineering", "Corp", ""],
+            ["N10", "LEND", "Lending", "AWM", "0.25"],
+            ["N20", "SAVE", "Savings", "", ""],
+            ["N30", "PAY", "Payments", "CIB", "0.9"],
+            ["N40", "DESK", "Desks", "CIB", "0.35"],
+            ["N50", "SHARED", "Shared Work", "Corp", "0.6"],
+            ["N60", "LAB", "Labs", "  ", "0.1"],
         ],
     )
     write_csv(
         folder / "product_lines.csv",
         "product_line_id,name,parent_lob_id",
-        [["PL1", "Cars", "L1"], ["PL2", "Homes", "L1"], ["PL3", "Lost", "L9"]],
+        [["PL1", "Boats", "N30"], ["PL2", "Farms", "N10"], ["PL3", "Lost", "N99"]],
     )
     write_csv(
         folder / "products.csv",
         "product_id,name,parent_product_line_id",
-        [["P1", "Car Risk", "PL1"], ["P2", "Car Start", "PL1"], ["P3", "Home Care", "PL2"]],
+        [["P1", "Boat Loans", "PL1"], ["P2", "Boat Cover", "PL1"], ["P3", "Farm Plans", "PL2"]],
     )
     write_csv(
         folder / "seal_applications.csv",

@@ -1,7 +1,8 @@
 import json
+from collections import Counter
 
 import pytest
-from estate import write_csv, write_reference, write_scheduler
+from estate import HOPS, walked, write_csv, write_reference, write_scheduler
 from pyspark.sql import functions as F
 
 from jobweave.plans import chains
@@ -12,6 +13,7 @@ from jobweave.sinks.tables import TableSet
 from jobweave.sources import vocabulary
 from jobweave.sources.readers import Source, stage_sources
 
+NEEDED = sum(map(len, HOPS.values()))
 CLOCK = RunClock("chain", "2026-01-05 06:00:00")
 
 
@@ -46,17 +48,17 @@ def counts(results):
 def test_scheduler_counts(scheduler):
     tables, _, results = scheduler
     assert counts(results) == {
-        "controlm_folders": (8, 0, 0),
-        "controlm_jobs": (13, 0, 0),
-        "controlm_conditions_in": (10, 0, 0),
-        "controlm_conditions_out": (8, 0, 0),
-        "controlm_dependencies_derived": (26, 0, 0),
+        "controlm_folders": (6, 0, 0),
+        "controlm_jobs": (14, 0, 0),
+        "controlm_conditions_in": (NEEDED, 0, 0),
+        "controlm_conditions_out": (14, 0, 0),
+        "controlm_dependencies_derived": (len(walked()), 0, 0),
     }
     size = {n: tables.read(n).count() for n in tables.names()}
-    assert (size["job_folder"], size["controlm_job"], size["condition"]) == (8, 13, 15)
-    assert (size["controlm_server"], size["runs_on"], size["contains_job"]) == (4, 8, 13)
-    assert (size["requires_in_condition"], size["emits_out_condition"]) == (10, 8)
-    assert size["was_informed_by"] == 17 and RunLog(tables).runs().count() == 5
+    assert (size["job_folder"], size["controlm_job"], size["condition"]) == (6, 14, 14 + 9)
+    assert (size["controlm_server"], size["runs_on"], size["contains_job"]) == (3, 6, 14)
+    assert (size["requires_in_condition"], size["emits_out_condition"]) == (NEEDED, 14)
+    assert size["was_informed_by"] == len({(p[0], p[-1]) for p in walked()}) and RunLog(tables).runs().count() == 5
     assert "rejected_row" not in size and "unmatched_row" not in size
     runs = RunLog(tables).runs().collect()
     assert {r.status for r in runs} == {"OK"} and {r.source for r in runs} == {"csv"}
@@ -64,14 +66,15 @@ def test_scheduler_counts(scheduler):
 
 def test_scheduler_rows(scheduler):
     tables, _, _ = scheduler
-    folder = tables.read("job_folder").filter("folder_id = '7199'").first()
-    assert folder.active is False and folder.lob_code == "R" and folder.app_code == "OLD"
+    folder = tables.read("job_folder").filter("folder_id = '8005'").first()
+    assert folder.active is False and folder.lob_code == "R" and folder.app_code == "ZQE"
     shared = tables.read("condition").groupBy("source").count().collect()
     assert {r.source: r["count"] for r in shared} == {
-        "psgmgr.CM_DEF_LNKI_P_VW": 10, "psgmgr.CM_DEF_LNKO_P_VW": 5,
+        "scheduler.conditions_in": 9, "scheduler.conditions_out": 14,
     }
     levels = tables.read("was_informed_by").groupBy("recursion_level").count().collect()
-    assert {r.recursion_level: r["count"] for r in levels} == {1: 12, 2: 3, 3: 2}
+    edges = Counter(n - 1 for n in {(p[0], p[-1]): len(p) for p in walked()}.values())
+    assert {r.recursion_level: r["count"] for r in levels} == edges  # all ways between two jobs are as long
 
 
 def test_scheduler_checks(scheduler):
@@ -81,9 +84,9 @@ def test_scheduler_checks(scheduler):
     assert failed == {
         "no duplicate (job_id, version_serial)", "active folders contain at least one job",
     }
-    assert checks["active folders contain at least one job"][1] == "empty=2 total=7"
-    assert checks["no duplicate (job_id, version_serial)"][1] == "dupes=1"
-    assert checks["no orphan conditions"][1] == "orphan=0 total=15"
+    assert checks["active folders contain at least one job"][1] == "empty=1 total=5"
+    assert checks["no duplicate (job_id, version_serial)"][1] == "dupes=2"
+    assert checks["no orphan conditions"][1] == "orphan=0 total=23"
     assert len(checks) == 9
     keys = chains.verify_keys(tables)
     assert keys.filter("not ok").count() == 0 and keys.count() >= 9
@@ -95,17 +98,17 @@ def test_scheduler_replay_keeps_first_values(spark, scheduler):
     later = RunClock("later", "2026-02-01 00:00:00")
     folders = sources["controlm_folders"].read(spark)
     moved = folders.withColumn(
-        "data_center", F.when(F.col("folder_id") == "7101", "S9").otherwise(F.col("data_center"))
+        "data_center", F.when(F.col("folder_id") == "8001", "S9").otherwise(F.col("data_center"))
     )
     chains.load_table("controlm_folders", Source("frame", moved), tables, later)
-    row = tables.read("job_folder").filter("folder_id = '7101'").first()
+    row = tables.read("job_folder").filter("folder_id = '8001'").first()
     assert str(row.created_at) == "2026-01-05 06:00:00" and str(row.last_seen_at) == "2026-02-01 00:00:00"
-    trail = tables.read("runs_on").filter("folder_id = '7101'").orderBy("last_seen_at").collect()
+    trail = tables.read("runs_on").filter("folder_id = '8001'").orderBy("last_seen_at").collect()
     assert [(r.server, str(r.since)) for r in trail] == [
         ("S1", "2026-01-05 06:00:00"), ("S9", "2026-02-01 00:00:00"),
     ]
-    assert tables.read("job_folder").count() == 8
-    made = tables.read("job_folder_was_generated_by").filter("folder_id = '7101'")
+    assert tables.read("job_folder").count() == 6
+    made = tables.read("job_folder_was_generated_by").filter("folder_id = '8001'")
     assert made.count() == 2
 
 
@@ -113,7 +116,7 @@ def test_structure_only_and_views(spark, tmp_path, scheduler):
     _, sources, _ = scheduler
     tables = TableSet(spark, str(tmp_path / "t"))
     results = chains.ingest_scheduler(tables, sources, CLOCK, from_views=True, structure_only=True)
-    assert counts(results) == {"controlm_folders": (7, 0, 0), "controlm_jobs": (13, 0, 0)}
+    assert counts(results) == {"controlm_folders": (5, 0, 0), "controlm_jobs": (14, 0, 0)}
     assert not tables.exists("condition")
     assert {r.source for r in RunLog(tables).runs().collect()} == {"oracle"}
 
@@ -132,17 +135,17 @@ def test_unmatched_and_rejected_rows_are_kept(spark, tmp_path, scheduler):
     _, sources, _ = scheduler
     tables = TableSet(spark, str(tmp_path / "t"))
     jobs = sources["controlm_jobs"].read(spark)
-    one = sources["controlm_folders"].read(spark).filter("folder_id = '7101'")
+    one = sources["controlm_folders"].read(spark).filter("folder_id = '8001'")
     chains.load_table("controlm_folders", Source("frame", one), tables, CLOCK)
     broken = jobs.withColumn(
-        "version_serial", F.when(F.col("job_name") == "RECON_WATCH", "x").otherwise(F.col("version_serial"))
+        "version_serial", F.when(F.col("job_name") == "Q4_STEP5_RUN", "x").otherwise(F.col("version_serial"))
     )
     summary = chains.load_table("controlm_jobs", Source("frame", broken), tables, RunClock("j"))
-    assert (summary.rows_processed, summary.rows_rejected, summary.rows_unmatched) == (12, 1, 10)
+    assert (summary.rows_processed, summary.rows_rejected, summary.rows_unmatched) == (13, 1, 11)
     assert tables.read("controlm_job").count() == 2
     bad = tables.read("rejected_row").first()
-    assert bad.errors == ["version_serial:integer"] and json.loads(bad.raw)["job_name"] == "RECON_WATCH"
-    assert tables.read("unmatched_row").count() == 10
+    assert bad.errors == ["version_serial:integer"] and json.loads(bad.raw)["job_name"] == "Q4_STEP5_RUN"
+    assert tables.read("unmatched_row").count() == 11
 
 
 def test_failed_load_is_logged(spark, tmp_path):
@@ -160,7 +163,7 @@ def test_failed_load_is_logged(spark, tmp_path):
 def test_reference_counts(reference):
     _, _, results, _ = reference
     assert counts(results) == {
-        "catalog_lobs": (4, 1, 0),
+        "catalog_lobs": (5, 1, 0),
         "product_lines": (3, 0, 0),
         "products": (3, 0, 0),
         "seal_applications": (2, 1, 0),
@@ -170,7 +173,7 @@ def test_reference_counts(reference):
     assert results["snapshots"] == {
         "applications": {"new": 2, "unchanged": 0},
         "products": {"new": 4, "unchanged": 0},
-        "catalog_lobs": {"new": 4, "unchanged": 0},
+        "catalog_lobs": {"new": 5, "unchanged": 0},
     }
 
 
@@ -179,7 +182,7 @@ def test_reference_rows(reference):
     read = lambda name, key: {r[key]: r for r in tables.read(name).collect()}
     assert set(read("business_segment", "code")) == {"CCB", "CIB", "AWM", "Corp", "CB"}
     assert {(r.lob_id, r.segment_code, r.confidence) for r in tables.read("reconciles_to").collect()} == {
-        ("L1", "CCB", 1.0), ("L2", "AWM", 0.5), ("L3", "Corp", 1.0),
+        ("N10", "AWM", 0.25), ("N30", "CIB", 0.9), ("N40", "CIB", 0.35), ("N50", "Corp", 0.6),
     }
     # the line with an unknown parent is a node without an edge
     assert set(read("product_line", "product_line_id")) == {"PL1", "PL2", "PL3"}
@@ -218,8 +221,8 @@ def test_snapshot_state(reference):
         "product_id": None, "dev_team_ids": [], "contact_ids": ["E1", "E2", "E3", "E4"],
     }
     lobs = {r.entity_key: json.loads(r.state_json) for r in tables.read("catalog_lob_snapshot").collect()}
-    assert lobs["L1"] == {
-        "code": "CCB", "name": "Consumer", "product_line_ids": ["PL1", "PL2"], "segment_codes": ["CCB"],
+    assert lobs["N30"] == {
+        "code": "PAY", "name": "Payments", "product_line_ids": ["PL1"], "segment_codes": ["CIB"],
     }
     assert tables.read("application_has_version").count() == 2
 
@@ -231,12 +234,12 @@ def test_refresh_again_changes_nothing_but_what_changed(spark, reference):
     assert again["snapshots"]["applications"] == {"new": 0, "unchanged": 2}
     changed = write_csv(
         folder / "lobs2.csv", "lob_id,code,name,reconciles_to_segment,reconcile_confidence",
-        [["L3", "CT", "Renamed", "Corp", "1.0"]],
+        [["N50", "SHARED", "Renamed", "Corp", "0.6"]],
     )
     chains.load_table("catalog_lobs", Source("delimited", changed), tables)
     later = RunClock(loaded_at="2026-04-01 00:00:00")
-    assert chains.write_snapshots(tables, later)["catalog_lobs"] == {"new": 1, "unchanged": 3}
-    spans = tables.read("catalog_lob_snapshot").filter("entity_key = 'L3'").orderBy("valid_from").collect()
+    assert chains.write_snapshots(tables, later)["catalog_lobs"] == {"new": 1, "unchanged": 4}
+    spans = tables.read("catalog_lob_snapshot").filter("entity_key = 'N50'").orderBy("valid_from").collect()
     assert [(str(r.valid_from), r.valid_to and str(r.valid_to)) for r in spans] == [
         ("2026-01-05", "2026-04-01"), ("2026-04-01", None),
     ]
@@ -244,7 +247,7 @@ def test_refresh_again_changes_nothing_but_what_changed(spark, reference):
     assert chains.prune_snapshots(tables, far) == {
         "application_snapshot": 0, "product_snapshot": 0, "catalog_lob_snapshot": 1,
     }
-    assert tables.read("catalog_lob_snapshot").count() == 4
+    assert tables.read("catalog_lob_snapshot").count() == 5
 
 
 def test_missing_source_is_skipped(spark, tmp_path):
@@ -292,21 +295,21 @@ def test_rename_needs_a_free_name(spark):
 
 def test_bootstrap_twice_is_the_same(spark, tmp_path):
     tables = TableSet(spark, str(tmp_path / "t"))
-    chains.bootstrap(tables, supplements=(), update_role_names=False)
+    chains.bootstrap(tables, supplements=())
     first = {n: tables.read(n).count() for n in tables.names()}
-    chains.bootstrap(tables, supplements=(), update_role_names=False)
+    chains.bootstrap(tables, supplements=())
     assert {n: tables.read(n).count() for n in tables.names()} == first
-    assert first["role"] == 8 and first["dq_metric"] == 10
+    assert first["role"] == 13 and first["dq_metric"] == 10
 
 
 def test_ready_dependency_rows_can_be_loaded(spark, tmp_path, scheduler):
     source, sources, _ = scheduler
     tables = TableSet(spark, str(tmp_path / "t"))
     row = {
-        "in_parent_table": "A", "in_job_name": "REFUND_DETAIL", "in_parent_table_id": "7101",
-        "in_job_id": "5", "in_table_job_id": "7101.5", "out_condition": "C", "dependent_table": "B",
-        "dependent_job": "PREP_DETAIL", "dependent_table_id": "7102", "dependent_job_id": "23",
-        "out_table_job_id": "7102.23", "recursion_level": "2", "dependency_path": "long",
+        "in_parent_table": "A", "in_job_name": "Q4_STEP5_RUN", "in_parent_table_id": "8004",
+        "in_job_id": "5", "in_table_job_id": "8004.5", "out_condition": "C", "dependent_table": "B",
+        "dependent_job": "Q2_STEP3_RUN", "dependent_table_id": "8002", "dependent_job_id": "3",
+        "out_table_job_id": "8002.3", "recursion_level": "2", "dependency_path": "long",
     }
     rows = [row, {**row, "recursion_level": "1", "dependency_path": "short"},
             {**row, "in_job_id": "404"}, {**row, "recursion_level": "0"}]
@@ -337,3 +340,23 @@ def test_product_mapping_completes_the_application_state(spark, tmp_path, refere
     states = {r.seal_id: r for r in chains.entity_states(tables)["applications"].collect()}
     assert (states["101"].product_id, states["101"].dev_team_ids) == ("P1", ["T1", "T2"])
     assert (states["777"].product_id, states["777"].dev_team_ids) == (None, ["T3"])
+
+
+def test_unmatched_rows_that_tie_are_all_kept(spark, tmp_path, scheduler):
+    _, sources, _ = scheduler
+    tables = TableSet(spark, str(tmp_path / "t"))
+    one = sources["controlm_folders"].read(spark).filter("folder_id = '8001'").drop("_seq")
+    chains.load_table("controlm_folders", Source("frame", one), tables, CLOCK)
+    # All jobs share one capture date; some have none.
+    jobs = sources["controlm_jobs"].read(spark).drop("_seq").withColumn(
+        "capture_date", F.when(F.col("job_id") == "2", F.lit(None)).otherwise("2026-01-02")
+    )
+    source = Source("frame", jobs, order_by="capture_date")
+    summary = chains.load_table("controlm_jobs", source, tables, RunClock("ties"))
+    lost = tables.read("unmatched_row")
+    assert summary.rows_unmatched == lost.count() == 12
+    names = {json.loads(r.row)["job_name"] for r in lost.collect()}
+    assert len(names) == 12 and "Q1_STEP1_RUN" not in names
+    # A replay of the same run replaces its rows.
+    chains.load_table("controlm_jobs", source, tables, RunClock("ties"))
+    assert tables.read("unmatched_row").count() == 12

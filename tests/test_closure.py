@@ -1,7 +1,8 @@
+from collections import Counter
 import random
 
 import pytest
-from estate import ANCHOR, write_scheduler
+from estate import ANCHOR, walked, write_scheduler
 from pyspark.sql import functions as F
 
 from jobweave.operators import closure
@@ -196,36 +197,48 @@ def by_level(frame):
     return {r.recursion_level: r["count"] for r in frame.groupBy("recursion_level").count().collect()}
 
 
-def test_golden_counts(estate_links):
+def expected_levels(paths):
+    """(paths by level, edges by their least level) of walked paths."""
+    least = {}
+    for path in paths:
+        ends = path[0], path[-1]
+        least[ends] = min(least.get(ends, len(path)), len(path))
+    return Counter(len(p) - 1 for p in paths), Counter(n - 1 for n in least.values())
+
+
+def test_levels_of_the_estate(estate_links):
     consumes, produces, _ = estate_links
+    by_path, by_edge = expected_levels(walked())
     paths = closure.dependency_paths(consumes, produces)
-    assert by_level(paths) == {1: 12, 2: 7, 3: 5, 4: 2}
+    assert by_level(paths) == by_path and max(by_path) == 3
     assert tuple(paths.columns) == closure.DEPENDENCY_COLUMNS
-    assert by_level(closure.shortest_edges(paths)) == {1: 12, 2: 3, 3: 2}
-    assert by_level(closure.dependency_edges(consumes, produces)) == {1: 12, 2: 3, 3: 2}
+    assert by_level(closure.shortest_edges(paths)) == by_edge
+    assert by_level(closure.dependency_edges(consumes, produces)) == by_edge
 
 
-def test_golden_counts_of_one_folder(estate_links):
+def test_levels_of_one_folder(estate_links):
     consumes, produces, _ = estate_links
+    # An anchored walk gives the paths from the anchor's jobs.
+    by_path, by_edge = expected_levels(walked([4]))
     paths = closure.dependency_paths(consumes, produces, anchor_folders=[ANCHOR])
-    assert by_level(paths) == {1: 8, 2: 4, 3: 3, 4: 2}
-    assert by_level(closure.shortest_edges(paths)) == {1: 8}
-    row = paths.filter("recursion_level = 4").first()
-    assert row.in_table_job_id == "7101.5" and row.dependency_path.count(" -> ") == 4
+    assert by_level(paths) == by_path
+    assert by_level(closure.shortest_edges(paths)) == by_edge
+    row = paths.filter("recursion_level = 3").first()
+    assert row.in_table_job_id.startswith("8004.") and row.dependency_path.count(" -> ") == 3
 
 
 def test_links_follow_active_folders_versions_and_sign(spark, estate_links):
     _, _, typed = estate_links
     jobs, folders = typed["controlm_jobs"], typed["controlm_folders"]
     out = typed["controlm_conditions_out"]
-    assert closure.job_links(jobs, folders, out).count() == 8
+    assert closure.job_links(jobs, folders, out).count() == 14
     idle = folders.withColumn(
-        "user_daily", F.when(F.col("folder_id") == "7103", " ").otherwise(F.col("user_daily"))
+        "user_daily", F.when(F.col("folder_id") == "8003", " ").otherwise(F.col("user_daily"))
     )
-    assert closure.job_links(jobs, idle, out).count() == 5
+    assert closure.job_links(jobs, idle, out).count() == 10
     assert closure.job_links(jobs.withColumn("version_serial", F.lit(9)), folders, out).count() == 0
     removing = out.withColumn("sign", F.lit("-"))
-    assert closure.job_links(jobs, folders, removing).count() == 8
+    assert closure.job_links(jobs, folders, removing).count() == 14
     assert closure.job_links(jobs, folders, removing, only_posting=True).count() == 0
 
 

@@ -39,5 +39,5 @@ def test_a_load_fed_by_a_stream(spark, tmp_path):
     tables = TableSet(spark, str(tmp_path / "t"))
     stream = file_stream(spark, str(tmp_path / "in"), rows.schema)
     load_stream(stream, tables, FOLDERS, str(tmp_path / "c")).awaitTermination()
-    assert tables.read("job_folder").count() == 8
+    assert tables.read("job_folder").count() == 6
     assert RunLog(tables).runs().first().source == "stream"

@@ -83,7 +83,7 @@ def test_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     spark.range(5).selectExpr("id k", "-id v", "id _seq").write.parquet(str(tmp_path / "batch"))
     table, batch = (spark.read.parquet(str(tmp_path / n)) for n in ("table", "batch"))
     merge = Merge(("k",), (), ("v",))
-    merged = upsert(table, batch, merge)
+    merged = upsert(table, batch, merge, small=True)
     merged.collect()
     plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     for shuffled in ("SortMergeJoin", "ShuffledHashJoin", "FullOuter"):
