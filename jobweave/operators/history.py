@@ -222,11 +222,13 @@ def effective_join(
 
     With key columns it is an equi join and a residual range test. Without
     keys, ranges are spread over the calendar years they touch, so the join
-    still hashes on a year; years beyond ``horizon`` share its bucket.
+    still hashes on a year; years beyond the required ``horizon`` share its bucket.
     """
     if on:
         return facts.join(ranges, list(on)).filter(in_force(F.col(day), start, end))
-    last = (horizon or date.today()).year
+    if horizon is None:
+        raise ValueError("a join without keys needs a horizon")
+    last = horizon.year
     first_year = F.least(F.year(start), F.lit(last))
     last_year = F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
     spread = ranges.withColumn("_year", F.explode(F.sequence(first_year, last_year)))

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.sources.files import fits_broadcast
 from jobweave.sources.readers import SEQ
 
 
@@ -74,17 +73,17 @@ def upsert(
     merge: Merge,
     seq: str = SEQ,
     collapsed: bool = False,
-    small: bool | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """The table after the batch, column by column.
 
     Target columns the batch does not carry stay as they are, and are NULL on
     new rows, so a stub holding only its key is the same call.
 
-    A large batch meets the table in one full outer join. A ``small`` one (by
-    default: Spark's size estimate is below its broadcast limit) leaves the
-    table where it is: existing rows pick up their changes in a broadcast join
-    and only rows with new keys are added, so nothing of the table is shuffled.
+    The batch meets the table in one full outer join. A caller that has staged a
+    ``small`` batch, such as a micro-batch, says so: existing rows then pick up
+    their changes in a left join, which can broadcast the batch, and only rows
+    with new keys are added. Both ways give the same rows.
     """
     new = batch.select(*merge.columns) if collapsed else collapse(batch, merge, seq)
     if target is None:
@@ -102,7 +101,7 @@ def upsert(
     )
     keys = list(merge.keys)
     ordered = [c for c in target.columns if c not in merge.keys] + extra
-    if fits_broadcast(new) if small is None else small:
+    if small:
         updated = old_side.join(new_side, keys, "left")
         present = target.select(*keys).join(new.select(*keys), keys, "left_semi")
         added = new.join(present, keys, "left_anti")
@@ -159,9 +158,14 @@ def fixed_children(df: DataFrame, kinds: Sequence[str], kind: str = "kind") -> D
     return df.select("*", F.explode(listed).alias(kind))
 
 
+def is_given(column: str) -> Column:
+    """The optional reference is present and not blank."""
+    return F.col(column).isNotNull() & (F.trim(F.col(column)) != "")
+
+
 def optional_reference(df: DataFrame, column: str) -> DataFrame:
-    """Rows that carry a usable reference: not NULL and not blank."""
-    return df.filter(F.col(column).isNotNull() & (F.trim(F.col(column)) != ""))
+    """Rows that carry a usable reference."""
+    return df.filter(is_given(column))
 
 
 def union_in_order(first: DataFrame, *others: DataFrame, seq: str = SEQ) -> DataFrame:

@@ -70,7 +70,7 @@ def bootstrap(
     ends = ["company", "segment_code"]
     seeds = [
         (_merge_static, "ontology_term", vocabulary.published_terms(spark), ["iri"]),
-        (_merge_static, "role", _plain_roles(spark), ["name"]),
+        (_merge_static, "role", _plain_roles(tables), ["name"]),
         (_merge_static, "scheduler_kind", vocabulary.scheduler_kinds(spark), ["name"]),
         (_merge_static, "company", vocabulary.company(spark), ["name"]),
         (_merge_static, "business_segment", vocabulary.business_segments(spark), ["code"]),
@@ -88,9 +88,14 @@ def bootstrap(
         update_roles(tables)
 
 
-def _plain_roles(spark: SparkSession) -> DataFrame:
+def _plain_roles(tables: TableSet) -> DataFrame:
     """Seed roles that are not stored under a newer name already."""
-    return vocabulary.seed_roles(spark).select("name", "source", "description")
+    seeds = vocabulary.seed_roles(tables.spark).select("name", "source", "description")
+    stored = tables.read_or_none("role")
+    if stored is None or "deprecated_name" not in stored.columns:
+        return seeds
+    renamed = stored.select(F.col("deprecated_name").alias("name")).filter(F.col("name").isNotNull())
+    return seeds.join(renamed.distinct(), "name", "left_anti")
 
 
 def apply_supplement(tables: TableSet, name: str, namespace: str = LOCAL_NAMESPACE) -> None:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.operators.reshape import splay_list, wide_to_long
-from jobweave.operators.upsert import Merge, fixed_children, require_parents, upsert
+from jobweave.operators.upsert import Merge, fixed_children, is_given, require_parents, upsert
 from jobweave.operators.validate import RowSpec, split_rows_once
 from jobweave.session import RunClock
 from jobweave.sinks.runs import LoadSummary, RunLog
@@ -112,7 +112,7 @@ def run_load(
         summary.rows_processed = checked.accepted_count
         summary.rows_rejected = checked.rejected_count
         if summary.rows_rejected:
-            tables.append(
+            tables.replace_run(
                 "rejected_row",
                 checked.rejected.select(
                     F.lit(clock.run_id).alias("run_id"),
@@ -121,6 +121,7 @@ def run_load(
                     F.col("_errors").alias("errors"),
                     F.to_json("_raw").alias("raw"),
                 ),
+                clock.run_id,
             )
         good = checked.accepted.withColumns(
             {
@@ -130,22 +131,24 @@ def run_load(
                 "_run_date": clock.day(),
             }
         )
-        matched = good
+        matched, lost = good, []
         for table, on in load.parents:
-            matched, _ = require_parents(matched, tables.read(table), on)
+            matched, without = require_parents(matched, tables.read(table), on)
+            lost.append(without)
         if load.parents:
             matched, found = StagedFolder(tables.spark, f"matched-{load.name}").write(matched, "rows")
             summary.rows_unmatched = summary.rows_processed - found
             if summary.rows_unmatched:
-                known = matched.select(SEQ)
-                tables.append(
+                # A row is lost at the first parent it lacks, whatever it ties with.
+                tables.replace_run(
                     "unmatched_row",
-                    good.join(known, SEQ, "left_anti").select(
+                    reduce(DataFrame.unionByName, lost).select(
                         F.lit(clock.run_id).alias("run_id"),
                         F.lit(load.loader).alias("loader"),
                         F.col(SEQ).cast("string").alias("row_index"),
                         F.to_json(F.struct(*load.spec.names)).alias("row"),
                     ),
+                    clock.run_id,
                 )
         run_together(
             tables.spark, [partial(_apply, write, matched, tables) for write in load.writes]
@@ -169,8 +172,7 @@ def _same(*names: str) -> dict[str, str]:
 
 
 def _given(column: str) -> Callable[[], Column]:
-    """The optional reference is present and not blank."""
-    return lambda: F.col(column).isNotNull() & (F.trim(F.col(column)) != "")
+    return partial(is_given, column)
 
 
 def _generated(table: str, keys: Columns, source: str) -> Write:
@@ -427,9 +429,9 @@ CONTACTS = Load(
 # --- scheduler ---------------------------------------------------------------
 
 # The source recorded on rows of each scheduler extract.
-_FOLDER_VIEW, _JOB_VIEW = "psgmgr.CM_DEF_VTAB", "psgmgr.CM_DEF_VJOB"
-_IN_VIEW, _OUT_VIEW = "psgmgr.CM_DEF_LNKI_P_VW", "psgmgr.CM_DEF_LNKO_P_VW"
-_DERIVED = "psgmgr.recursive_predecessor"
+_FOLDER_VIEW, _JOB_VIEW = "scheduler.folders", "scheduler.jobs"
+_IN_VIEW, _OUT_VIEW = "scheduler.conditions_in", "scheduler.conditions_out"
+_DERIVED = "scheduler.derived"
 
 FOLDERS = Load(
     specs.FOLDERS,

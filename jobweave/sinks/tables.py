@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobweave.sources.files import child_names, path_exists
@@ -63,7 +64,8 @@ class TableSet:
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write the next version and return it as the new current table.
 
-        Two writers of one version cannot both succeed: the second fails.
+        A table has one writer at a time: a version that is there already fails the
+        write, but two writers that start together are not kept apart.
         """
         version = max(self._versions(name), default=0) + 1
         folder = self._folder(name, version)
@@ -77,3 +79,10 @@ class TableSet:
         return self.write(
             name, df if current is None else current.unionByName(df, allowMissingColumns=True)
         )
+
+    def replace_run(self, name: str, df: DataFrame, run_id: str) -> DataFrame:
+        """The current rows of other runs plus those of this one, so a replay adds nothing."""
+        current = self.read_or_none(name)
+        if current is not None:
+            df = current.filter(F.col("run_id") != run_id).unionByName(df, allowMissingColumns=True)
+        return self.write(name, df)

@@ -17,9 +17,13 @@ def with_sequence(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """Input order for first-wins / last-wins merges.
 
     A file scan numbers rows in file order; a source without an order names a
-    column that has one.
+    column that has one. Rows that tie in it are ordered by a hash of the whole
+    row, so first-wins and last-wins pick the same row on every run.
     """
-    return df.withColumn(SEQ, F.col(order_by) if order_by else F.monotonically_increasing_id())
+    if not order_by:
+        return df.withColumn(SEQ, F.monotonically_increasing_id())
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn(SEQ, F.struct(F.col(order_by).alias("by"), tie.alias("tie")))
 
 
 def scan_delimited(

@@ -6,6 +6,7 @@ batch replayed after a failure leaves the same rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +45,10 @@ def merge_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
-        # Written once, the batch has a known size, and a small one is merged
-        # without shuffling the table.
+        # Written once, the batch has a known size, so its join can be a broadcast.
         changes = stage(collapse(rows, merge, seq), f"batch-{name}")
         current = tables.read_or_none(name)
-        tables.write(name, upsert(current, changes, merge, collapsed=True))
+        tables.write(name, upsert(current, changes, merge, collapsed=True, small=True))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -61,7 +61,9 @@ def load_stream(
     """A registered load fed by a stream: checks, rejects and merges per micro-batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run_load(load, prepare(batch) if prepare else batch, tables, RunClock(), "stream")
+        # A replayed micro-batch is the same run: its edges and kept rows are replaced.
+        run = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{checkpoint}/{batch_id}"))
+        run_load(load, prepare(batch) if prepare else batch, tables, RunClock(run), "stream")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
