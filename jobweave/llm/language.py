@@ -148,8 +148,9 @@ def _sampled(
     mix = F.xxhash64(F.lit("language"), "id")
     first = Window.partitionBy("lang").orderBy(mix, "id")
     # About twice the rows wanted pass, so that a common language is not ranked whole in one task.
+    # One row per language is sent to all tasks, less than the drawn ids that follow.
     share = F.pmod(mix, F.lit(1 << 31)) / (1 << 31)
-    passed = narrow.join(sizes, "lang").filter(share * F.col("size") <= 2.0 * rows).select("id", "lang")
+    passed = narrow.join(F.broadcast(sizes), "lang").filter(share * F.col("size") <= 2.0 * rows).select("id", "lang")
     drawn = passed.distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= rows)
     chosen = (
         docs.filter(usable)
