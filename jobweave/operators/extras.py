@@ -15,16 +15,19 @@ from jobweave.sources.files import StagedFolder
 
 
 def bounded_reach(
-    edges: DataFrame, source: str, target: str, max_hops: int
+    edges: DataFrame, source: str, target: str, max_hops: int, starts: DataFrame | None = None
 ) -> DataFrame:
     """Distinct (source, target) pairs within ``max_hops`` hops, with the fewest hops.
 
     Breadth first: each pair is visited once, so cycles end by themselves.
+    ``starts`` has the sources to walk from; without it every source is one.
     """
     folder = StagedFolder(edges.sparkSession, "reach")
     hop = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
     hop, count = folder.write(hop, "edges")
     pairs = hop.select(F.col("_from").alias(source), F.col("_to").alias(target))
+    if starts is not None:
+        pairs = pairs.join(starts.select(source).distinct(), source, "left_semi")
     schema = pairs.withColumn("hops", F.lit(1)).schema
     frontier, count = folder.write(pairs, "pairs/hops=1")
     hops = 1
@@ -50,7 +53,7 @@ def support_teams(
     ``operate_managers``: (seal_id, manager_id); ``manages``: (manager_id,
     employee_id); ``member_of``: (employee_id, group_name).
     """
-    reports = bounded_reach(manages, "manager_id", "employee_id", max_hops)
+    reports = bounded_reach(manages, "manager_id", "employee_id", max_hops, operate_managers)
     # Team size per manager first: applications that share a manager share it.
     sizes = (
         reports.join(member_of, "employee_id")
@@ -107,11 +110,10 @@ def attribute_channels(
     condition: time. Otherwise what the job itself suggests (``inferred``).
     """
     emitters = emits.groupBy(condition).agg(
-        F.count_distinct(F.struct(*keys)).alias("_emitters"),
-        F.min(F.struct(*keys)).alias("_some"),
+        F.min(F.struct(*keys)).alias("_least"), F.max(F.struct(*keys)).alias("_greatest")
     )
     marked = requires.select(*keys, condition).distinct().join(emitters, condition, "left")
-    other = (F.col("_emitters") > 1) | (F.col("_some") != F.struct(*keys))
+    other = (F.col("_least") != F.struct(*keys)) | (F.col("_greatest") != F.struct(*keys))
     per_job = marked.groupBy(*keys).agg(
         F.max(F.coalesce(other, F.lit(False))).alias("_upstream")
     )
