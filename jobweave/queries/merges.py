@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators.history import latest_per_key
 from jobweave.operators.upsert import Merge, provenance, rename_keys, union_in_order, upsert
+from jobweave.operators.validate import Field, RowSpec
+from jobweave.plans.loads import Load, Write, run_load
 from jobweave.queries.registry import query, table
+from jobweave.session import RunClock
 from jobweave.sinks.tables import TableSet
-from jobweave.sources.files import shared_folder
+from jobweave.sources.files import StagedFolder, shared_folder
+from jobweave.sources.readers import with_sequence
 from jobweave.sources.vocabulary import rename_roles
 from jobweave.streaming.micro_batch import file_stream, merge_stream
 
@@ -273,3 +277,60 @@ def stream_upsert_events(spark: SparkSession, folder: str) -> DataFrame:
     )
     running.awaitTermination()
     return tables.read("user")
+
+
+_ORDER_LINES = Load(
+    RowSpec(
+        "order_lines",
+        (
+            Field("order_key", kind="integer", required=True),
+            Field("line", kind="integer", required=True),
+            Field("ship_day"),
+        ),
+    ),
+    (Write("order_line", {"order_key": "order_key", "line": "line"}, set_columns={"ship_day": "ship_day"}),),
+    parents=(("order_header", {"order_key": "order_key"}),),
+)
+
+
+@query(
+    """
+    SELECT DISTINCT 'accepted' AS outcome, l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE l_linenumber <> 7 AND o_orderstatus <> 'P'
+    UNION ALL
+    SELECT 'unmatched', l_orderkey, l_linenumber
+    FROM lineitem
+    WHERE l_linenumber <> 7
+      AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')
+    UNION ALL
+    SELECT 'rejected', l_orderkey, 0 FROM lineitem WHERE l_linenumber = 7
+    """
+)
+def load_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """A load of all order lines: the last of an order is rejected, pending orders are unknown.
+
+    Lines arrive in order of their ship day, which many of them share.
+    """
+    tables = TableSet(spark, StagedFolder(spark, "load-outcomes").root)
+    orders = table(spark, folder, "orders").filter("o_orderstatus <> 'P'")
+    tables.write("order_header", orders.select(F.col("o_orderkey").alias("order_key")))
+    line = F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(F.col("l_linenumber").cast("string"))
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("order_key"),
+        line.alias("line"),
+        F.col("l_shipdate").cast("date").cast("string").alias("ship_day"),
+    )
+    clock = RunClock("load-outcomes", "2026-01-05 06:00:00")
+    run_load(_ORDER_LINES, with_sequence(rows, order_by="ship_day"), tables, clock)
+
+    def outcome(name: str, key: Column, number: Column) -> list[Column]:
+        return [F.lit(name).alias("outcome"), key.cast("bigint").alias("order_key"), number.cast("bigint").alias("line")]
+
+    def part(column: str, name: str) -> Column:
+        return F.get_json_object(column, f"$.{name}")
+
+    accepted = tables.read("order_line").select(*outcome("accepted", F.col("order_key"), F.col("line")))
+    lost = tables.read("unmatched_row").select(*outcome("unmatched", part("row", "order_key"), part("row", "line")))
+    bad = tables.read("rejected_row").select(*outcome("rejected", part("raw", "order_key"), F.lit(0)))
+    return accepted.unionByName(lost).unionByName(bad)
