@@ -144,7 +144,8 @@ def _sampled(
     narrow = docs.filter(usable).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang")
     )
-    sizes = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    # Ids, not rows: a row that repeats a thousand times must not thin out the others.
+    sizes = narrow.groupBy("lang").agg(F.approx_count_distinct("id").alias("size"))
     mix = F.xxhash64(F.lit("language"), "id")
     first = Window.partitionBy("lang").orderBy(mix, "id")
     # About twice the rows wanted pass, so that a common language is not ranked whole in one task.
@@ -175,7 +176,10 @@ def _sampled(
                 ["at", "lang", "seen", "weight"],
             )
 
-    return chosen.mapInArrow(run, "at int, lang string, seen binary, weight binary")
+    found = chosen.mapInArrow(run, "at int, lang string, seen binary, weight binary")
+    # Rows that repeat an id and its language count once, so their number has no say in what is collected.
+    least = F.min(F.struct("seen", "weight")).alias("least")
+    return found.groupBy("at", "lang").agg(least).select("at", "lang", "least.seen", "least.weight")
 
 
 def train(

@@ -361,6 +361,18 @@ def test_language_on_odd_rows(sample, documents):
     assert kept.columns == documents(ODD).columns and kept.filter("doc_id in (1, 2, 3)").isEmpty()
 
 
+def test_rows_of_one_id_are_one_example(documents):
+    """A repeated id, with the same or another text, adds nothing to what training collects."""
+    once = [(i, f"word{i} lorem ipsum") for i in range(40)]
+    often = once + [once[0]] * 500 + [(0, "zzz another text")] * 500
+    usable = F.col("lang").isNotNull()
+
+    def drawn(rows):
+        return language._sampled(documents(rows), "doc_id", "text", "lang", usable, 100)
+
+    assert drawn(once).count() == drawn(often).count() == len(once)
+
+
 # 10 personal data
 
 PATTERNS = (
@@ -397,6 +409,14 @@ def test_base_spans_equal_the_patterns(plain):
         assert base == plain_spans(text), text
 
 
+def test_long_runs_of_digits_are_read_once():
+    assert personal.spans("7" * 300_000 + " a.b") == []
+    zeros = "0" * 5000
+    long = f"{zeros}.{zeros}1.2.3"
+    assert [s[:3] for s in personal.spans(long) if s.kind == "ip"] == [("ip", 0, len(long))]
+    assert [s.kind for s in personal.spans(f"{'9' * 5000}.1.2.3")] == []
+
+
 def test_added_kinds_and_redaction(documents):
     text = "pay to IBAN DE89 3704 0044 0532 0130 00, ssn 123-45-6789, mail a.b@c.org; not 123-45-6780 here"
     kinds = [s.kind for s in personal.spans(text)]
