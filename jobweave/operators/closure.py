@@ -33,6 +33,8 @@ EDGE_KEYS = (
 )
 _SUCCESSOR = ("in_parent_table", "in_job_name", "in_parent_table_id", "in_job_id")
 _PREDECESSOR = ("dependent_table", "dependent_job", "dependent_table_id", "dependent_job_id")
+# What an edge walk starts from; further hops go by job name alone.
+_START = ("in_parent_table_id", "in_job_id", "in_job_name")
 
 
 def active_folders(folders: DataFrame) -> DataFrame:
@@ -281,90 +283,222 @@ def shortest_edges(paths: DataFrame) -> DataFrame:
     )
 
 
+def _visits(
+    first: DataFrame,
+    name_hops: DataFrame,
+    folder: StagedFolder,
+    part: str,
+    keys: Sequence[str],
+    barred: Sequence[str],
+    max_level: int,
+) -> DataFrame:
+    """(keys, _at, _path, _level): the least path from each start to each name it reaches.
+
+    ``first`` holds the names one hop away. The walk is breadth first and never
+    enters a name in the ``barred`` columns. A shortest path repeats no name.
+    """
+    frontier, count = folder.write(first, f"{part}/_level=1")
+    schema = T.StructType([*first.schema.fields, T.StructField("_level", T.IntegerType())])
+    level = 1
+    while count and level < max_level:
+        level += 1
+        onward = frontier.join(name_hops, F.col("_at") == F.col("_from"))
+        for name in barred:
+            onward = onward.filter(F.col("_to") != F.col(name))
+        reached = onward.groupBy(*keys, F.col("_to").alias("_at")).agg(
+            F.min(F.concat("_path", F.lit(ARROW), "_to")).alias("_path")
+        )
+        seen = folder.read(schema, part).select(*keys, "_at")
+        frontier, count = folder.write(
+            reached.join(seen, [*keys, "_at"], "left_anti"), f"{part}/_level={level}"
+        )
+    return folder.read(schema, part)
+
+
+def _meets_arrow(name: str) -> Column:
+    """Whether the substring guard could find a name across the arrows of a path."""
+    column = F.col(name)
+    ends = [ARROW[:n] for n in range(1, len(ARROW))]
+    begins = [ARROW[n:] for n in range(1, len(ARROW))]
+    met = column.contains(ARROW) | (F.instr(F.lit(ARROW), column) > 0)
+    for text in ends:
+        met = met | column.endswith(text)
+    for text in begins:
+        met = met | column.startswith(text)
+    return met
+
+
+def _names_inside(names: DataFrame) -> DataFrame:
+    """(_outer, _inner) of the ``name`` values that lie inside others, by equality with their pieces."""
+    length = F.char_length("name")
+    pieces = (
+        names.filter(length > 0)
+        .select("name", F.explode(F.sequence(F.lit(1), length)).alias("_first"))
+        .select("name", "_first", F.explode(F.sequence(F.lit(1), length - F.col("_first") + 1)).alias("_size"))
+        .select(F.col("name").alias("_outer"), F.substring("name", F.col("_first"), F.col("_size")).alias("_inner"))
+        .filter(F.col("_outer") != F.col("_inner"))
+        .distinct()
+    )
+    return pieces.join(names.select(F.col("name").alias("_inner")), "_inner", "left_semi")
+
+
+def _hidden_starts(visits: DataFrame, every_job_starts: bool) -> DataFrame:
+    """Starts on whose paths the substring guard may stop at a name unlike all before it.
+
+    Such a path holds a name and, later, one that lies inside it. If every job
+    is a start, the pairs are those in which the outer name reaches the inner.
+    """
+    own = visits.select(*_START, F.col("in_job_name").alias("_at")).distinct()
+    reach = visits.select(*_START, "_at").union(own)
+    if every_job_starts:
+        inside = (
+            visits.filter(F.instr("in_job_name", F.col("_at")) > 0)
+            .select(F.col("in_job_name").alias("_outer"), F.col("_at").alias("_inner"))
+            .distinct()
+        )
+    else:
+        inside = _names_inside(reach.select(F.col("_at").alias("name")).distinct())
+    both = (
+        reach.join(inside, F.col("_at") == F.col("_outer"))
+        .select(*_START, F.col("_inner").alias("_at"))
+        .join(visits.select(*_START, "_at"), [*_START, "_at"], "left_semi")
+    )
+    return both.select(*_START).union(visits.filter(_meets_arrow("_at")).select(*_START)).distinct()
+
+
 def dependency_edges(
     consumes: DataFrame,
     produces: DataFrame,
     max_level: int = 10,
     guard: str = "substring",
     match_cyclic: bool = False,
+    anchor_folders: Sequence[str] | None = None,
+    anchor_like: str | None = None,
 ) -> DataFrame:
     """The edges of :func:`shortest_edges` without listing every path.
 
     The number of paths can grow exponentially with the level, the number of
     edges cannot. So each successor walks breadth first and visits every job
-    name once, keeping its least path; one join of all visits with the direct
-    dependencies then gives the edges. That is exact unless the cycle guard
-    could fire, i.e. some job reaches a job whose name the guard would find in
-    its own. Successors that touch such a job are found from the visited pairs
-    and are walked path by path instead.
+    name once, keeping its least path. One join of all visits with the direct
+    dependencies gives the edges: a last hop is certain unless its target lies
+    on the stored path. Where no certain edge is nearer, such a target is left
+    out and the walk repeated for that successor, which gives the least path
+    around it.
+
+    That is exact while the guard compares whole names. The substring guard
+    differs only for successors that reach a name and another one inside it;
+    those alone are walked path by path. With an anchor only the chosen
+    successors start a walk.
     """
+    if guard not in ("substring", "exact"):
+        raise ValueError(f"unknown guard {guard!r}")
     folder = StagedFolder(consumes.sparkSession, "edges")
     direct, _ = folder.write(direct_dependencies(consumes, produces, match_cyclic), "direct")
-    start = ("in_parent_table_id", "in_job_id", "in_job_name")
     name_hops = direct.select(
         F.col("in_job_name").alias("_from"), F.col("dependent_job").alias("_to")
     ).distinct()
     name_hops, _ = folder.write(name_hops, "hops")
-
-    reached = direct.groupBy(*start, F.col("dependent_job").alias("_at")).agg(
+    chosen = anchored(
+        direct.withColumn("folder", F.col("in_parent_table")), anchor_folders, anchor_like
+    ).drop("folder")
+    first = chosen.groupBy(*_START, F.col("dependent_job").alias("_at")).agg(
         F.min(_path()).alias("_path")
     )
-    visit_schema = T.StructType([*reached.schema.fields, T.StructField("_level", T.IntegerType())])
-    frontier, count = folder.write(reached, "visits/_level=1")
-    level = 1
-    while count and level < max_level:
-        level += 1
-        reached = (
-            frontier.join(name_hops, F.col("_at") == F.col("_from"))
-            .groupBy(*start, F.col("_to").alias("_at"))
-            .agg(F.min(F.concat("_path", F.lit(ARROW), "_to")).alias("_path"))
-        )
-        seen = folder.read(visit_schema, "visits").select(*start, "_at")
-        frontier, count = folder.write(
-            reached.join(seen, [*start, "_at"], "left_anti"), f"visits/_level={level}"
-        )
-    visits = folder.read(visit_schema, "visits")
+    visits = _visits(first, name_hops, folder, "visits", _START, ["in_job_name"], max_level)
 
-    clash = (
-        F.instr("in_job_name", F.col("_at")) > 0
-        if guard == "substring"
-        else F.col("in_job_name") == F.col("_at")
-    )
-    clashing = visits.filter(clash).select(F.col("in_job_name").alias("_name")).distinct()
-    clashing, clashes = folder.write(clashing, "clashing")
+    rows = [*EDGE_KEYS, "recursion_level", "dependency_path"]
+    walked = None
+    if guard == "substring":
+        everything = anchor_folders is None and anchor_like is None
+        hidden, number = folder.write(_hidden_starts(visits, everything), "hidden")
+        if number:
+            listed = _walk_stepwise(
+                chosen.join(hidden, list(_START), "left_semi"), lambda _: direct, folder, max_level, guard
+            )
+            walked = listed.withColumn("dependency_path", _path()).select(*rows)
+            chosen = chosen.join(hidden, list(_START), "left_anti")
+            visits = visits.join(hidden, list(_START), "left_anti")
 
     hops = direct.select(
         F.col("in_job_name").alias("_from"), "out_condition", *_PREDECESSOR[1:]
     ).distinct()
-    chosen = [*EDGE_KEYS, "recursion_level", "dependency_path"]
-    near = direct.select(
-        *EDGE_KEYS, "in_job_name", F.lit(1).alias("recursion_level"), _path().alias("dependency_path")
+    # A name is found on a path between arrows; finding it in error costs a walk, not a row.
+    on_path = F.instr(
+        F.concat(F.lit(ARROW), "_path", F.lit(ARROW)), F.concat(F.lit(ARROW), "dependent_job", F.lit(ARROW))
     )
-    far = visits.filter(F.col("_level") < max_level).join(hops, F.col("_at") == F.col("_from"))
-    walked = near.unionByName(
-        far.select(
+    far = (
+        visits.filter(F.col("_level") < max_level)
+        .join(hops, F.col("_at") == F.col("_from"))
+        .filter(F.col("dependent_job") != F.col("in_job_name"))
+        .select(
             *EDGE_KEYS,
             "in_job_name",
+            "dependent_job",
             (F.col("_level") + 1).alias("recursion_level"),
             F.concat("_path", F.lit(ARROW), "dependent_job").alias("dependency_path"),
+            (on_path > 0).alias("_doubtful"),
         )
     )
-    if not clashes:
-        return shortest_edges(walked)
-    guarded = (
-        visits.join(clashing, F.col("_at") == F.col("_name"), "left_semi")
-        .select(*start)
-        .union(
-            visits.join(clashing, F.col("in_job_name") == F.col("_name"), "left_semi").select(*start)
-        )
-        .distinct()
+    near = chosen.select(
+        *EDGE_KEYS,
+        "in_job_name",
+        "dependent_job",
+        F.lit(1).alias("recursion_level"),
+        _path().alias("dependency_path"),
+        F.lit(False).alias("_doubtful"),
+    )
+    found = near.unionByName(far).groupBy(*EDGE_KEYS).agg(
+        F.min(F.when(~F.col("_doubtful"), F.struct("recursion_level", "dependency_path"))).alias("_best"),
+        F.min(F.when(F.col("_doubtful"), F.col("recursion_level"))).alias("_doubt"),
+    )
+    # A doubtful edge is at this level at least.
+    is_open = F.col("_doubt").isNotNull() & (
+        F.col("_best").isNull() | (F.col("_best.recursion_level") >= F.col("_doubt"))
+    )
+    found, _ = folder.write(found.withColumn("_open", is_open), "found")
+    certain = found.filter(F.col("_best").isNotNull()).select(
+        *EDGE_KEYS, "_best.recursion_level", "_best.dependency_path"
+    )
+    open_edges = found.filter("_open").select(*EDGE_KEYS)
+    around = far.filter("_doubtful").join(open_edges, list(EDGE_KEYS), "left_semi")
+    around, number = folder.write(
+        around.select(*_START, F.col("dependent_job").alias("_avoid")).distinct(), "around"
+    )
+    parts = [certain] + ([walked] if walked is not None else [])
+    if number:
+        parts.append(_edges_around(chosen, around, hops, name_hops, folder, max_level))
+    if len(parts) == 1:
+        return certain
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    return shortest_edges(together)
+
+
+def _edges_around(
+    direct: DataFrame,
+    around: DataFrame,
+    hops: DataFrame,
+    name_hops: DataFrame,
+    folder: StagedFolder,
+    max_level: int,
+) -> DataFrame:
+    """Edges to each ``_avoid`` name over the least paths that do not pass it before."""
+    keys = (*_START, "_avoid")
+    first = (
+        direct.join(around, list(_START))
+        .filter(F.col("dependent_job") != F.col("_avoid"))
+        .groupBy(*keys, F.col("dependent_job").alias("_at"))
+        .agg(F.min(_path()).alias("_path"))
+    )
+    barred = ["in_job_name", "_avoid"]
+    visits = _visits(first, name_hops, folder, "detours", keys, barred, max_level)
+    last = (F.col("_at") == F.col("_from")) & (F.col("_avoid") == F.col("dependent_job"))
+    return visits.filter(F.col("_level") < max_level).join(hops, last).select(
+        *EDGE_KEYS,
+        (F.col("_level") + 1).alias("recursion_level"),
+        F.concat("_path", F.lit(ARROW), "dependent_job").alias("dependency_path"),
     )
-    guarded, _ = folder.write(guarded, "guarded")
-    paths = _walk_stepwise(
-        direct.join(guarded, list(start), "left_semi"), lambda _: direct, folder, max_level, guard
-    ).withColumn("dependency_path", _path())
-    free = walked.join(guarded, list(start), "left_anti")
-    return shortest_edges(free.select(*chosen).unionByName(paths.select(*chosen)))
 
 
 def composite_key(*parts: str) -> Column:
