@@ -266,11 +266,6 @@ def dependency_paths(
     return _report(_walk_stepwise(start, steps_from, folder, max_level, guard))
 
 
-def in_display_order(paths: DataFrame) -> DataFrame:
-    """Sorted by successor and level, for reading; no operator depends on it."""
-    return paths.orderBy("in_job_name", "recursion_level")
-
-
 def shortest_edges(paths: DataFrame) -> DataFrame:
     """One edge per (successor, predecessor, condition): the least (level, path).
 

@@ -196,11 +196,25 @@ def scheduler_rows(
 def derived_dependencies(
     jobs: DataFrame, folders: DataFrame, links_in: DataFrame, links_out: DataFrame, **options
 ) -> DataFrame:
-    """Closure rows from the four typed extracts; options as in ``dependency_paths``."""
+    """Dependency rows, the least per edge, from the four typed extracts.
+
+    Options as in ``dependency_edges``. Only edges are stored, so no path is
+    listed. The names at both ends are those of the path.
+    """
     only_posting = options.pop("only_posting", False)
     consumes = closure.job_links(jobs, folders, links_in)
     produces = closure.job_links(jobs, folders, links_out, only_posting)
-    return closure.dependency_paths(consumes, produces, **options)
+    edges = closure.dependency_edges(consumes, produces, **options)
+    return edges.select(
+        # Not stored, and may be empty.
+        F.lit("").alias("in_parent_table"),
+        F.lit("").alias("dependent_table"),
+        F.substring_index("dependency_path", closure.ARROW, 1).alias("in_job_name"),
+        F.substring_index("dependency_path", closure.ARROW, -1).alias("dependent_job"),
+        closure.composite_key("in_parent_table_id", "in_job_id").alias("in_table_job_id"),
+        closure.composite_key("dependent_table_id", "dependent_job_id").alias("out_table_job_id"),
+        *edges.columns,
+    )
 
 
 def ingest_scheduler(
@@ -231,16 +245,16 @@ def ingest_scheduler(
     if dependencies is not None:
         derived = dependencies.read(spark)
     else:
-        raw = scheduler_rows(sources, spark, drop_inactive=False)
+        raw = scheduler_rows(sources, spark, drop_inactive=False) if from_views else rows
         typed = {n: _typed(raw[n], n) for n in SCHEDULER_STAGES}
-        paths = derived_dependencies(
+        edges = derived_dependencies(
             typed["controlm_jobs"],
             typed["controlm_folders"],
             typed["controlm_conditions_in"],
             typed["controlm_conditions_out"],
             **closure_options,
         )
-        derived = with_sequence(paths)
+        derived = with_sequence(edges)
     name = DEPENDENCIES.name
     results[name] = run_load(DEPENDENCIES, derived, tables, _stage_clock(clock), label).as_dict()
     return results

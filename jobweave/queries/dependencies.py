@@ -1,7 +1,8 @@
 """Closure queries: jobs are rows of a driver table, conditions link them.
 
 Job ``k`` emits condition ``C<k>`` and requires conditions computed from ``k``.
-Names are zero-padded, so the substring guard compares whole names.
+Names are zero-padded, so the substring guard compares whole names, except
+where a query is about names inside one another.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from jobweave.queries.registry import query, table
 
 
 def condition_graph(
-    rows: DataFrame, key: str, folder: Column, requires: list[Column]
+    rows: DataFrame, key: str, folder: Column, requires: list[Column], digits: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """(consumes, produces) of a graph over one table."""
+    """(consumes, produces) of a graph over one table; names have ``digits`` digits at least."""
     k = F.col(key).cast("bigint")
+    number = k.cast("string")
+    padded = F.lpad(number, digits, "0") if digits else number
     jobs = rows.select(
         folder.alias("folder"),
         F.concat(F.lit("F"), folder).alias("folder_id"),
-        F.concat(F.lit("JOB_"), F.lpad(k.cast("string"), 10, "0")).alias("job"),
+        F.concat(F.lit("JOB_"), padded).alias("job"),
         k.cast("string").alias("job_id"),
         F.lit(None).cast("string").alias("cyclic_type"),
         F.lit(1).cast("bigint").alias("version_serial"),
@@ -44,11 +47,13 @@ def _third(column: str) -> Column:
     return F.floor(F.col(column) / 3)
 
 
-def _graph_sql(source: str, key: str, folder: str, requires: str) -> str:
+def _graph_sql(source: str, key: str, folder: str, requires: str, digits: int = 10) -> str:
+    number = f"CAST({key} AS VARCHAR)"
+    padded = f"lpad({number}, {digits}, '0')" if digits else number
     return f"""
     job AS (
       SELECT {folder} AS folder, 'F' || {folder} AS folder_id,
-             'JOB_' || lpad(CAST({key} AS VARCHAR), 10, '0') AS job,
+             'JOB_' || {padded} AS job,
              CAST({key} AS VARCHAR) AS job_id, {key} AS k
       FROM {source}),
     need AS (
@@ -94,6 +99,9 @@ _PARTNER = _graph_sql("supplier", "s_suppkey", "'S' || CAST(s_nationkey AS VARCH
                       "k // 2, xor(k, 1)")
 _DIAMOND = _graph_sql("part", "p_partkey", "p_brand", "k // 2, k // 3")
 _TREE = _graph_sql("part", "p_partkey", "p_brand", "k // 2")
+# Over all parts: pairs that need each other, and names such as JOB_1 in JOB_12.
+_PAIRED = _graph_sql("part", "p_partkey", "p_brand", "k // 2, xor(k, 1)")
+_NESTED = _graph_sql("part", "p_partkey", "p_brand", "k // 2", digits=0)
 
 
 def _partner_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -104,9 +112,11 @@ def _partner_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     )
 
 
-def _part_graph(spark: SparkSession, folder: str, *requires: Column) -> tuple[DataFrame, DataFrame]:
+def _part_graph(
+    spark: SparkSession, folder: str, *requires: Column, digits: int = 10
+) -> tuple[DataFrame, DataFrame]:
     return condition_graph(
-        table(spark, folder, "part"), "p_partkey", F.col("p_brand"), list(requires)
+        table(spark, folder, "part"), "p_partkey", F.col("p_brand"), list(requires), digits
     )
 
 
@@ -129,6 +139,28 @@ def closure_edges_acyclic(spark: SparkSession, folder: str) -> DataFrame:
     return closure.dependency_edges(*_part_graph(spark, folder, *requires))
 
 
+@query(_walk_sql(_PAIRED) + _EDGES_SQL)
+def closure_edges_cyclic(spark: SparkSession, folder: str) -> DataFrame:
+    """Shortest edges over all parts where each part and its partner need each other."""
+    partner = F.col("p_partkey").cast("bigint").bitwiseXOR(F.lit(1).cast("bigint"))
+    return closure.dependency_edges(*_part_graph(spark, folder, _half("p_partkey"), partner))
+
+
+@query(_walk_sql(_DIAMOND, "f LIKE 'Brand#1%'") + _EDGES_SQL)
+def closure_edges_anchored(spark: SparkSession, folder: str) -> DataFrame:
+    """Shortest edges that start in folders matching a pattern."""
+    requires = (_half("p_partkey"), _third("p_partkey"))
+    graph = _part_graph(spark, folder, *requires)
+    return closure.dependency_edges(*graph, anchor_like="Brand#1%")
+
+
+@query(_walk_sql(_NESTED) + _EDGES_SQL)
+def closure_edges_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Shortest edges where the substring guard stops at names inside one another."""
+    graph = _part_graph(spark, folder, _half("p_partkey"), digits=0)
+    return closure.dependency_edges(*graph)
+
+
 @query(_walk_sql(_TREE) + _PATHS_SQL)
 def closure_tree_scale(spark: SparkSession, folder: str) -> DataFrame:
     """N log N paths of a tree over all parts."""

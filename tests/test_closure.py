@@ -102,6 +102,39 @@ def test_paths_and_edges_match_brute_force(spark, seed, guard):
     assert edge_tuples(direct) == edges_of(expected)
 
 
+@pytest.mark.parametrize("guard", ["substring", "exact"])
+def test_many_cyclic_graphs_at_once(spark, guard):
+    """Detours, names inside others and anchors, on graphs that share no name."""
+    consumes, produces = [], []
+    for seed in range(24):
+        rng = random.Random(seed)
+        # In odd graphs one name lies inside another; in even ones a name has two jobs.
+        names = ["A", "B", "BA" if seed % 2 else "C", "D", "E", "D"]
+        size = len(names)
+        own = [f"G{seed:02d}_{n}" if n != "BA" else f"G{seed:02d}_BX" for n in names]
+        ids = [f"{seed}.{i}" for i in range(size)]
+        produces += [(f"c{seed}.{i}", own[i], ids[i]) for i in range(size)]
+        produces += [(f"d{seed}.{rng.randrange(3)}", own[i], ids[i]) for i in range(size) if rng.random() < 0.6]
+        consumes += [(f"c{seed}.{j}", own[i], ids[i]) for i in range(size) for j in rng.sample(range(size), 1)]
+        consumes += [(f"d{seed}.{rng.randrange(3)}", own[i], ids[i]) for i in range(size)]
+    need, make = links(spark, sorted(set(consumes))), links(spark, sorted(set(produces)))
+    expected = edges_of(brute_force(consumes, produces, guard, max_level=6))
+    assert edge_tuples(closure.dependency_edges(need, make, max_level=6, guard=guard)) == expected
+    some = F.when(F.substring_index("job_id", ".", -1) < "3", "G1").otherwise("H1")
+    anchored = closure.dependency_edges(
+        need.withColumn("folder", some), make, max_level=6, guard=guard, anchor_like="G%"
+    )
+    assert edge_tuples(anchored) == {e for e in expected if e[0].split(".")[1] < "3"}
+
+
+def test_names_that_meet_an_arrow_are_walked(spark):
+    consumes = [("a", "S", "1"), ("b", "M", "2"), ("c", "N", "3")]
+    produces = [("a", "M", "2"), ("b", "-", "4"), ("b", "N", "3"), ("c", "T ", "5"), ("c", "T", "6")]
+    expected = edges_of(brute_force(consumes, produces, "substring"))
+    found = closure.dependency_edges(links(spark, consumes), links(spark, produces))
+    assert edge_tuples(found) == expected
+
+
 def test_anchored_walk_equals_filtered_walk(spark):
     consumes, produces = random_graph(5)
     need, make = links(spark, sorted(set(consumes))), links(spark, sorted(set(produces)))
