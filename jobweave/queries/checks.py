@@ -78,7 +78,7 @@ def _driver_checks(spark: SparkSession, folder: str) -> DataFrame:
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     customers, parts = table(spark, folder, "customer"), table(spark, folder, "part")
     returned = lines.filter(F.col("l_returnflag") == "R")
-    accepted = lines.filter(F.col("l_returnflag") == "A")
+    accepted = lines.filter(F.col("l_returnflag") != "R")
     terms = parts.select(F.col("p_name").alias("iri"), F.lit("LocalClass").alias("source_label"))
     derived = orders.select(
         (F.col("o_orderstatus") != "F").alias("derived"),
@@ -87,7 +87,11 @@ def _driver_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
     applications = customers.select(F.col("c_custkey").alias("seal_id"))
     ports = fixed_children(
-        customers.filter(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("parent_seal_id")),
+        customers.select(
+            F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))
+            .otherwise(-F.col("c_custkey"))
+            .alias("parent_seal_id")
+        ),
         ("EventProcessing", "BatchProcessing"),
     )
     return quality.report(
@@ -153,8 +157,7 @@ _CHECKS_SQL = """
     UNION ALL
     SELECT 'no orphan parts', count(*) FILTER (WHERE k IS NULL) = 0,
            'orphan=' || count(*) FILTER (WHERE k IS NULL) || ' total=' || count(*)
-    FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem
-                         WHERE l_returnflag IN ('R', 'A')) ON p_partkey = k
+    FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem) ON p_partkey = k
     UNION ALL
     SELECT 'edges complete', count(*) FILTER (WHERE o_orderpriority = '5-LOW') = 0,
            'total=' || count(*) || ' missing_level=' ||

@@ -38,9 +38,9 @@ _MERGE = Merge(("id",), ("first_order",), ("status", "last_priority"), ("urgent_
 @query(
     """
     WITH old AS (
-      SELECT c_custkey AS id, -1 AS first_order, 'old' AS status, c_mktsegment AS last_priority,
-             -c_custkey AS urgent_order, c_name AS name
-      FROM customer WHERE c_acctbal > 0),
+      SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS id, -1 AS first_order,
+             'old' AS status, c_mktsegment AS last_priority, -c_custkey AS urgent_order, c_name AS name
+      FROM customer),
     new AS (
       SELECT o_custkey AS id,
              arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS first_order,
@@ -49,7 +49,7 @@ _MERGE = Merge(("id",), ("first_order",), ("status", "last_priority"), ("urgent_
                      struct_pack(d := o_orderdate, k := o_orderkey)) AS last_row,
              arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey))
                FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent_order
-      FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 100000 GROUP BY o_custkey)
+      FROM orders GROUP BY o_custkey)
     SELECT coalesce(old.id, new.id) AS id,
            CAST(CASE WHEN old.id IS NOT NULL THEN old.first_order ELSE new.first_order END AS BIGINT)
              AS first_order,
@@ -61,26 +61,19 @@ _MERGE = Merge(("id",), ("first_order",), ("status", "last_priority"), ("urgent_
     """
 )
 def upsert_first_last(spark: SparkSession, folder: str) -> DataFrame:
-    """First-wins, last-wins and keep-old columns merged into an existing table."""
-    old = table(spark, folder, "customer").filter(F.col("c_acctbal") > 0).select(
-        F.col("c_custkey").alias("id"),
+    """First-wins, last-wins and keep-old columns merged into an existing table.
+
+    Customers in debt stand in it under another id, so rows are created, updated and kept.
+    """
+    old = table(spark, folder, "customer").select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("id"),
         F.lit(-1).cast("bigint").alias("first_order"),
         F.lit("old").alias("status"),
         F.col("c_mktsegment").alias("last_priority"),
         (-F.col("c_custkey")).alias("urgent_order"),
         F.col("c_name").alias("name"),
     )
-    orders = table(spark, folder, "orders")
-    chosen = orders.filter((F.col("o_orderstatus") != "F") | (F.col("o_totalprice") > 100000))
-    batch = chosen.select(
-        F.col("o_custkey").alias("id"),
-        F.col("o_orderkey").alias("first_order"),
-        F.col("o_orderstatus").alias("status"),
-        F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("last_priority"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("urgent_order"),
-        F.struct("o_orderdate", "o_orderkey").alias("_seq"),
-    )
-    return upsert(old, batch, _MERGE)
+    return upsert(old, _order_batch(spark, folder), _MERGE)
 
 
 _COLLAPSED_SQL = """
@@ -136,7 +129,7 @@ def edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
       FROM lineitem WHERE l_returnflag = 'R'
       UNION ALL
       SELECT l_partkey, 'emitted', 1, l_shipdate, l_orderkey, l_linenumber
-      FROM lineitem WHERE l_returnflag = 'A')
+      FROM lineitem WHERE l_returnflag <> 'R')
     SELECT name, arg_min(source, side) AS source,
            arg_max(k, struct_pack(side := side, d := d, k := k, n := n)) AS last_order
     FROM both_sides GROUP BY name
@@ -146,15 +139,17 @@ def shared_condition_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One node per name from two sources; the first source's rows come first."""
     lines = table(spark, folder, "lineitem")
 
-    def side(flag: str, source: str) -> DataFrame:
-        return lines.filter(F.col("l_returnflag") == flag).select(
+    required = F.col("l_returnflag") == "R"
+
+    def side(rows: Column, source: str) -> DataFrame:
+        return lines.filter(rows).select(
             F.col("l_partkey").alias("name"),
             F.lit(source).alias("source"),
             F.col("l_orderkey").alias("last_order"),
             F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("_seq"),
         )
 
-    batch = union_in_order(side("R", "required"), side("A", "emitted"))
+    batch = union_in_order(side(required, "required"), side(~required, "emitted"))
     return upsert(None, batch, Merge(("name",), ("source",), ("last_order",)))
 
 

@@ -286,26 +286,25 @@ def active_semi(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'customer without order', c_custkey FROM customer
     WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
     UNION ALL
-    SELECT 'supplier without part', s_suppkey FROM supplier
-    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R'
-                            AND l_linenumber = 7 AND l_discount = 0.1)
+    SELECT 'part not ordered at its size', p_partkey FROM part
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = p_size)
     """
 )
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     """Rows a required-parent merge would drop, kept as an output."""
     lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
-    rare = lines.filter(
-        (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7) & (F.col("l_discount") == 0.1)
-    )
+    customers, parts = table(spark, folder, "customer"), table(spark, folder, "part")
     cases = [
-        ("order without line", orders, lines, "o_orderkey", "l_orderkey"),
-        ("customer without order", table(spark, folder, "customer"), orders, "c_custkey", "o_custkey"),
-        ("supplier without part", table(spark, folder, "supplier"), rare, "s_suppkey", "l_suppkey"),
+        ("order without line", orders, lines, {"o_orderkey": "l_orderkey"}),
+        ("customer without order", customers, orders, {"c_custkey": "o_custkey"}),
+        ("part not ordered at its size", parts, lines, {"p_partkey": "l_partkey", "p_size": "l_quantity"}),
     ]
     found = [
-        require_parents(child, parent, {key: ref})[1].select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
-        for kind, child, parent, key, ref in cases
+        require_parents(child, parent, keys)[1].select(
+            F.lit(kind).alias("kind"), F.col(next(iter(keys))).alias("id")
+        )
+        for kind, child, parent, keys in cases
     ]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

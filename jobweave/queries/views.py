@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators import extras
@@ -48,26 +48,25 @@ def manager_reach(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL
     SELECT 'holder unknown to second source', l_partkey FROM (
       SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'
-      EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')
+      EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R')
     UNION ALL
     SELECT 'differs from every child', p_partkey FROM part JOIN lineitem ON l_partkey = p_partkey
     GROUP BY p_partkey, p_size HAVING bool_and(p_size <> l_linenumber)
     UNION ALL
     SELECT 'absent from second source', p_partkey FROM part
-    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = p_size)
     """
 )
 def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Four kinds of disagreement between two sources."""
     parts = table(spark, folder, "part")
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    first = lines.filter(F.col("l_linenumber") == 1).withColumnRenamed("l_returnflag", "role_name")
+    roles = lines.withColumn("role_name", F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
     returned = lines.filter(F.col("l_returnflag") == "R")
-    accepted = lines.filter(F.col("l_returnflag") == "A")
-    large = lines.filter(F.col("l_quantity") > 49)
+    accepted = lines.filter(F.col("l_returnflag") != "R")
     return extras.reconciliation_issues(
         {
-            "no holder": extras.missing_role(parts, first, "p_partkey", "N"),
+            "no holder": extras.missing_role(parts, roles, "p_partkey", "N1"),
             "holder unknown to second source": extras.holder_not_among(
                 returned, accepted, "p_partkey", "l_suppkey"
             ),
@@ -75,7 +74,7 @@ def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
                 parts.select("p_partkey", "p_size"), lines, "p_partkey", "p_size", "l_linenumber"
             ),
             "absent from second source": require_parents(
-                parts, large, {"p_partkey": "p_partkey"}
+                parts, lines, {"p_partkey": "p_partkey", "p_size": "l_quantity"}
             )[1],
         },
         "p_partkey",
@@ -85,11 +84,11 @@ def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
     WITH requires AS (
-      SELECT DISTINCT l_partkey AS job, l_suppkey AS c FROM lineitem
-      WHERE l_returnflag = 'R' AND l_quantity < 10),
+      SELECT DISTINCT l_partkey AS job, l_suppkey || ':' || CAST(l_shipdate AS DATE) AS c
+      FROM lineitem WHERE l_returnflag = 'R'),
     emits AS (
-      SELECT DISTINCT l_partkey AS job, l_suppkey AS c FROM lineitem
-      WHERE l_returnflag = 'A' AND l_linenumber = 7 AND l_discount > 0.09),
+      SELECT DISTINCT l_partkey AS job, l_suppkey || ':' || CAST(l_shipdate AS DATE) AS c
+      FROM lineitem WHERE l_returnflag <> 'R'),
     marked AS (
       SELECT r.job, bool_or(EXISTS (SELECT 1 FROM emits e WHERE e.c = r.c AND e.job <> r.job))
              AS upstream
@@ -103,11 +102,11 @@ def recon_issues(spark: SparkSession, folder: str) -> DataFrame:
 def attribution(spark: SparkSession, folder: str) -> DataFrame:
     """Which channel each job's work arrives through."""
     lines = table(spark, folder, "lineitem")
-    link = [F.col("l_partkey").alias("job"), F.col("l_suppkey").alias("condition")]
-    requires = lines.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10)).select(*link)
-    emits = lines.filter(
-        (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7) & (F.col("l_discount") > 0.09)
-    ).select(*link)
+    day = F.col("l_shipdate").cast("date").cast("string")
+    condition = F.concat_ws(":", F.col("l_suppkey").cast("string"), day)
+    link = [F.col("l_partkey").alias("job"), condition.alias("condition")]
+    requires = lines.filter(F.col("l_returnflag") == "R").select(*link)
+    emits = lines.filter(F.col("l_returnflag") != "R").select(*link)
     jobs = table(spark, folder, "part").select(F.col("p_partkey").alias("job"), "p_type")
     inferred = F.when(F.col("p_type") == "ECONOMY", F.lit("SftpChannel")).otherwise(
         F.lit("UploadChannel")
@@ -158,11 +157,11 @@ def run_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH files AS (
       SELECT l_suppkey AS dataset, CAST(date_trunc('month', l_shipdate) AS DATE) AS day,
-             l_returnflag AS half, count(*) AS n,
+             CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'R' END AS half, count(*) AS n,
              CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
              min(l_quantity) AS low, max(l_quantity) AS high,
              CAST(max(l_shipdate) AS DATE) AS arrived
-      FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+      FROM lineitem GROUP BY ALL),
     d AS (SELECT * FROM files WHERE half = 'A'), c AS (SELECT * FROM files WHERE half = 'R'),
     j AS (
       SELECT coalesce(d.dataset, c.dataset) AS dataset, coalesce(d.day, c.day) AS day,
@@ -184,13 +183,13 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("dataset"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("day"),
-        "l_returnflag", "l_quantity",
+        (F.col("l_returnflag") == "A").alias("is_data"), "l_quantity",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.col("l_shipdate").cast("date").alias("arrived"),
     )
 
-    def files(flag: str) -> DataFrame:
-        return lines.filter(F.col("l_returnflag") == flag).groupBy("dataset", "day").agg(
+    def files(half: Column) -> DataFrame:
+        return lines.filter(half).groupBy("dataset", "day").agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("cents").alias("cents"),
             F.min("l_quantity").alias("low"),
@@ -200,8 +199,8 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
 
     c = F.col
     checked = extras.pair_checks(
-        files("A"),
-        files("R"),
+        files(F.col("is_data")),
+        files(~F.col("is_data")),
         ["dataset", "day"],
         {
             "rowcount_match": F.abs(c("data_n") - c("control_n")) <= 2,
@@ -223,7 +222,7 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
              'part_' || (l_partkey + 1), l_partkey + 1
       FROM lineitem)
     SELECT edge, namespace,
-           namespace = 'athena' AND p IN (SELECT p_partkey FROM part WHERE p_size < 25) AS matched,
+           namespace = 'athena' AND p IN (SELECT p_partkey FROM part) AS matched,
            count(*) AS "rows"
     FROM items GROUP BY ALL
     """
@@ -244,7 +243,7 @@ def run_event_links(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     events = table(spark, folder, "lineitem").select(payload.alias("event"))
-    datasets = table(spark, folder, "part").filter(F.col("p_size") < 25).select(
+    datasets = table(spark, folder, "part").select(
         F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name")
     )
     matched = extras.reconcile_run_events(events, "event", datasets, "athena")
