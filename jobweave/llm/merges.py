@@ -1,15 +1,17 @@
 """Byte-fallback BPE segmentation with seeded merge-dropout, and its exact inverse.
 
 Merges are taken from an agenda, best rank first and leftmost among equals. A
-candidate merge is skipped for good if a hash keyed by (seed, variant, unit) has
-a byte below the dropout rate at its place; the rate is a multiple of 1/256. The hash replaces a random number, so a text is
-cut the same way on every attempt, and a unit that occurs again under the same
-variant need not be cut again.
+candidate merge is a left end, a split and a right end in a unit; each candidate
+of each occurrence of a unit has a draw of its own, and is skipped for good if
+that falls below the dropout rate, a multiple of 1/65536. The draws come from a
+counter-based generator keyed by the seed and the document's id, dealt out in the
+order of the text, so a text is cut the same way on every attempt. What is
+remembered does not choose a cut: the candidates of a unit, and the result for a
+set of skipped candidates.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from array import array
@@ -27,23 +29,44 @@ from jobweave.llm.common import id_and_text
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 11
-#: Ways to cut the same unit; the place of a unit in its text chooses one.
-VARIANTS = 2
-#: Units in each of the two memories of a worker process and variant: when the
-#: younger is full it becomes the older, so a worker holds about 2 * VARIANTS *
-#: REMEMBERED entries of 170 bytes at most. Longer units are not remembered.
-REMEMBERED = 500_000
+#: Entries in each of the two generations of a memory, of units and of cuts: when
+#: the younger is full it becomes the older, so a worker holds 4 * REMEMBERED
+#: entries of about 300 bytes at most. Longer units are not remembered.
+REMEMBERED = 250_000
 LONG = 64
+#: Candidates of a remembered unit, whose numbers are single bytes.
+MOST = 256
+#: Stands for a literal blank mark, which merges with nothing; no text holds it.
+MARK = "\ud800"
 #: No merge of the model crosses from other characters to a blank, so units are cut alone.
 _UNIT = re.compile(r" *[^ ]+| +")
 
 
-def _noise(unit: str, seed: int, size: int) -> tuple[bytes, int]:
-    """Bytes that decide which candidates of a unit are dropped, and the mask of an index into them."""
-    if size <= 32:
-        return xxhash.xxh3_128_digest(unit, seed) + xxhash.xxh3_128_digest(unit, ~seed & 0xFFFFFFFF), 31
-    length = 1 << size.bit_length()
-    return hashlib.shake_128(b"%d %s" % (seed, unit.encode("utf-8"))).digest(length), length - 1
+class _Hashed:
+    """The skipped candidates of a unit too long to list them: a keyed hash of each decides."""
+
+    def __init__(self, key: bytes, below: int) -> None:
+        self.key, self.below = key, below
+
+    def __contains__(self, candidate: tuple[int, int, int]) -> bool:
+        return xxhash.xxh3_64_intdigest(b"%s %d %d %d" % (self.key, *candidate)) >> 48 < self.below
+
+
+class Memory(dict):
+    """A bounded dict: what it lacks is taken from the generation before, or made."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.old = size, {}
+
+    def recall(self, key, make):
+        value = self.old.get(key)
+        if value is None and (value := make(key)) is None:
+            return None
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Segmenter:
@@ -51,7 +74,7 @@ class Segmenter:
 
     _loaded: dict[tuple, Segmenter] = {}
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, remembered: int = REMEMBERED) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -70,11 +93,10 @@ class Segmenter:
                 self.pieces[i] = bytes([value])
             elif not special[i]:
                 self.pieces[i] = model.id_to_piece(i).replace(BLANK, " ").encode("utf-8")
-        self.mark = array("H", self.spelled(BLANK)).tobytes()
-        self.cut_below = round(dropout * 256)
-        self.seeds = [seed * variants + v for v in range(variants)]
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.longest = max(map(len, self.ids))
+        self.cut_below = round(dropout * 65536)
+        self.seed = seed
+        self.units, self.cuts = Memory(remembered), Memory(remembered)
 
     @staticmethod
     def default_path() -> str:
@@ -88,22 +110,47 @@ class Segmenter:
             cls._loaded[settings] = cls(*settings)
         return cls._loaded[settings]
 
-    def cut(self, unit: str, seed: int) -> bytes:
+    def candidates(self, unit: str) -> bytes | None:
+        """(left, split, end), three bytes each, of every merge that some order of merges could propose.
+
+        None if the unit is too long or they are too many to be numbered by a byte.
+        """
+        if not self.cut_below:
+            return b""
+        if len(unit) > LONG:
+            return None
+        text = unit.replace(BLANK, MARK).replace(" ", BLANK)
+        size, rank, longest, found = len(text), self.rank, self.longest, []
+        ends = [0] * size
+        for left in range(size - 1, -1, -1):
+            # Bit e is set if the characters from left to e can be a piece: one alone always can.
+            mine = 0
+            for end in range(left + 2, min(left + longest, size) + 1):
+                if text[left:end] in rank:
+                    mine |= 1 << end
+            if mine:
+                for split in range(left + 1, mine.bit_length() - 1):
+                    if split == left + 1 or mine >> split & 1:
+                        both = mine & ends[split]
+                        while both:
+                            end = both.bit_length() - 1
+                            both ^= 1 << end
+                            found += (left, split, end)
+            ends[left] = mine | 1 << left + 1
+        return bytes(found) if len(found) <= 3 * MOST else None
+
+    def cut(self, unit: str, skipped=()) -> bytes:
         """Ids of one unit, two bytes each: characters merged by the agenda, the unknown as bytes."""
-        if BLANK in unit:
-            # A literal blank mark merges with nothing and becomes bytes.
-            return self.mark.join(self.cut(part, seed) for part in unit.split(BLANK))
-        text = list(unit.replace(" ", BLANK))
+        text = list(unit.replace(BLANK, MARK).replace(" ", BLANK))
         size = len(text)
         after = list(range(1, size + 1))
         before = list(range(-1, size - 1))
-        rank, below = self.rank.get, self.cut_below
-        noise, mask = _noise(unit, seed, size) if below else (b"\0", 0)
+        rank = self.rank.get
         push, pop = heapq.heappush, heapq.heappop
         agenda: list[tuple[float, int, int, str]] = []
         for left, both in enumerate(map(add, text, text[1:])):
             worth = rank(both)
-            if worth is not None and noise[(48 * left + 19) & mask] >= below:
+            if worth is not None and (left, left + 1, left + 2) not in skipped:
                 agenda.append((worth, left, left + 1, both))
         heapq.heapify(agenda)
         while agenda:
@@ -118,13 +165,13 @@ class Segmenter:
                 before[following] = left
                 more = both + text[following]
                 worth = rank(more)
-                if worth is not None and noise[(31 * left + 17 * following + len(more)) & mask] >= below:
+                if worth is not None and (left, following, left + len(more)) not in skipped:
                     push(agenda, (worth, left, following, more))
             first = before[left]
             if first >= 0:
                 more = text[first] + both
                 worth = rank(more)
-                if worth is not None and noise[(31 * first + 17 * left + len(more)) & mask] >= below:
+                if worth is not None and (first, left, first + len(more)) not in skipped:
                     push(agenda, (worth, first, left, more))
         pieces = list(filter(None, text))
         found = list(map(self.ids.get, pieces))
@@ -133,34 +180,48 @@ class Segmenter:
         return array("H", found).tobytes()
 
     def spelled(self, piece: str) -> list[int]:
-        return [self.bytes[b] for b in piece.encode("utf-8")]
+        return [self.bytes[b] for b in piece.replace(MARK, BLANK).encode("utf-8")]
+
+    def recut(self, case: tuple[str, bytes, bytes]) -> bytes:
+        unit, listed, numbers = case
+        return self.cut(unit, {tuple(listed[3 * n : 3 * n + 3]) for n in numbers})
 
-    def encode(self, text: str, start: int = 0) -> bytes:
-        """Ids of a whole text, four bytes each; unit i takes variant (start + i) mod their number."""
+    def encode(self, text: str, doc_id: int | None = 0) -> bytes:
+        """Ids of a whole text, four bytes each; the id and the seed choose the draws."""
         if not text:
             return b""
+        key = b"%d %s" % (self.seed, str(doc_id).encode())
         units = _UNIT.findall(" " + text)
-        many = len(self.seeds)
-        found: list[bytes] = [b""] * len(units)
-        for v in range(many):
-            mine = units[v::many]
-            at = (start + v) % many
-            got = list(map(self.young[at].get, mine))
-            missed = [i for i, ids in enumerate(got) if ids is None]
-            for i in missed:
-                got[i] = self.recall(mine[i], at)
-            found[v::many] = got
-        return np.frombuffer(b"".join(found), np.uint16).astype("<u4").tobytes()
-
-    def recall(self, unit: str, variant: int) -> bytes:
-        """A unit that the younger memory lacks: from the older one, or cut anew."""
-        young = self.young[variant]
-        ids = young.get(unit) or self.old[variant].get(unit) or self.cut(unit, self.seeds[variant])
-        if len(unit) <= LONG:
-            if len(young) >= REMEMBERED:
-                self.old[variant], self.young[variant] = young, {}
-            self.young[variant][unit] = ids
-        return ids
+        listed = list(map(self.units.get, units))
+        out: list[bytes] = [b""] * len(units)
+        for i, known in enumerate(listed):
+            if known is None:
+                unit = units[i]
+                found = self.units.recall(unit, self.candidates) if len(unit) <= LONG else self.candidates(unit)
+                if found is None:
+                    out[i], found = self.cut(unit, _Hashed(b"%s %d" % (key, i), self.cut_below)), b""
+                listed[i] = found
+        known = self.cuts.get
+        for i, case in enumerate(zip(units, listed, self.skips(listed, key))):
+            if not out[i]:
+                ids = known(case)
+                if ids is None:
+                    ids = self.cuts.recall(case, self.recut) if len(case[0]) <= LONG else self.recut(case)
+                out[i] = ids
+        return np.frombuffer(b"".join(out), np.uint16).astype("<u4").tobytes()
+
+    def skips(self, listed: list[bytes], key: bytes) -> list[bytes]:
+        """The numbers of the skipped candidates of each unit: a draw for each candidate, in order."""
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed)) // 3
+        ends = np.cumsum(sizes)
+        total = int(ends[-1])
+        source = np.random.Philox(key=xxhash.xxh3_128_intdigest(key))
+        draws = source.random_raw(total // 4 + 1).astype("<u8", copy=False).view("<u2")[:total]
+        skipped = np.flatnonzero(draws < self.cut_below)
+        owner = np.searchsorted(ends, skipped, side="right")
+        numbers = (skipped - (ends - sizes)[owner]).astype(np.uint8).tobytes()
+        upto = np.searchsorted(skipped, ends).tolist()
+        return [numbers[a:b] for a, b in zip([0, *upto], upto)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids from ``encode``: the joined bytes without the leading blank."""
@@ -170,7 +231,7 @@ class Segmenter:
     def encoded(self, text: str | None, doc_id: int | None) -> bytes | None:
         if text is None:
             return None
-        return self.encode(text, doc_id or 0)
+        return self.encode(text, doc_id)
 
     def decoded(self, ids: bytes | None) -> str | None:
         return None if ids is None else self.decode(np.frombuffer(ids, "<u4").tolist())
@@ -183,16 +244,16 @@ def encode(
     model_path: str | None = None,
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """(id_col, ids) of every row; ``ids`` are four bytes each, least significant first.
 
-    The seed and the id choose the segmentation; ``dropout`` 0 gives the
-    model's own. A null text gives null ids, an empty text none. Repeated rows
-    are cut alike; an empty table gives an empty result; other columns are not
-    read. Memory per task: a batch of texts and the remembered units.
+    The seed, the id and the place of a unit choose its segmentation, anew for
+    each occurrence; ``dropout`` 0 gives the model's own. A null text gives null
+    ids, an empty text none. Repeated rows are cut alike; an empty table gives
+    an empty result; other columns are not read. Memory per task: a batch of
+    texts and the remembered units and cuts.
     """
-    settings = (model_path or Segmenter.default_path(), dropout, seed, variants)
+    settings = (model_path or Segmenter.default_path(), dropout, seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter.shared(*settings)
@@ -209,7 +270,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
     path = model_path or Segmenter.default_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter.shared(path, 0.0, 0, 1)
+        segmenter = Segmenter.shared(path, 0.0, 0)
         for batch in batches:
             plain = list(map(segmenter.decoded, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.string())], ["id", "ids", "text"])
@@ -229,7 +290,6 @@ def with_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         options.get("model_path") or Segmenter.default_path(),
         options.get("dropout", DROPOUT),
         options.get("seed", SEED),
-        options.get("variants", VARIANTS),
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -341,6 +341,25 @@ def test_segmentations_decode_to_the_text(sample, documents):
     assert first.exceptAll(merges.encode(rows.repartition(5))).isEmpty()
 
 
+def test_skips_of_different_candidates_are_independent():
+    segmenter = merges.Segmenter(merges.Segmenter.default_path(), 0.1, 11)
+    listed = segmenter.candidates(" nation")
+    many, rounds = len(listed) // 3, 20_000
+    assert many > 8
+    drawn = np.zeros((rounds, many))
+    for row, numbers in zip(drawn, segmenter.skips([listed] * rounds, b"a document")):
+        row[list(numbers)] = 1
+    hashed = np.array([[(i, j, 70) in merges._Hashed(b"%d" % n, segmenter.cut_below) for i in (0, 2, 4) for j in (8, 9)]
+                       for n in range(rounds)], float)
+    for skips in (drawn, hashed):
+        assert abs(skips.mean(0) - 0.1).max() < 0.01
+        assert abs(np.corrcoef(skips.T) - np.eye(skips.shape[1])).max() < 0.04
+    # "b" stays alone if the merge of "a" and "b" is skipped, or the one after it.
+    pairs = segmenter.encode("ab " * rounds, 5)
+    pieces = [segmenter.pieces[i] for i in np.frombuffer(pairs, "<u4")]
+    assert 0.005 < pieces.count(b"b") / rounds < 0.12
+
+
 # 9 language
 
 
