@@ -360,6 +360,18 @@ def test_skips_of_different_candidates_are_independent():
     assert 0.005 < pieces.count(b"b") / rounds < 0.12
 
 
+def test_each_occurrence_of_a_unit_is_drawn_anew():
+    segmenter = merges.Segmenter(merges.Segmenter.default_path(), 0.1, 11)
+
+    def cuts(doc_id):
+        pieces = [segmenter.pieces[i] for i in np.frombuffer(segmenter.encode("the " * 2000, doc_id), "<u4")]
+        return b"|".join(pieces).split(b"| ")
+
+    assert len(set(cuts(2))) > 4
+    assert cuts(2) != cuts(4) and cuts(2) == cuts(2)
+    assert cuts(2)[:1000:2] != cuts(2)[1000::2]
+
+
 # 9 language
 
 
