@@ -39,8 +39,20 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN by country, without blanks.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+        33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -103,9 +115,23 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers of their country's length; of other countries, up to the last token border where the check holds."""
+    done = 0
     for m in _IBAN.finditer(text):
-        if mod_97(m.group().replace(" ", "")):
-            yield m.span()
+        start, longest = m.span(1)
+        if start < done:
+            continue
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        for end in range(longest, start + 14, -1):
+            if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            number = text[start:end].replace(" ", "")
+            if len(number) < 15:
+                break
+            if length in (None, len(number)) and mod_97(number):
+                done = end
+                yield start, end
+                break
 
 
 def numbers(text: str) -> Iterator[tuple[int, int]]:

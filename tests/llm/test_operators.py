@@ -460,3 +460,16 @@ def test_added_kinds_and_redaction(documents):
     assert personal.redact(docs).columns == docs.columns
     assert personal.find_personal_data(documents(ODD)).count() == len(ODD)
     assert personal.find_personal_data(docs.limit(0)).isEmpty()
+
+
+def test_an_iban_ends_where_its_country_says():
+    found = lambda t: [t[s.start : s.end] for s in personal.spans(t) if s.kind == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    assert found(f"IBAN {german} BIC COBADEFF here") == [german]
+    assert found(f"{british} 2024") == [british] and found(f"{german} 7 {british}.") == [german, british]
+    assert found(f"AB12 CODE {german} X") == [german]
+    # No country of the table: the longest that the check lets pass.
+    other = "ZZ" + next(f"{c:02}" for c in range(100) if personal.mod_97(f"ZZ{c:02}370400440532013000")) + "370400440532013000"
+    assert found(f"{other} BIC COBADEFF") == [other]
+    assert not found("DE89 3704 0044 0532 0130 01 BIC COBADEFF") and not found(german + "5")
+    assert german not in personal.redacted(f"to {german} BIC COBADEFF")
