@@ -27,7 +27,7 @@ from jobweave.sources.files import stage
 LEAF = 64
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
-#: Rounding of distances that must not prune.
+#: Rounding of cosines that must not prune.
 SLACK = 1e-9
 
 
@@ -124,8 +124,11 @@ class Tree:
             kept = order[first[:, None] + np.arange(k)]
             best[changed], best_id[changed] = scores[kept], names[kept]
 
+        # A cosine is rounded by up to dims * eps, a distance near 0 by the root of that.
+        rounding = SLACK + 4 * np.sqrt(queries.shape[1] * np.finfo(float).eps)
+
         def radius(who: np.ndarray) -> np.ndarray:
-            return factor * np.sqrt(np.maximum(2 - 2 * best[who][:, -1], 0)) + SLACK
+            return factor * np.sqrt(np.maximum(2 - 2 * best[who][:, -1], 0)) + rounding
 
         leaves = len(self.first) // 2
         pending = [(0, np.arange(len(queries)), np.zeros(len(queries)))]

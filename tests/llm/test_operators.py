@@ -83,6 +83,18 @@ def test_trees_find_the_true_nearest_and_relaxed_ones_most(spark):
     assert vptree.nearest(vptree.build_index(frame.limit(0)), queries).isEmpty()
 
 
+def test_of_many_copies_the_least_ids_are_found():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        vectors = rng.normal(size=(900, 64))
+        vectors[100:700] = vectors[100]
+        ids = rng.permutation(900)
+        copies = np.sort(ids[100:700])
+        tree = vptree.Tree.build(ids, vectors)
+        found, _, _ = tree.search(np.array([-1, -2, -3]), vectors[[100, 100, 100]], 5, 1.0)
+        assert found.tolist() == [copies[:5].tolist()] * 3
+
+
 # 2 interleaving
 
 
