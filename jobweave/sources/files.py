@@ -67,6 +67,11 @@ class StagedFolder:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target), int(seen.get["rows"])
 
+    def remove(self, part: str) -> None:
+        """Delete a part that no later step reads; its disk is free at once."""
+        hadoop_path, fs = _path(self.spark, f"{self.root}/{part}")
+        fs.delete(hadoop_path, True)
+
     def read(self, schema, path: str = "") -> DataFrame:
         """All parts below ``path`` as one scan; ``name=value`` parts become a column."""
         return self.spark.read.schema(schema).parquet(f"{self.root}/{path}".rstrip("/"))
