@@ -1,21 +1,25 @@
-"""The ten operators on the driver's tables, with SQL where SQL can say the same."""
+"""The thirteen operators on the driver's tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm import (
+    ballkmeans,
     interleave,
     language,
     licenses,
     merges,
     packing,
+    periodic,
     personal,
     piecewise,
     simhash,
+    tokencount,
     toxicity,
     vptree,
 )
@@ -121,6 +125,52 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_ball_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = ballkmeans.encode(table(spark, folder, "embeddings"))
+    return ballkmeans.with_group_error(coded).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
+def planted_period(doc_id: int | None, words: list[str]) -> list[str]:
+    """One id in ten, by its crc32, repeats the words from some place on with some period."""
+    number = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or number % 10 or not words:
+        return words
+    turn = number // 10
+    begin = turn % len(words)
+    period = 1 + (len(words) - begin) // (3 + turn % 8)
+    return words[:begin] + [words[begin + i % period] for i in range(len(words) - begin)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, folder, "documents"), edit=planted_period)
+    best = periodic.longest("runs")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-best.start).alias("start"),
+        best.length.alias("length"),
+        (-best.period).alias("period"),
+        F.floor(1000 * best.length / -best.period).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, folder, "documents"))
+
+
 SQL["op1_nearest_neighbours"] = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
@@ -216,3 +266,55 @@ SELECT d.doc_id, coalesce(b.licenses, '') AS licenses,
        coalesce(b.best_score, 0.0::DOUBLE) AS best_score, CAST(coalesce(b.n_units, 0) AS INTEGER) AS n_units
 FROM documents d LEFT JOIN best b USING (doc_id)
 """
+
+
+def _ball_sql(parts: int = ballkmeans.PARTS, entries: int = ballkmeans.ENTRIES, rounds: int = ballkmeans.ROUNDS) -> str:
+    """Plain k-means of every part against every entry, one common table per round."""
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({ballkmeans.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x
+  FROM kept, range({parts}) t(p)),
+books0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, min((d, e)) AS best, any_value(x) AS x
+  FROM (SELECT vec_id, label, part.p, x, e,
+               list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d
+        FROM part JOIN books{r} USING (p))
+  GROUP BY vec_id, label, p)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""
+mean{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, best[2] AS e, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m
+        FROM near{r}, range(1, len(x) + 1) t(i) GROUP BY p, best[2], i)
+  GROUP BY p, e),
+books{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(mean{r}.c, books{r}.c) AS c FROM books{r} LEFT JOIN mean{r} USING (p, e))"""
+            )
+    return ",".join(steps) + f""",
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id, label),
+books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{rounds})
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded, books
+"""
+
+
+SQL["op11_ball_codes"] = _ball_sql()
