@@ -11,7 +11,6 @@ bounded sample: ``SAMPLE_ROWS`` rows per language, least hashes first.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,6 @@ EPOCHS = 3
 #: Step size, its offset, and the penalties of the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
@@ -68,7 +66,7 @@ class LanguageModel:
         return weight @ self.weights[seen] / self.temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         logits = self.logits(*self.vector(text))
         odds = np.exp(logits - logits.max())

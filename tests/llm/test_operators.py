@@ -398,6 +398,8 @@ def test_language_on_odd_rows(sample, documents):
     got = language.identify(documents(ODD), model).collect()
     assert len(got) == len(ODD)
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2, 3))
+    assert {model.predict(t) for t in ("² ½ Ⅷ ① 12 _", "…!")} == {("und", 0.0)}
+    assert model.predict("ª")[0] != "und" and model.predict("² ß")[0] != "und"
     empty = language.train(documents(ODD).limit(0))
     assert {r.lang_pred for r in language.identify(documents(ODD), empty).collect()} == {"und"}
     kept = language.drop_unidentified(documents(ODD), model)
