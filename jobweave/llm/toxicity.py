@@ -169,25 +169,25 @@ def threshold(histogram: np.ndarray) -> tuple[float, float]:
     return float(at), float(slopes[int(np.argmin(loss))])
 
 
-def label_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    fold: int = 5,
-    held: int = 0,
-    order: int = ORDER,
-) -> DataFrame:
-    """(id_col, held_out, score, predicted) of every row of ``docs``.
+@dataclass(frozen=True)
+class Judge:
+    """A fitted model with the threshold and slope of its score."""
 
-    Labels are learnt only from rows whose crc32(id) modulo ``fold`` is not
-    ``held``; an id with several labels has the largest. ``score`` is 0 to 1,
-    ``predicted`` is 1 from 0.5 on. A null or empty text scores as a text
-    without evidence; a null id is never learnt from and never held out.
-    Repeated rows are scored each time. Without training rows of both classes
-    nothing is predicted toxic. Other columns of either table are not read.
-    """
+    model: ToxicityModel
+    at: float
+    slope: float
+
+    def score(self, ratio: Column) -> Column:
+        return 1 / (1 + F.exp(F.lit(-self.slope) * (ratio - F.lit(self.at))))
+
+    def toxic(self, text: str | None) -> bool:
+        return self.model.log_ratio(grams(text or "", self.model.order)) >= self.at
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, held: int, order: int
+) -> tuple[Judge, DataFrame]:
+    """The judge of the training rows, and (id, ratio) of every row of ``docs``."""
     known = (
         labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & (remainder("id", fold) != held))
@@ -208,8 +208,30 @@ def label_toxicity(
     spread = ratios.join(known, "id").groupBy("toxic", cell.alias("cell")).count().toPandas()
     histogram = np.zeros((2, BINS))
     histogram[spread["toxic"], spread["cell"]] = spread["count"]
-    at, slope = threshold(histogram)
-    score = 1 / (1 + F.exp(F.lit(-slope) * (F.col("ratio") - F.lit(at))))
+    return Judge(model, *threshold(histogram)), ratios
+
+
+def label_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    fold: int = 5,
+    held: int = 0,
+    order: int = ORDER,
+) -> DataFrame:
+    """(id_col, held_out, score, predicted) of every row of ``docs``.
+
+    Labels are learnt only from rows whose crc32(id) modulo ``fold`` is not
+    ``held``; an id with several labels has the largest. ``score`` is 0 to 1,
+    ``predicted`` is 1 from 0.5 on. A null or empty text scores as a text
+    without evidence; a null id is never learnt from and never held out.
+    Repeated rows are scored each time. Without training rows of both classes
+    nothing is predicted toxic. Other columns of either table are not read.
+    """
+    judge, ratios = fit(docs, labels, id_col, text_col, label_col, fold, held, order)
+    score = judge.score(F.col("ratio"))
     return ratios.select(
         F.col("id").alias(id_col),
         (remainder("id", fold) == held).alias("held_out"),
@@ -218,8 +240,29 @@ def label_toxicity(
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns kept; null ids stay."""
-    judged = label_toxicity(docs, labels, id_col, **options)
-    rejected = judged.filter(F.col("predicted") == 1).select(id_col).distinct()
-    return docs.join(rejected, id_col, "left_anti")
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    fold: int = 5,
+    held: int = 0,
+    order: int = ORDER,
+) -> DataFrame:
+    """The rows of ``docs`` whose own text is not predicted toxic, all columns kept.
+
+    Every row is judged by itself, so nothing is joined: null and repeated ids
+    are filtered like others, and equal texts share their fate. Null and empty
+    texts stay. Repeated rows stay as often as they came; an empty table, or one
+    without training rows of both classes, comes back as it is.
+    """
+    judge, _ = fit(docs, labels, id_col, text_col, label_col, fold, held, order)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(place).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([not judge.toxic(t) for t in values], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
