@@ -37,8 +37,18 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(digits) % modulus, F.lit(-1))
 
 
-def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """(ids, texts) of each batch of an ``id_and_text`` frame; null texts become empty."""
+#: Rows that a task turns into Python objects at once.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``SLICE_ROWS`` rows; empty ones are left out."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
+def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of parts of an ``id_and_text`` frame's batches; null texts become empty."""
+    for part in slices(batches):
+        yield part.column(0), [t or "" for t in part.column(1).to_pylist()]

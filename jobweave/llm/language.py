@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import id_and_text, remainder, texts
+from jobweave.llm.common import id_and_text, remainder, slices, texts
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -162,7 +162,7 @@ def _sampled(
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -238,7 +238,7 @@ def drop_unidentified(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([k != UNDETERMINED and p >= least_score for k, p in found], pa.bool_()))
 

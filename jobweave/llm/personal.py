@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from jobweave.llm.common import fresh, id_and_text, texts
+from jobweave.llm.common import fresh, id_and_text, slices, texts
 
 #: Kinds in the order that settles equal starts; the first four are always kept.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -226,7 +226,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             clean = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(clean, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, result])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import id_and_text, remainder
+from jobweave.llm.common import id_and_text, remainder, slices
 from jobweave.sources.files import stage
 
 SYMBOLS = 32
@@ -108,7 +108,7 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2 * PARTS, cells), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for part, text, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
                     np.add.at(table[2 * part + toxic], grams(text, order), 1)
@@ -131,7 +131,7 @@ def log_ratios(
     """(id, ratio, crossed) of every row; ``crossed`` is under the model of the other parts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 index = grams(text or "", model.order)
@@ -261,7 +261,7 @@ def drop_toxic(
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = batch.column(place).cast(pa.string()).to_pylist()
             yield batch.filter(pa.array([not judge.toxic(t) for t in values], pa.bool_()))
 
