@@ -107,14 +107,14 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> np.ndarray:
     cells = SYMBOLS**order
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2 * PARTS, cells), np.int64)
+        table = np.zeros((2 * PARTS, cells), np.uint32)
         for batch in slices(batches):
             for part, text, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
                     np.add.at(table[2 * part + toxic], grams(text, order), 1)
         for cell, counted in enumerate(table):
             seen = np.flatnonzero(counted)
-            columns = [np.full(len(seen), cell, np.int32), seen.astype(np.int32), counted[seen]]
+            columns = [np.full(len(seen), cell, np.int32), seen.astype(np.int32), counted[seen].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "gram", "n"])
 
     partial = labelled.select("part", "text", "toxic").mapInArrow(run, "cell int, gram int, n bigint")
