@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.operators.reshape import splay_list, wide_to_long
-from jobweave.operators.upsert import Merge, fixed_children, is_given, require_parents, upsert
+from jobweave.operators.upsert import Merge, fixed_children, is_given, require_parents
 from jobweave.operators.validate import RowSpec, split_rows_once
 from jobweave.session import RunClock
 from jobweave.sinks.runs import LoadSummary, RunLog
@@ -92,7 +92,7 @@ class Load:
 
 def _apply(write: Write, rows: DataFrame, tables: TableSet) -> None:
     batch = write.batch(rows, tables)
-    tables.write(write.table, upsert(tables.read_or_none(write.table), batch, write.merge()))
+    tables.merge(write.table, batch, write.merge())
 
 
 def run_load(
@@ -122,6 +122,7 @@ def run_load(
                     F.to_json("_raw").alias("raw"),
                 ),
                 clock.run_id,
+                load.loader,
             )
         good = checked.accepted.withColumns(
             {
@@ -149,6 +150,7 @@ def run_load(
                         F.to_json(F.struct(*load.spec.names)).alias("row"),
                     ),
                     clock.run_id,
+                    load.loader,
                 )
         run_together(
             tables.spark, [partial(_apply, write, matched, tables) for write in load.writes]

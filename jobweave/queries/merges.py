@@ -11,7 +11,7 @@ from jobweave.operators.history import latest_per_key
 from jobweave.operators.upsert import Merge, provenance, rename_keys, union_in_order, upsert
 from jobweave.operators.validate import Field, RowSpec
 from jobweave.plans.loads import Load, Write, run_load
-from jobweave.queries.registry import query, table
+from jobweave.queries.registry import SQL, query, table
 from jobweave.session import RunClock
 from jobweave.sinks.tables import TableSet
 from jobweave.sources.files import StagedFolder, shared_folder
@@ -76,6 +76,29 @@ def upsert_first_last(spark: SparkSession, folder: str) -> DataFrame:
     return upsert(old, _order_batch(spark, folder), _MERGE)
 
 
+@query(SQL["upsert_first_last"])
+def upsert_touched_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same merge into a stored table of 16 buckets of its keys.
+
+    A batch reads and replaces only the buckets of its customers. A batch without
+    rows, and the same batch again, change nothing.
+    """
+    tables = TableSet(spark, StagedFolder(spark, "bucketed").root, buckets={"customer": 16})
+    old = table(spark, folder, "customer").select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("id"),
+        F.lit(-1).cast("bigint").alias("first_order"),
+        F.lit("old").alias("status"),
+        F.col("c_mktsegment").alias("last_priority"),
+        (-F.col("c_custkey")).alias("urgent_order"),
+        F.col("c_name").alias("name"),
+    )
+    tables.write("customer", old)
+    tables.merge("customer", _order_batch(spark, folder), _MERGE)
+    tables.merge("customer", _order_batch(spark, folder).filter("false"), _MERGE)
+    tables.merge("customer", _order_batch(spark, folder), _MERGE)
+    return tables.read("customer")
+
+
 _COLLAPSED_SQL = """
     SELECT o_custkey AS id,
            arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS first_order,
@@ -217,6 +240,33 @@ def provenance_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges.drop("first_seen_at", "last_seen_at")
 
 
+@query(
+    """
+    SELECT DISTINCT l_suppkey AS id, 'run-1' AS run_id, 'lines' AS source,
+           '2024-01-01' AS first_seen, '2024-01-01' AS last_seen FROM lineitem
+    UNION ALL
+    SELECT s_suppkey, 'run-2', 'suppliers', '2024-01-02', '2024-01-03' FROM supplier
+    """
+)
+def provenance_two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges to the runs that loaded a supplier; each run is a part, and the second one is replayed a day later."""
+    tables = TableSet(spark, StagedFolder(spark, "provenance").root)
+    merge = Merge(("id", "run_id", "source"), ("first_seen",), ("last_seen",))
+
+    def edges(name: str, key: str, run: str, source: str, day: str) -> DataFrame:
+        rows = table(spark, folder, name).select(F.col(key).alias("id"))
+        seen = provenance(rows, ["id"], run, source, F.lit(day))
+        return seen.withColumnsRenamed({"first_seen_at": "first_seen", "last_seen_at": "last_seen"})
+
+    for batch in (
+        edges("lineitem", "l_suppkey", "run-1", "lines", "2024-01-01"),
+        edges("supplier", "s_suppkey", "run-2", "suppliers", "2024-01-02"),
+        edges("supplier", "s_suppkey", "run-2", "suppliers", "2024-01-03"),
+    ):
+        tables.merge("supplier_was_generated_by", batch, merge, collapsed=True)
+    return tables.read("supplier_was_generated_by")
+
+
 @query(
     """
     WITH seen AS (SELECT DISTINCT c_mktsegment AS name FROM customer)

@@ -1,29 +1,55 @@
-"""Versioned parquet tables: a write never touches the files being read.
+"""Versioned parquet tables, whole or dealt into parts that a merge replaces one by one.
 
 ``root/<table>/version=<n>`` is complete once Spark has left its success
 marker; the newest complete version is the table. An interrupted write leaves
 a folder without a marker, which readers ignore.
+
+A dealt table has a part per hash bucket of its keys, or per run for rows keyed
+by one. A merge reads and replaces only the parts its batch touches, in the
+current version; the files of all others stay as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobweave.sources.files import child_names, path_exists
+from jobweave.operators.upsert import Merge, collapse, upsert
+from jobweave.sources.files import StagedFolder, child_names, path_exists
+from jobweave.sources.readers import SEQ
 
 _VERSION = re.compile(r"^version=(\d+)$")
+PART = "_part"
+RUN = "run_id"
+
+
+def bucket_part(keys: tuple[str, ...], buckets: int) -> Column:
+    """The part of a row by the hash of its keys."""
+    return F.concat(F.lit("b"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"))
+
+
+def run_part(run: Column) -> Column:
+    """The part of a run, a name that is a safe folder whatever the run is called."""
+    return F.concat(F.lit("r"), F.sha1(F.coalesce(run.cast("string"), F.lit("")).cast("binary")))
 
 
 class TableSet:
-    """Named tables below one root folder."""
+    """Named tables below one root folder.
+
+    ``buckets`` names tables dealt by their keys and their number of buckets:
+    choose it so that a bucket is a few files at most. Tables whose keys hold a
+    run are dealt by run without being named.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: Mapping[str, int] | None = None) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = dict(buckets or {})
         # Schemas of versions written here, so reading them back infers nothing.
         self._schemas: dict[str, StructType] = {}
 
@@ -56,7 +82,13 @@ class TableSet:
         reader = self.spark.read
         if folder in self._schemas:
             reader = reader.schema(self._schemas[folder])
-        return reader.parquet(folder)
+        return reader.parquet(folder).drop(PART)
+
+    def _is_dealt(self, folder: str) -> bool:
+        return any(child.startswith(f"{PART}=") for child in child_names(self.spark, folder))
+
+    def _next(self, name: str) -> str:
+        return self._folder(name, max(self._versions(name), default=0) + 1)
 
     def read_or_none(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
@@ -67,8 +99,7 @@ class TableSet:
         A table has one writer at a time: a version that is there already fails the
         write, but two writers that start together are not kept apart.
         """
-        version = max(self._versions(name), default=0) + 1
-        folder = self._folder(name, version)
+        folder = self._next(name)
         df.write.parquet(folder)
         self._schemas[folder] = df.schema
         return self._scan(folder)
@@ -80,9 +111,83 @@ class TableSet:
             name, df if current is None else current.unionByName(df, allowMissingColumns=True)
         )
 
-    def replace_run(self, name: str, df: DataFrame, run_id: str) -> DataFrame:
-        """The current rows of other runs plus those of this one, so a replay adds nothing."""
-        current = self.read_or_none(name)
-        if current is not None:
-            df = current.filter(F.col("run_id") != run_id).unionByName(df, allowMissingColumns=True)
-        return self.write(name, df)
+    def merge(
+        self, name: str, batch: DataFrame, merge: Merge, seq: str = SEQ, collapsed: bool = False, small: bool = False
+    ) -> None:
+        """Merge a batch into a table, as ``upsert`` would.
+
+        A dealt table's new parts are staged and then replace the old ones by
+        dynamic partition overwrite. They are replaced one after the other, so a
+        write that is cut short is mended by merging the same batch again, which
+        changes nothing elsewhere. The first merge into a table that is not
+        dealt yet, and one that brings new columns, writes a whole version. A
+        batch without rows changes nothing.
+        """
+        if name in self.buckets:
+            part = bucket_part(merge.keys, self.buckets[name])
+        elif RUN in merge.keys:
+            part = run_part(F.col(RUN))
+        else:
+            current = self.read_or_none(name)
+            self.write(name, upsert(current, batch, merge, seq, collapsed, small))
+            return
+        folder = StagedFolder(self.spark, f"merge-{name}")
+        changes = batch.select(*merge.columns) if collapsed else collapse(batch, merge, seq)
+        changes, rows = folder.write(changes.withColumn(PART, part), "changes")
+        keyed = replace(merge, keys=(PART, *merge.keys))
+
+        version = self.current_version(name)
+        here = None if version is None else self._folder(name, version)
+        if not rows:
+            # Without a part, a dealt table would have no file that tells its columns.
+            if here is None:
+                self.write(name, changes.drop(PART))
+            return
+        if here is None or not self._is_dealt(here):
+            old = None if here is None else self._scan(here).withColumn(PART, part)
+            self._write_dealt(self._next(name), upsert(old, changes, keyed, collapsed=True))
+            return
+        old = self.spark.read.parquet(here)
+        if not set(changes.columns) <= set(old.columns):
+            self._write_dealt(self._next(name), upsert(old, changes, keyed, collapsed=True))
+            return
+        # As many values as buckets, or runs in the batch.
+        touched = [r[PART] for r in changes.select(PART).distinct().collect()]
+        merged = upsert(old.filter(F.col(PART).isin(touched)), changes, keyed, collapsed=True, small=small)
+        merged, _ = folder.write(merged, "merged")
+        self._replace_parts(here, merged)
+        folder.remove("merged")
+        folder.remove("changes")
+
+    def _dealt_version(self, name: str, df: DataFrame) -> DataFrame:
+        self._write_dealt(self._next(name), df)
+        return self.read(name)
+
+    def _write_dealt(self, folder: str, df: DataFrame) -> None:
+        df.hint("rebalance", PART).write.partitionBy(PART).parquet(folder)
+
+    def _replace_parts(self, folder: str, df: DataFrame) -> None:
+        writer = df.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+    def replace_run(self, name: str, df: DataFrame, run_id: str, loader: str = "") -> DataFrame:
+        """The rows of one run (and loader) are these; the files of other runs stay as they are.
+
+        A replay replaces its own rows, so it adds nothing. Without rows the
+        part that is there already stays.
+        """
+        part = run_part(F.lit(f"{run_id}/{loader}" if loader else run_id))
+        dealt = df.withColumn(PART, part)
+        version = self.current_version(name)
+        here = None if version is None else self._folder(name, version)
+        if here is None:
+            return self.write(name, df) if df.isEmpty() else self._dealt_version(name, dealt)
+        if self._is_dealt(here) and set(df.columns) <= set(self.read(name).columns):
+            self._replace_parts(here, dealt)
+        else:
+            stored = self.spark.read.parquet(here)
+            if PART not in stored.columns:
+                stored = stored.withColumn(PART, run_part(F.col(RUN))).filter(~F.col(RUN).eqNullSafe(F.lit(run_id)))
+            others = stored.join(dealt.select(PART).distinct(), PART, "left_anti")
+            self._write_dealt(self._next(name), others.unionByName(dealt, allowMissingColumns=True))
+        return self.read(name)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from jobweave.operators.upsert import Merge, collapse, upsert
+from jobweave.operators.upsert import Merge, collapse
 from jobweave.plans.loads import Load, run_load
 from jobweave.session import RunClock
 from jobweave.sinks.tables import TableSet
@@ -47,8 +47,7 @@ def merge_stream(
         rows = prepare(batch) if prepare else batch
         # Written once, the batch has a known size, so its join can be a broadcast.
         changes = stage(collapse(rows, merge, seq), f"batch-{name}")
-        current = tables.read_or_none(name)
-        tables.write(name, upsert(current, changes, merge, collapsed=True, small=True))
+        tables.merge(name, changes, merge, collapsed=True, small=True)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
