@@ -209,6 +209,31 @@ def in_force(day: Column, start: str = "effective_from", end: str = "effective_t
     return (day >= F.col(start)) & (F.col(end).isNull() | (day <= F.col(end)))
 
 
+#: Days are numbered from the first day of year 1; 2 ** 22 of them reach beyond year 9999.
+_LEVELS = 22
+
+
+def _day_number(day: str) -> str:
+    return f"(unix_date({day}) + 719163)"
+
+
+def dyadic_nodes(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """Each range once per interval it is made of, as ``_level`` and ``_node``.
+
+    An interval of level k is a stretch of 2 ** k days that starts at a multiple
+    of that; a range is made of at most two of each level, and an open end lasts
+    to the last day. A day lies in a range exactly if one of the intervals that
+    hold the day, one per level, is among them. A range without a start, or one
+    that ends before it starts, is made of none.
+    """
+    first = f"shiftright({_day_number(f'CAST(`{start}` AS DATE)')} + shiftleft(1L, k) - 1, k)"
+    last = f"(shiftright(coalesce({_day_number(f'CAST(`{end}` AS DATE)')}, {(1 << _LEVELS) - 1}) + 1L, k) - 1)"
+    found = f"""filter(flatten(transform(sequence(0, {_LEVELS}), k -> array(
+        IF({first} <= {last} AND {first} % 2 = 1, struct(k AS _level, {first} AS _node), NULL),
+        IF({first} <= {last} AND {last} % 2 = 0, struct(k AS _level, {last} AS _node), NULL)))), n -> n IS NOT NULL)"""
+    return ranges.select("*", F.expr(f"inline({found})"))
+
+
 def effective_join(
     facts: DataFrame,
     ranges: DataFrame,
@@ -216,24 +241,28 @@ def effective_join(
     on: Sequence[str] = (),
     start: str = "effective_from",
     end: str = "effective_to",
-    horizon: date | None = None,
 ) -> DataFrame:
     """Facts with the dated rows in force on their day.
 
     With key columns it is an equi join and a residual range test. Without
-    keys, ranges are spread over the calendar years they touch, so the join
-    still hashes on a year; years beyond the required ``horizon`` share its bucket.
+    keys, each different day meets the ranges by the intervals that hold it
+    (:func:`dyadic_nodes`), and the facts of a day then meet what it met. No
+    bucket of the first join holds more days than one, nor other ranges than
+    those in force all through its interval, whatever the ranges' lengths; the
+    second has at most as many rows as the result.
     """
     if on:
         return facts.join(ranges, list(on)).filter(in_force(F.col(day), start, end))
-    if horizon is None:
-        raise ValueError("a join without keys needs a horizon")
-    last = horizon.year
-    first_year = F.least(F.year(start), F.lit(last))
-    last_year = F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
-    spread = ranges.withColumn("_year", F.explode(F.sequence(first_year, last_year)))
-    keyed = facts.withColumn("_year", F.least(F.year(day), F.lit(last)))
-    return keyed.join(spread, "_year").filter(in_force(F.col(day), start, end)).drop("_year")
+    days = facts.select(F.col(day).cast("date").alias("_day")).filter("_day IS NOT NULL").distinct()
+    held = days.select(
+        "_day",
+        F.expr(
+            f"inline(transform(sequence(0, {_LEVELS}), k -> "
+            f"struct(k AS _level, shiftright(CAST({_day_number('_day')} AS BIGINT), k) AS _node)))"
+        ),
+    )
+    met = held.join(dyadic_nodes(ranges, start, end), ["_level", "_node"]).drop("_level", "_node")
+    return facts.join(met, F.col(day).cast("date") == F.col("_day")).drop("_day")
 
 
 def active_segments(current_edges: DataFrame) -> DataFrame:

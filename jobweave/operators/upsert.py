@@ -134,6 +134,95 @@ def _merged(names: Sequence[str], merge: Merge, known: Sequence[str]) -> list[Co
     return [value(name).alias(name) for name in names]
 
 
+_AT = "_at_"
+
+
+def order_columns(merge: Merge) -> tuple[str, ...]:
+    """The columns that hold where each group of values stands in the input's order."""
+    return (
+        *([f"{_AT}first"] if merge.create_only else ()),
+        *([f"{_AT}last"] if merge.set_columns else ()),
+        *[f"{_AT}{c}" for c in merge.keep_old],
+    )
+
+
+def without_order(df: DataFrame, merge: Merge) -> DataFrame:
+    """An ordered table as its readers want it."""
+    return df.drop(*order_columns(merge))
+
+
+def collapse_ordered(batch: DataFrame, merge: Merge, seq: str = SEQ) -> DataFrame:
+    """:func:`collapse`, and beside each group of values its place in the order."""
+    order = F.col(seq)
+    places = []
+    if merge.create_only:
+        places.append(F.min(order).alias(f"{_AT}first"))
+    if merge.set_columns:
+        places.append(F.max(order).alias(f"{_AT}last"))
+    for name in merge.keep_old:
+        places.append(F.max(F.when(F.col(name).isNotNull(), order)).alias(f"{_AT}{name}"))
+    wanted: list[Column] = []
+    if merge.create_only:
+        wanted.append(F.min_by(_row(merge.create_only), order).alias("_first"))
+    if merge.set_columns:
+        wanted.append(F.max_by(_row(merge.set_columns), order).alias("_last"))
+    for name in merge.keep_old:
+        wanted.append(F.max_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name))
+    if not wanted:
+        return batch.select(*merge.keys).distinct()
+    return batch.groupBy(*merge.keys).agg(*wanted, *places).select(
+        *merge.keys,
+        *_unpacked("_first", merge.create_only),
+        *_unpacked("_last", merge.set_columns),
+        *merge.keep_old,
+        *order_columns(merge),
+    )
+
+
+def upsert_ordered(
+    target: DataFrame | None, batch: DataFrame, merge: Merge, seq: str = SEQ, collapsed: bool = False, small: bool = False
+) -> DataFrame:
+    """The table after the batch, whatever order batches come in.
+
+    The table keeps the places of its values (:func:`order_columns`), and a
+    batch's values win only if theirs are earlier (``create_only``) or as late
+    (the others). So batches may arrive late, in any order and more than once,
+    and the table is what one batch of all rows gives, if rows of a key do not
+    share a place. Rows without a place never win. ``small`` is that of
+    :func:`upsert`; columns that only the table has stay as they are.
+    """
+    places = order_columns(merge)
+    new = batch.select(*merge.columns, *places) if collapsed else collapse_ordered(batch, merge, seq)
+    if target is None:
+        return new
+    groups = [("first", merge.create_only), ("last", merge.set_columns), *[(c, (c,)) for c in merge.keep_old]]
+    packed = [(f"{_AT}{at}", names) for at, names in groups if names]
+    keys = list(merge.keys)
+    rest = [c for c in target.columns if c not in new.columns]
+
+    def side(df: DataFrame, mark: str, more: Sequence[str] = ()) -> DataFrame:
+        states = [F.struct(F.col(at).alias("at"), *names).alias(f"{mark}{at}") for at, names in packed]
+        return df.select(*keys, *states, *more, F.lit(1).alias(mark))
+
+    old_side, new_side = side(target, "_old", rest), side(new, "_new")
+    joined = old_side.join(new_side, keys, "left" if small else "full_outer")
+
+    def winner(at: str) -> Column:
+        old, new_state = F.col(f"_old{at}"), F.col(f"_new{at}")
+        earlier = at == f"{_AT}first" and bool(merge.create_only)
+        wins = new_state["at"] < old["at"] if earlier else new_state["at"] >= old["at"]
+        wins = F.col("_old").isNull() | (new_state["at"].isNotNull() & (old["at"].isNull() | wins))
+        return F.when(wins, new_state).otherwise(old)
+
+    chosen = joined.select(*keys, *[winner(at).alias(at) for at, _ in packed], *rest)
+    values = [F.col(f"{at}.{c}").alias(c) for at, names in packed for c in names]
+    merged = chosen.select(*keys, *values, *rest, *[F.col(f"{at}.at").alias(at) for at, _ in packed])
+    if small:
+        present = target.select(*keys).join(new.select(*keys), keys, "left_semi")
+        merged = merged.unionByName(new.join(present, keys, "left_anti"), allowMissingColumns=True)
+    return merged.select(*target.columns)
+
+
 def require_parents(
     child: DataFrame, parent: DataFrame, on: Mapping[str, str]
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators.history import latest_per_key
-from jobweave.operators.upsert import Merge, provenance, rename_keys, union_in_order, upsert
+from jobweave.operators.upsert import Merge, provenance, rename_keys, union_in_order, upsert, without_order
 from jobweave.operators.validate import Field, RowSpec
 from jobweave.plans.loads import Load, Write, run_load
 from jobweave.queries.registry import SQL, query, table
@@ -17,7 +17,7 @@ from jobweave.sinks.tables import TableSet
 from jobweave.sources.files import StagedFolder, shared_folder
 from jobweave.sources.readers import with_sequence
 from jobweave.sources.vocabulary import rename_roles
-from jobweave.streaming.micro_batch import file_stream, merge_stream
+from jobweave.streaming.micro_batch import file_stream, in_time, merge_stream
 
 
 def _order_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,11 +301,26 @@ def vocabulary_rename(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def stream_upsert_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events merged micro-batch by micro-batch equal one batch merge."""
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    tables = TableSet(spark, f"{root}/tables")
+    """Events of one file merged in one micro-batch."""
     schema = table(spark, folder, "events").schema
-    stream = file_stream(spark, folder, schema, "events.parquet")
+    return _merged_events(spark, file_stream(spark, folder, schema, "events.parquet"))
+
+
+@query(SQL["stream_upsert_events"])
+def stream_late_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in four files merged one after the other, each of them late and one delivered twice."""
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived = StagedFolder(spark, "late-events")
+    for part in (2, 0, 3, 1, 0):
+        rows = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1)
+        rows.write.mode("append").parquet(f"{arrived.root}/in")
+    stream = file_stream(spark, f"{arrived.root}/in", events.schema, max_files=1)
+    return _merged_events(spark, in_time(stream, "ts", "3650 days", ["event_id"]), {"user": 8})
+
+
+def _merged_events(spark: SparkSession, stream: DataFrame, buckets: dict[str, int] | None = None) -> DataFrame:
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    tables = TableSet(spark, f"{root}/tables", buckets)
 
     def prepare(batch: DataFrame) -> DataFrame:
         return batch.select(
@@ -321,7 +336,7 @@ def stream_upsert_events(spark: SparkSession, folder: str) -> DataFrame:
         stream, tables, "user", merge, f"{root}/checkpoint", prepare=prepare
     )
     running.awaitTermination()
-    return tables.read("user")
+    return without_order(tables.read("user"), merge)
 
 
 _ORDER_LINES = Load(

@@ -216,12 +216,12 @@ def effective_dated_join(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def point_in_time_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments in force on each order's (shifted) day, joined by year bucket."""
+    """Segments in force on each order's (shifted) day, met by the intervals that hold the day."""
     ranges = segment_memberships(spark).unionByName(segment_memberships(spark, historical=True))
     facts = table(spark, folder, "orders").select(
         "o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 9500).alias("day")
     )
-    joined = history.effective_join(facts, ranges, "day", horizon=date(2025, 1, 1))
+    joined = history.effective_join(facts, ranges, "day")
     return joined.groupBy(F.year("day").alias("year"), "segment_code").agg(
         F.count(F.lit(1)).alias("orders")
     )

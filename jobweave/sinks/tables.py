@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobweave.operators.upsert import Merge, collapse, upsert
+from jobweave.operators.upsert import Merge, collapse, collapse_ordered, order_columns, upsert, upsert_ordered
 from jobweave.sources.files import StagedFolder, child_names, path_exists
 from jobweave.sources.readers import SEQ
 
@@ -112,9 +112,10 @@ class TableSet:
         )
 
     def merge(
-        self, name: str, batch: DataFrame, merge: Merge, seq: str = SEQ, collapsed: bool = False, small: bool = False
+        self, name: str, batch: DataFrame, merge: Merge, seq: str = SEQ, collapsed: bool = False,
+        small: bool = False, ordered: bool = False,
     ) -> None:
-        """Merge a batch into a table, as ``upsert`` would.
+        """Merge a batch into a table, as ``upsert`` or, if ``ordered``, ``upsert_ordered`` would.
 
         A dealt table's new parts are staged and then replace the old ones by
         dynamic partition overwrite. They are replaced one after the other, so a
@@ -123,16 +124,18 @@ class TableSet:
         dealt yet, and one that brings new columns, writes a whole version. A
         batch without rows changes nothing.
         """
+        fold, combine = (collapse_ordered, upsert_ordered) if ordered else (collapse, upsert)
         if name in self.buckets:
             part = bucket_part(merge.keys, self.buckets[name])
         elif RUN in merge.keys:
             part = run_part(F.col(RUN))
         else:
             current = self.read_or_none(name)
-            self.write(name, upsert(current, batch, merge, seq, collapsed, small))
+            self.write(name, combine(current, batch, merge, seq, collapsed, small))
             return
         folder = StagedFolder(self.spark, f"merge-{name}")
-        changes = batch.select(*merge.columns) if collapsed else collapse(batch, merge, seq)
+        columns = [*merge.columns, *(order_columns(merge) if ordered else ())]
+        changes = batch.select(*columns) if collapsed else fold(batch, merge, seq)
         changes, rows = folder.write(changes.withColumn(PART, part), "changes")
         keyed = replace(merge, keys=(PART, *merge.keys))
 
@@ -145,15 +148,15 @@ class TableSet:
             return
         if here is None or not self._is_dealt(here):
             old = None if here is None else self._scan(here).withColumn(PART, part)
-            self._write_dealt(self._next(name), upsert(old, changes, keyed, collapsed=True))
+            self._write_dealt(self._next(name), combine(old, changes, keyed, collapsed=True))
             return
         old = self.spark.read.parquet(here)
         if not set(changes.columns) <= set(old.columns):
-            self._write_dealt(self._next(name), upsert(old, changes, keyed, collapsed=True))
+            self._write_dealt(self._next(name), combine(old, changes, keyed, collapsed=True))
             return
         # As many values as buckets, or runs in the batch.
         touched = [r[PART] for r in changes.select(PART).distinct().collect()]
-        merged = upsert(old.filter(F.col(PART).isin(touched)), changes, keyed, collapsed=True, small=small)
+        merged = combine(old.filter(F.col(PART).isin(touched)), changes, keyed, collapsed=True, small=small)
         merged, _ = folder.write(merged, "merged")
         self._replace_parts(here, merged)
         folder.remove("merged")

@@ -1,19 +1,19 @@
 """Merges applied to a stream, one micro-batch at a time.
 
-A merge is idempotent, and each micro-batch writes a new table version, so a
-batch replayed after a failure leaves the same rows.
+A merge compares the order of a row with that of the rows already there, so
+late files and batches replayed after a failure leave the same rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from jobweave.operators.upsert import Merge, collapse
+from jobweave.operators.upsert import Merge, collapse_ordered
 from jobweave.plans.loads import Load, run_load
 from jobweave.session import RunClock
 from jobweave.sinks.tables import TableSet
@@ -31,6 +31,15 @@ def file_stream(
     return reader.parquet(folder)
 
 
+def in_time(stream: DataFrame, time: str, delay: str, unique: Sequence[str]) -> DataFrame:
+    """Rows at most ``delay`` behind the latest one, each key once within that time.
+
+    The watermark bounds the state that tells repeated rows; a row further
+    behind is dropped, and Spark counts it in the query's progress.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(unique))
+
+
 def merge_stream(
     stream: DataFrame,
     tables: TableSet,
@@ -41,13 +50,17 @@ def merge_stream(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     once: bool = True,
 ) -> StreamingQuery:
-    """Merge every micro-batch into one table; ``once`` drains what is available."""
+    """Merge every micro-batch into one table; ``once`` drains what is available.
+
+    The table keeps the order of what it holds, so late and repeated rows give
+    what one batch of all rows gives; read it through ``without_order``.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         # Written once, the batch has a known size, so its join can be a broadcast.
-        changes = stage(collapse(rows, merge, seq), f"batch-{name}")
-        tables.merge(name, changes, merge, collapsed=True, small=True)
+        changes = stage(collapse_ordered(rows, merge, seq), f"batch-{name}")
+        tables.merge(name, changes, merge, collapsed=True, small=True, ordered=True)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

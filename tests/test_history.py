@@ -1,7 +1,7 @@
 import hashlib
 import json
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,7 +127,7 @@ def test_effective_dates_include_both_ends(spark):
     keyed = history.effective_join(facts, ranges, "day", ["code"])
     assert {(r.day, r.era) for r in keyed.collect()} == expected
     bucketed = history.effective_join(
-        facts.select("day"), ranges, "day", horizon=date(2020, 1, 1)
+        facts.select("day"), ranges, "day"
     )
     assert {(r.day, r.era) for r in bucketed.collect()} == expected
     plan = bucketed._jdf.queryExecution().executedPlan().toString()
@@ -149,3 +149,26 @@ def test_changes_between_versions(spark):
     )
     changes = version_changes(rows, ["f", "g"]).orderBy("valid_from").collect()
     assert [r.changed_fields for r in changes] == [["g"], ["f"]]
+
+
+def test_days_meet_ranges_by_their_intervals(spark):
+    rng = random.Random(7)
+    day = lambda n: date(1969, 12, 1) + timedelta(days=n)
+    ranges = []
+    for i in range(120):
+        start = rng.randrange(0, 4000)
+        length = rng.choice([0, 1, 2, 30, 365, 3000, -1])
+        ranges.append((i, day(start), None if i % 7 == 0 else day(start + length)))
+    ranges += [(900, None, day(5)), (901, date(1, 1, 1), date(9999, 12, 31)), (902, date(1, 1, 1), None)]
+    facts = [(n, day(rng.randrange(-50, 4200))) for n in range(200)] + [(500, None), (501, date(9999, 12, 31)), (502, date(1, 1, 1))]
+    left = spark.createDataFrame(facts, "n int, day date")
+    right = spark.createDataFrame(ranges, "i int, effective_from date, effective_to date")
+    got = sorted((r.n, r.i) for r in history.effective_join(left, right, "day").collect())
+    expected = sorted(
+        (n, i) for n, d in facts for i, a, b in ranges if d and a and a <= d and (b is None or d <= b)
+    )
+    assert got == expected and len(got) > 1000
+    nodes = history.dyadic_nodes(right, "effective_from", "effective_to")
+    assert nodes.groupBy("i", "_level").count().filter("count > 2").isEmpty()
+    # A long range does not stand in as many places as it has days or years.
+    assert nodes.filter("i = 902").count() <= 2 * 22
