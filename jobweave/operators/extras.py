@@ -172,15 +172,18 @@ def pair_checks(
     ``checks`` are boolean expressions over ``data_*`` and ``control_*``
     columns; a pair with a missing half is never certified.
     """
-    left = data.select(
-        *keys, *[F.col(c).alias(f"data_{c}") for c in data.columns if c not in keys],
-        F.lit(True).alias("_data"),
-    )
-    right = control.select(
-        *keys, *[F.col(c).alias(f"control_{c}") for c in control.columns if c not in keys],
-        F.lit(True).alias("_control"),
-    )
-    joined = left.join(right, list(keys), "full_outer")
+    joined = half(data, keys, "data").join(half(control, keys, "control"), list(keys), "full_outer")
+    return checked_pairs(joined, keys, checks)
+
+
+def half(files: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """One side of the pairs: its keys, its other columns under ``name``, and a mark that it is there."""
+    rest = [F.col(c).alias(f"{name}_{c}") for c in files.columns if c not in keys]
+    return files.select(*keys, *rest, F.lit(True).alias(f"_{name}"))
+
+
+def checked_pairs(joined: DataFrame, keys: Sequence[str], checks: Mapping[str, Column]) -> DataFrame:
+    """Joined halves with the half that is missing, each check, and whether the pair is certified."""
     paired = F.col("_data").isNotNull() & F.col("_control").isNotNull()
     state = (
         F.when(paired, "paired").when(F.col("_data").isNotNull(), "control missing")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from jobweave.operators import extras
 from jobweave.operators.upsert import require_parents
-from jobweave.queries.registry import query, table
+from jobweave.queries.registry import SQL, query, table
+from jobweave.sources.files import StagedFolder
+from jobweave.streaming.micro_batch import file_stream
+from jobweave.streaming.pairs import append_pairs, pair_stream
 
 
 @query(
@@ -180,6 +183,13 @@ def run_rollup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Data files checked against their control files, per dataset and business month."""
+    data, control = _files(spark, folder)
+    checked = extras.pair_checks(data, control, ["dataset", "day"], _file_checks())
+    return checked.withColumn("day", F.col("day").cast("string"))
+
+
+def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The data and control files of every dataset and month."""
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("dataset"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("day"),
@@ -197,19 +207,42 @@ def pair_checks(spark: SparkSession, folder: str) -> DataFrame:
             F.max("arrived").alias("arrived"),
         )
 
+    return files(F.col("is_data")), files(~F.col("is_data"))
+
+
+def _file_checks() -> dict[str, Column]:
     c = F.col
-    checked = extras.pair_checks(
-        files(F.col("is_data")),
-        files(~F.col("is_data")),
-        ["dataset", "day"],
-        {
-            "rowcount_match": F.abs(c("data_n") - c("control_n")) <= 2,
-            "hash_match": F.abs(c("data_cents") - c("control_cents")) < 5000000,
-            "value_range": (c("data_low") >= 1) & (c("data_high") <= 45),
-            "freshness_sla": c("data_arrived") <= F.date_add("control_arrived", 10),
-        },
-    )
-    return checked.withColumn("day", F.col("day").cast("string"))
+    return {
+        "rowcount_match": F.abs(c("data_n") - c("control_n")) <= 2,
+        "hash_match": F.abs(c("data_cents") - c("control_cents")) < 5000000,
+        "value_range": (c("data_low") >= 1) & (c("data_high") <= 45),
+        "freshness_sla": c("data_arrived") <= F.date_add("control_arrived", 10),
+    }
+
+
+@query(SQL["pair_checks"])
+def pair_checks_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs from two streams of files that arrive year by year.
+
+    A month without its half is released when the watermark has passed it; a
+    last file far ahead lets time pass for the months at the end.
+    """
+    arrived = StagedFolder(spark, "pairs")
+    for name, files in zip(("data", "control"), _files(spark, folder)):
+        stamped = files.withColumn("day", F.col("day").cast("timestamp"))
+        stamped, _ = arrived.write(stamped, f"{name}-files")
+        end = stamped.agg(F.lit(None).cast("bigint").alias("dataset"), (F.max("day") + F.expr("INTERVAL 3000 DAYS")).alias("day"))
+        years = [r.year for r in stamped.select(F.year("day").alias("year")).distinct().orderBy("year").collect()]
+        for year in years:
+            stamped.filter(F.year("day") == year).write.mode("append").parquet(f"{arrived.root}/{name}")
+        last = stamped.filter("false").unionByName(end, allowMissingColumns=True)
+        last.coalesce(1).write.mode("append").parquet(f"{arrived.root}/{name}")
+    schema = stamped.schema
+    data, control = (file_stream(spark, f"{arrived.root}/{name}", schema, max_files=4) for name in ("data", "control"))
+    pairs = pair_stream(data, control, ["dataset", "day"], "day", "800 days", _file_checks())
+    append_pairs(pairs, f"{arrived.root}/pairs", f"{arrived.root}/checkpoint").awaitTermination()
+    released = spark.read.schema(pairs.schema).parquet(f"{arrived.root}/pairs").filter("dataset IS NOT NULL")
+    return released.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(

@@ -4,12 +4,14 @@ import pytest
 from estate import write_scheduler
 from pyspark.sql import functions as F
 
+from jobweave.operators.extras import pair_checks
 from jobweave.operators.upsert import Merge, collapse_ordered, upsert, upsert_ordered, without_order
 from jobweave.plans.loads import FOLDERS
 from jobweave.sinks.runs import RunLog
 from jobweave.sinks.tables import TableSet
 from jobweave.sources.readers import read_delimited
 from jobweave.streaming.micro_batch import file_stream, in_time, load_stream, merge_stream
+from jobweave.streaming.pairs import append_pairs, pair_stream
 
 MERGE = Merge(("k",), ("first",), ("last",))
 
@@ -89,3 +91,29 @@ def test_watermark_bounds_how_late_a_row_may_be(spark, tmp_path):
     stream = file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, max_files=1)
     merge_stream(in_time(stream, "ts", "7 days", ["k", "_seq"]), tables, "n", MERGE, str(tmp_path / "c")).awaitTermination()
     assert {r.k: (r.first, r["last"]) for r in tables.read("n").collect()} == {1: (1, 2), 2: (5, 5)}
+
+
+def test_pairs_of_two_streams_equal_pairs_of_two_tables(spark, tmp_path):
+    """Halves that come early, late or never; those that never come are released when time has passed."""
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    schema = "dataset int, day timestamp, n int"
+    data = [(d, day(t), d + t) for t in range(12) for d in range(4) if (d + t) % 5]
+    control = [(d, day(t), d + t + (d == 2)) for t in range(12) for d in range(4) if (d + t) % 3]
+    far = [(None, day(400), None)]
+    for name, rows, cuts in (("data", data, (10, 25)), ("control", control, (4, 8))):
+        for part in (rows[: cuts[0]], rows[cuts[1] :], rows[cuts[0] : cuts[1]], far):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    frames = [spark.createDataFrame(rows, schema) for rows in (data, control)]
+    checks = {"same": F.col("data_n") == F.col("control_n")}
+    expected = pair_checks(*frames, ["dataset", "day"], checks)
+    streams = [file_stream(spark, str(tmp_path / n), frames[0].schema, max_files=1) for n in ("data", "control")]
+    pairs = pair_stream(*streams, ["dataset", "day"], "day", "30 days", checks)
+    append_pairs(pairs, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).filter("dataset IS NOT NULL")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert {r.pair for r in got.collect()} == {"paired", "control missing", "data missing"}
+    again = append_pairs(pairs, str(tmp_path / "out"), str(tmp_path / "c"))
+    again.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("dataset IS NOT NULL").count() == got.count()
+    with pytest.raises(ValueError):
+        pair_stream(*streams, ["dataset"], "day", "30 days", checks)
