@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobweave.operators.extras import bounded_reach
 from jobweave.sources.files import StagedFolder
 
 ARROW = " -> "
@@ -284,32 +285,66 @@ def _visits(
     folder: StagedFolder,
     part: str,
     keys: Sequence[str],
-    barred: Sequence[str],
+    avoided: Sequence[str],
     max_level: int,
+    inside: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, _at, _path, _level): the least path from each start to each name it reaches.
 
     ``first`` holds the names one hop away. The walk is breadth first and never
-    enters a name in the ``barred`` columns. A shortest path repeats no name.
+    enters a name in the ``avoided`` columns. A shortest path repeats no name.
+
+    With ``inside`` (_outer, _inners), a name also bars those that lie inside
+    it. A place is then a name and the set of names barred on the way there
+    (``_barred``), and is left out if that name was reached in fewer hops with
+    no more barred: whatever goes on from there goes on from the nearer place.
     """
     frontier, count = folder.write(first, f"{part}/_level=1")
     schema = T.StructType([*first.schema.fields, T.StructField("_level", T.IntegerType())])
+    place = [*keys, "_at"]
     level = 1
     while count and level < max_level:
         level += 1
         onward = frontier.join(name_hops, F.col("_at") == F.col("_from"))
-        for name in barred:
+        for name in avoided:
             onward = onward.filter(F.col("_to") != F.col(name))
-        reached = onward.groupBy(*keys, F.col("_to").alias("_at")).agg(
-            F.min(F.concat("_path", F.lit(ARROW), "_to")).alias("_path")
-        )
-        seen = folder.read(schema, part).select(*keys, "_at")
-        frontier, count = folder.write(
-            reached.join(seen, [*keys, "_at"], "left_anti"), f"{part}/_level={level}"
-        )
+        path = F.min(F.concat("_path", F.lit(ARROW), "_to")).alias("_path")
+        if inside is None:
+            reached = onward.groupBy(*keys, F.col("_to").alias("_at")).agg(path)
+            seen = folder.read(schema, part).select(*place)
+            fresh = reached.join(seen, place, "left_anti")
+        else:
+            onward = onward.filter(~F.array_contains("_barred", F.col("_to")) & ~_on_path("_to"))
+            onward = _barring(onward, inside, "_to")
+            reached = onward.groupBy(*keys, F.col("_to").alias("_at"), "_barred").agg(path)
+            seen = folder.read(schema, part).select(*place, F.col("_barred").alias("_less"))
+            reached, seen = reached.alias("r"), seen.alias("s")
+            same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in place]
+            fewer = F.size(F.array_except(F.col("s._less"), F.col("r._barred"))) == 0
+            fresh = reached.join(seen, [*same, fewer], "left_anti").select(first.columns)
+        frontier, count = folder.write(fresh, f"{part}/_level={level}")
     return folder.read(schema, part)
 
 
+def _on_path(name: str) -> Column:
+    """Whether a name is found between the arrows of ``_path``; one found in error costs a walk, not a row."""
+    whole = F.concat(F.lit(ARROW), "_path", F.lit(ARROW))
+    return F.instr(whole, F.concat(F.lit(ARROW), name, F.lit(ARROW))) > 0
+
+
+def _barring(rows: DataFrame, inside: DataFrame, name: str) -> DataFrame:
+    """``_barred`` with the names inside the one in ``name``, in order and each once."""
+    both = F.concat("_barred", F.coalesce("_inners", F.array().cast("array<string>")))
+    met = rows.join(inside, F.col(name) == F.col("_outer"), "left")
+    return met.withColumn("_barred", F.array_sort(F.array_distinct(both))).drop("_outer", "_inners")
+
+
+def _first_barred(rows: DataFrame, inside: DataFrame) -> DataFrame:
+    """What the two names of a first hop bar."""
+    empty = rows.withColumn("_barred", F.array().cast("array<string>"))
+    return _barring(_barring(empty, inside, "in_job_name"), inside, "_at")
+
+
 def _meets_arrow(name: str) -> Column:
     """Whether the substring guard could find a name across the arrows of a path."""
     column = F.col(name)
@@ -323,42 +358,64 @@ def _meets_arrow(name: str) -> Column:
     return met
 
 
+#: Letters of the pieces by which names are looked up in one another.
+_PIECE = 3
+
+
 def _names_inside(names: DataFrame) -> DataFrame:
-    """(_outer, _inner) of the ``name`` values that lie inside others, by equality with their pieces."""
-    length = F.char_length("name")
+    """(_outer, _inner) of the ``name`` values that lie inside others.
+
+    A name is looked up by the one of its pieces that the fewest names hold,
+    and each name that holds the piece is then searched for it. So a name costs
+    its length, and a piece that all names share leads nowhere.
+    """
+    names = names.filter(F.char_length("name") > 0)
+    sized = names.select("name", F.explode(F.sequence(F.lit(1), F.least(F.char_length("name"), F.lit(_PIECE)))).alias("_size"))
+    begins = F.sequence(F.lit(1), F.char_length("name") - F.col("_size") + 1)
     pieces = (
-        names.filter(length > 0)
-        .select("name", F.explode(F.sequence(F.lit(1), length)).alias("_first"))
-        .select("name", "_first", F.explode(F.sequence(F.lit(1), length - F.col("_first") + 1)).alias("_size"))
-        .select(F.col("name").alias("_outer"), F.substring("name", F.col("_first"), F.col("_size")).alias("_inner"))
-        .filter(F.col("_outer") != F.col("_inner"))
+        sized.select("name", "_size", F.explode(begins).alias("_begin"))
+        .select("name", "_size", F.substring("name", F.col("_begin"), F.col("_size")).alias("_piece"))
         .distinct()
     )
-    return pieces.join(names.select(F.col("name").alias("_inner")), "_inner", "left_semi")
+    held = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_held"))
+    own = pieces.filter(F.col("_size") == F.least(F.char_length("name"), F.lit(_PIECE)))
+    rarest = own.join(held, "_piece").groupBy("name").agg(F.min(F.struct("_held", "_piece")).alias("_best"))
+    looked = rarest.select(F.col("name").alias("_inner"), F.col("_best._piece").alias("_piece"))
+    met = pieces.select(F.col("name").alias("_outer"), "_piece").join(looked, "_piece")
+    found = (F.col("_outer") != F.col("_inner")) & (F.instr("_outer", F.col("_inner")) > 0)
+    return met.filter(found).select("_outer", "_inner")
 
 
-def _hidden_starts(visits: DataFrame, every_job_starts: bool) -> DataFrame:
+def _names_barred(
+    visits: DataFrame, name_hops: DataFrame, folder: StagedFolder, max_level: int, every_job_starts: bool
+) -> DataFrame:
+    """(_outer, _inner) of names of which the outer one leads to the inner one; others bar nothing."""
+    named = visits.select(F.col("_at").alias("name")).union(visits.select("in_job_name")).distinct()
+    if every_job_starts:
+        within = visits.select(F.col("in_job_name").alias("_outer"), F.col("_at").alias("_inner")).distinct()
+        return within.filter((F.col("_outer") != F.col("_inner")) & (F.instr("_outer", F.col("_inner")) > 0))
+    pairs, number = folder.write(_names_inside(named), "pairs")
+    if not number:
+        return pairs
+    hops = name_hops.toDF("_outer", "_inner")
+    reach = bounded_reach(hops, "_outer", "_inner", max_level, pairs.select("_outer"))
+    return pairs.join(reach.select("_outer", "_inner"), ["_outer", "_inner"], "left_semi")
+
+
+def _hidden_starts(visits: DataFrame, inside: DataFrame) -> DataFrame:
     """Starts on whose paths the substring guard may stop at a name unlike all before it.
 
-    Such a path holds a name and, later, one that lies inside it. If every job
-    is a start, the pairs are those in which the outer name reaches the inner.
+    Such a path holds a name and, later, one that lies inside it.
     """
     own = visits.select(*_START, F.col("in_job_name").alias("_at")).distinct()
     reach = visits.select(*_START, "_at").union(own)
-    if every_job_starts:
-        inside = (
-            visits.filter(F.instr("in_job_name", F.col("_at")) > 0)
-            .select(F.col("in_job_name").alias("_outer"), F.col("_at").alias("_inner"))
-            .distinct()
-        )
-    else:
-        inside = _names_inside(reach.select(F.col("_at").alias("name")).distinct())
-    both = (
+    return (
         reach.join(inside, F.col("_at") == F.col("_outer"))
         .select(*_START, F.col("_inner").alias("_at"))
         .join(visits.select(*_START, "_at"), [*_START, "_at"], "left_semi")
+        .select(*_START)
+        .distinct()
     )
-    return both.select(*_START).union(visits.filter(_meets_arrow("_at")).select(*_START)).distinct()
 
 
 def dependency_edges(
@@ -382,8 +439,9 @@ def dependency_edges(
 
     That is exact while the guard compares whole names. The substring guard
     differs only for successors that reach a name and another one inside it;
-    those alone are walked path by path. With an anchor only the chosen
-    successors start a walk.
+    those visit a name once per set of names barred on the way. Paths are listed
+    only for successors that reach a name which the guard could find across the
+    arrows of a path. With an anchor only the chosen successors start a walk.
     """
     if guard not in ("substring", "exact"):
         raise ValueError(f"unknown guard {guard!r}")
@@ -402,36 +460,47 @@ def dependency_edges(
     visits = _visits(first, name_hops, folder, "visits", _START, ["in_job_name"], max_level)
 
     rows = [*EDGE_KEYS, "recursion_level", "dependency_path"]
-    walked = None
+    walked, barred, inside = None, None, None
     if guard == "substring":
-        everything = anchor_folders is None and anchor_like is None
-        hidden, number = folder.write(_hidden_starts(visits, everything), "hidden")
+        arrows, number = folder.write(visits.filter(_meets_arrow("_at")).select(*_START).distinct(), "arrows")
         if number:
             listed = _walk_stepwise(
-                chosen.join(hidden, list(_START), "left_semi"), lambda _: direct, folder, max_level, guard
+                chosen.join(arrows, list(_START), "left_semi"), lambda _: direct, folder, max_level, guard
             )
             walked = listed.withColumn("dependency_path", _path()).select(*rows)
-            chosen = chosen.join(hidden, list(_START), "left_anti")
+            chosen = chosen.join(arrows, list(_START), "left_anti")
+            visits = visits.join(arrows, list(_START), "left_anti")
+        pairs, number = folder.write(
+            _names_barred(visits, name_hops, folder, max_level, anchor_folders is None and anchor_like is None), "inside"
+        )
+        hidden, number = folder.write(_hidden_starts(visits, pairs), "hidden") if number else (None, 0)
+        if number:
+            inside = pairs.groupBy("_outer").agg(F.array_sort(F.collect_set("_inner")).alias("_inners"))
+            inside, _ = folder.write(inside, "inners")
+            begun = first.join(hidden, list(_START), "left_semi")
+            barred = _visits(
+                _first_barred(begun, inside), name_hops, folder, "barred", _START, ["in_job_name"], max_level, inside
+            )
             visits = visits.join(hidden, list(_START), "left_anti")
 
     hops = direct.select(
         F.col("in_job_name").alias("_from"), "out_condition", *_PREDECESSOR[1:]
     ).distinct()
-    # A name is found on a path between arrows; finding it in error costs a walk, not a row.
-    on_path = F.instr(
-        F.concat(F.lit(ARROW), "_path", F.lit(ARROW)), F.concat(F.lit(ARROW), "dependent_job", F.lit(ARROW))
-    )
+    visits = visits.withColumn("_barred", F.array().cast("array<string>"))
+    if barred is not None:
+        visits = visits.unionByName(barred)
     far = (
         visits.filter(F.col("_level") < max_level)
         .join(hops, F.col("_at") == F.col("_from"))
         .filter(F.col("dependent_job") != F.col("in_job_name"))
+        .filter(~F.array_contains("_barred", F.col("dependent_job")))
         .select(
             *EDGE_KEYS,
             "in_job_name",
             "dependent_job",
             (F.col("_level") + 1).alias("recursion_level"),
             F.concat("_path", F.lit(ARROW), "dependent_job").alias("dependency_path"),
-            (on_path > 0).alias("_doubtful"),
+            _on_path("dependent_job").alias("_doubtful"),
         )
     )
     near = chosen.select(
@@ -461,7 +530,11 @@ def dependency_edges(
     )
     parts = [certain] + ([walked] if walked is not None else [])
     if number:
-        parts.append(_edges_around(chosen, around, hops, name_hops, folder, max_level))
+        free = around if barred is None else around.join(hidden, list(_START), "left_anti")
+        parts.append(_edges_around(chosen, free, hops, name_hops, folder, max_level, "detours"))
+        if barred is not None:
+            held = around.join(hidden, list(_START), "left_semi")
+            parts.append(_edges_around(chosen, held, hops, name_hops, folder, max_level, "held", inside))
     if len(parts) == 1:
         return certain
     together = parts[0]
@@ -477,8 +550,10 @@ def _edges_around(
     name_hops: DataFrame,
     folder: StagedFolder,
     max_level: int,
+    part: str,
+    inside: DataFrame | None = None,
 ) -> DataFrame:
-    """Edges to each ``_avoid`` name over the least paths that do not pass it before."""
+    """Edges to each ``_avoid`` name over the least paths that do not pass it before, nor bar it."""
     keys = (*_START, "_avoid")
     first = (
         direct.join(around, list(_START))
@@ -486,8 +561,11 @@ def _edges_around(
         .groupBy(*keys, F.col("dependent_job").alias("_at"))
         .agg(F.min(_path()).alias("_path"))
     )
-    barred = ["in_job_name", "_avoid"]
-    visits = _visits(first, name_hops, folder, "detours", keys, barred, max_level)
+    if inside is not None:
+        first = _first_barred(first, inside)
+    visits = _visits(first, name_hops, folder, part, keys, ["in_job_name", "_avoid"], max_level, inside)
+    if inside is not None:
+        visits = visits.filter(~F.array_contains("_barred", F.col("_avoid")))
     last = (F.col("_at") == F.col("_from")) & (F.col("_avoid") == F.col("dependent_job"))
     return visits.filter(F.col("_level") < max_level).join(hops, last).select(
         *EDGE_KEYS,

@@ -281,3 +281,43 @@ def test_two_versions_of_a_job_are_two_rows(spark):
     need = links(spark, [("x", "Q", "2")])
     assert closure.dependency_paths(need, make).count() == 2
     assert closure.dependency_edges(need, make).count() == 1
+
+
+@pytest.mark.parametrize("anchored", [False, True])
+def test_many_graphs_of_names_inside_one_another(spark, anchored):
+    """Dense graphs in which names hold several others, with cycles and shared names."""
+    consumes, produces = [], []
+    for seed in range(30):
+        rng = random.Random(100 + seed)
+        own = [f"{seed:02d}{n}" for n in ("A", "AB", "ABC", "BAB", "C", "ABC", "D")]
+        if seed % 3 == 0:
+            own = [f"{n}{seed:02d}" for n in ("X", "YX", "ZYX", "V", "ZYX", "WZYX", "W")]
+        size, ids = len(own), [f"{seed}.{i}" for i in range(len(own))]
+        produces += [(f"c{seed}.{i}", own[i], ids[i]) for i in range(size)]
+        consumes += [(f"c{seed}.{j}", own[i], ids[i]) for i in range(size) for j in rng.sample(range(size), 2 + seed % 2)]
+    need, make = links(spark, sorted(set(consumes))), links(spark, sorted(set(produces)))
+    expected = edges_of(brute_force(consumes, produces, "substring", max_level=6))
+    if anchored:
+        some = F.when(F.substring_index("job_id", ".", -1) < "2", "G1").otherwise("H1")
+        need = need.withColumn("folder", some)
+        expected = {e for e in expected if e[0].split(".")[1] < "2"}
+    found = closure.dependency_edges(need, make, max_level=6, anchor_like="G%" if anchored else None)
+    assert edge_tuples(found) == expected
+
+
+def test_layers_of_nested_names_do_not_multiply(spark):
+    """Each job needs all of the next layer: 4 ** 9 paths, but few places to stand at."""
+    layers = [[f"L{i}_{'x' * k}" for k in range(1, 5)] for i in range(10)]
+    need = [(n, job, job) for here, there in zip(layers, layers[1:]) for job in here for n in there]
+    make = [(job, job, job) for layer in layers for job in layer]
+    edges = closure.dependency_edges(links(spark, need), links(spark, make))
+    assert edges.count() == 16 * sum(range(1, 10))
+
+
+def test_names_inside_others(spark):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("ab ") for _ in range(rng.randrange(0, 9))) for _ in range(150)} | {"é", "xéy"})
+    found = closure._names_inside(spark.createDataFrame([(n,) for n in names], "name string"))
+    expected = {(a, b) for a in names for b in names if b and a != b and b in a}
+    rows = [tuple(r) for r in found.select("_outer", "_inner").collect()]
+    assert set(rows) == expected and len(rows) == len(expected) > 100
