@@ -17,8 +17,8 @@ VERSION_COLUMNS = (
 
 
 def _version_order() -> Column:
-    """Versions order by start date; creation time and id break ties."""
-    return F.struct("valid_from", "created_at", "snapshot_id")
+    """Versions order by start date; creation time, being open and id break ties."""
+    return F.struct("valid_from", "created_at", F.col("valid_to").isNull().alias("open"), "snapshot_id")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -126,13 +126,9 @@ def compare_states(state: DataFrame, history: DataFrame | None) -> DataFrame:
     )
 
 
-def advance_versions(compared: DataFrame, history: DataFrame | None, clock: RunClock) -> DataFrame:
-    """History after a run: changed entities close their open versions and get a new one.
-
-    ``[valid_from, valid_to)`` intervals; entities that are gone keep their
-    open version. Closed versions pass through without a join.
-    """
-    new = compared.filter("changed").select(
+def new_versions(compared: DataFrame, clock: RunClock) -> DataFrame:
+    """The version that opens at this run for each changed entity."""
+    return compared.filter("changed").select(
         version_id(F.col("entity_key"), F.col("hash"), clock.timestamp()).alias("snapshot_id"),
         "entity_key",
         "hash",
@@ -141,17 +137,28 @@ def advance_versions(compared: DataFrame, history: DataFrame | None, clock: RunC
         F.lit(None).cast("date").alias("valid_to"),
         clock.timestamp().alias("created_at"),
     )
+
+
+def close_versions(opened: DataFrame, changed: DataFrame, clock: RunClock) -> DataFrame:
+    """Open versions, those of changed entities with the run's day as their end."""
+    keys = changed.select("entity_key", F.lit(True).alias("_changed"))
+    met = opened.join(keys, "entity_key", "left")
+    return met.withColumn("valid_to", F.when(F.col("_changed"), clock.day())).select(*opened.columns)
+
+
+def advance_versions(compared: DataFrame, history: DataFrame | None, clock: RunClock) -> DataFrame:
+    """History after a run: changed entities close their open versions and get a new one.
+
+    ``[valid_from, valid_to)`` intervals; entities that are gone keep their
+    open version. Closed versions pass through without a join.
+    """
+    new = new_versions(compared, clock)
     if history is None:
         return new
     history = history.select(*VERSION_COLUMNS)
-    changed = compared.filter("changed").select("entity_key", F.lit(True).alias("_changed"))
-    reopened = (
-        history.filter(F.col("valid_to").isNull())
-        .join(changed, "entity_key", "left")
-        .withColumn("valid_to", F.when(F.col("_changed"), clock.day()))
-        .select(*VERSION_COLUMNS)
-    )
-    return history.filter(F.col("valid_to").isNotNull()).unionByName(reopened).unionByName(new)
+    opened = history.filter(F.col("valid_to").isNull())
+    met = close_versions(opened, compared.filter("changed"), clock)
+    return history.filter(F.col("valid_to").isNotNull()).unionByName(met).unionByName(new)
 
 
 def snapshot_counts(compared: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,6 +165,89 @@ def registry_conforms(observed: DataFrame, registry: DataFrame, name: str) -> Da
     )
 
 
+@dataclass(frozen=True)
+class EdgeEnds:
+    """What the rows of an edge table claim: their type, and each end's label and key.
+
+    Keys are {edge column: key column of the node}.
+    """
+
+    edge_type: str
+    from_node: str
+    from_on: Mapping[str, str]
+    to_node: str
+    to_on: Mapping[str, str]
+
+
+def _with_end(
+    edges: DataFrame, nodes: DataFrame, on: Mapping[str, str], label: str, into: str
+) -> DataFrame:
+    keys = nodes.select(*[F.col(k).alias(f"_key_{c}") for c, k in on.items()]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_key_{c}") for c in on])
+    found = edges.join(keys.withColumn(into, F.lit(label)), same, "left")
+    return found.drop(*[f"_key_{c}" for c in on])
+
+
+def edge_census(
+    edges: DataFrame, ends: EdgeEnds, from_nodes: DataFrame, to_nodes: DataFrame
+) -> DataFrame:
+    """Edges per type and what their ends resolve to: the label, or NULL where no node has the key.
+
+    Every row counts, repeated ones too; a key with a NULL resolves to no node.
+    Only key columns are read, and no edges give no row.
+    """
+    keys = edges.select(*[F.col(c) for c in dict.fromkeys([*ends.from_on, *ends.to_on])])
+    resolved = _with_end(keys, from_nodes, ends.from_on, ends.from_node, "from_node")
+    resolved = _with_end(resolved, to_nodes, ends.to_on, ends.to_node, "to_node")
+    counted = resolved.groupBy("from_node", "to_node").agg(F.count(F.lit(1)).alias("edges"))
+    return counted.select(F.lit(ends.edge_type).alias("edge_type"), "from_node", "to_node", "edges")
+
+
+def edge_findings(
+    census: DataFrame, registry: DataFrame, matrix: DataFrame, kinds: DataFrame
+) -> DataFrame:
+    """What the edges of a census break, a row per type, ends and rule.
+
+    ``stray``: an end that no node has. ``undeclared``: resolved ends that no
+    active registry entry allows. ``off_matrix``: the type maps to a term of the
+    matrix (rows of from_type, to_type, term), which links other kinds of node;
+    ``kinds`` gives the kinds of a label, a label without any is of none. Ends
+    ``*`` of the registry and ``any`` of the matrix allow every resolved end.
+    """
+    columns = ["edge_type", "from_node", "to_node", "edges"]
+    lost = F.col("from_node").isNull() | F.col("to_node").isNull()
+    resolved = census.filter(~lost)
+
+    def kind(end: str) -> DataFrame:
+        return kinds.select(F.col("label").alias(f"{end}_node"), F.col("kind").alias(f"_{end}"))
+
+    terms = registry.filter("status = 'active'").select("edge_type", "term").distinct()
+    ruled = resolved.join(terms, "edge_type").join(matrix.select("term", "from_type", "to_type"), "term")
+    ruled = ruled.join(kind("from"), "from_node", "left").join(kind("to"), "to_node", "left")
+    fits = [
+        (F.col(f"{end}_type") == "any") | F.col(f"{end}_type").eqNullSafe(F.col(f"_{end}"))
+        for end in ("from", "to")
+    ]
+    off = ruled.groupBy(*columns).agg(F.bool_or(fits[0] & fits[1]).alias("_fits")).filter("NOT _fits")
+    found = {
+        "stray": census.filter(lost),
+        "undeclared": edge_registry_gaps(resolved, registry),
+        "off_matrix": off,
+    }
+    return reduce(
+        DataFrame.unionByName,
+        [rows.select(*columns, F.lit(rule).alias("finding")) for rule, rows in found.items()],
+    )
+
+
+def no_findings(findings: DataFrame, rule: str, name: str) -> DataFrame:
+    """No edge breaks one rule of :func:`edge_findings`."""
+    counted = findings.filter(F.col("finding") == rule).agg(
+        F.count(F.lit(1)).alias("_types"), F.coalesce(F.sum("edges"), F.lit(0)).alias("_edges")
+    )
+    return _result(counted, name, F.col("_types") == 0, types="_types", edges="_edges")
+
+
 def label_counts(rows: DataFrame, labels: Column, skip: Sequence[str] = ()) -> DataFrame:
     """Rows per label of a multi-label column, one label left out."""
     exploded = rows.select(F.explode(labels).alias("source_label"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,10 @@ from jobweave.session import RunClock
 from jobweave.sinks.runs import RUN_TABLE, LoadSummary, RunLog
 from jobweave.sinks.tables import TableSet
 from jobweave.sinks.together import run_together
+from jobweave.sinks.versions import VersionTable
 from jobweave.sources import specs, vocabulary
 from jobweave.sources.files import path_exists, stage
-from jobweave.sources.readers import Source, with_sequence
+from jobweave.sources.readers import Source, literal_table, with_sequence
 
 REFERENCE_STAGES = (
     "catalog_lobs", "product_lines", "products", "seal_applications", "seal_contacts", "dev_teams",
@@ -298,29 +299,38 @@ def entity_states(tables: TableSet) -> dict[str, DataFrame]:
 
 
 def write_snapshots(tables: TableSet, clock: RunClock) -> dict[str, dict[str, int]]:
-    """New versions of every entity whose state changed; counts per kind."""
+    """New versions of every entity whose state changed; counts per kind.
+
+    An edge from each entity to its new version is written first, so that the
+    version, by which a run knows its work is done, comes last.
+    """
     counts: dict[str, dict[str, int]] = {}
     for kind, state in entity_states(tables).items():
         table, key, edge = SNAPSHOTS[kind]
-        before = tables.read_or_none(table)
-        compared = stage(history.compare_states(history.hashed_state(state, key), before), kind)
+        versions = VersionTable(tables, table)
+        states = history.hashed_state(state, key)
+        compared = stage(history.compare_states(states, versions.open_versions()), kind)
         counts[kind] = history.snapshot_counts(compared).first().asDict()
-        after = tables.write(table, history.advance_versions(compared, before, clock))
-        tables.write(edge, after.select(F.col("entity_key").alias(key), "snapshot_id"))
+        new = history.new_versions(compared, clock)
+        links = new.select(F.col("entity_key").alias(key), "snapshot_id")
+        tables.add_to_run(edge, links, clock.run_id, ["snapshot_id"])
+        versions.advance(compared, clock)
     return counts
 
 
 def prune_snapshots(tables: TableSet, clock: RunClock, years: int = 5) -> dict[str, int]:
     """Delete versions past retention, keeping each entity's newest; counts per table."""
     deleted: dict[str, int] = {}
-    for table, key, edge in SNAPSHOTS.values():
+    for table, _, edge in SNAPSHOTS.values():
         if not tables.exists(table):
             continue
-        before = tables.read(table)
-        deleted[table] = history.pruned_count(before, clock.run_date, years).first()["deleted"]
+        deleted[table] = VersionTable(tables, table).prune(clock.run_date, years)
         if deleted[table]:
-            kept = tables.write(table, history.prune_versions(before, clock.run_date, years))
-            tables.write(edge, kept.select(F.col("entity_key").alias(key), "snapshot_id"))
+            kept = tables.read(table).select("snapshot_id")
+            if tables.parts(edge):
+                tables.write_parts(edge, tables.stored(edge).join(kept, "snapshot_id", "left_semi"))
+            else:
+                tables.write(edge, tables.read(edge).join(kept, "snapshot_id", "left_semi"))
     return deleted
 
 
@@ -394,43 +404,91 @@ def term_counts(tables: TableSet) -> DataFrame:
     )
 
 
-# Edge table -> (edge type, from label, to label) as the loads write them.
+# Node label -> table; runs are read from their log.
+NODE_TABLES = {
+    "JobFolder": "job_folder", "ControlMServer": "controlm_server", "ControlMJob": "controlm_job",
+    "Condition": "condition", "Application": "application", "Port": "port",
+    "Membership": "membership", "Role": "role", "Employee": "employee",
+    "CatalogLOB": "catalog_lob", "BusinessSegment": "business_segment",
+    "ProductLine": "product_line", "Product": "product", "DevTeam": "dev_team",
+    "JiraBoard": "jira_board",
+}
+_FOLDER, _JOB = {"folder_id": "folder_id"}, {"folder_id": "folder_id", "job_id": "job_id"}
+_BEFORE = {"predecessor_folder_id": "folder_id", "predecessor_job_id": "job_id"}
+_CONDITION = {"folder_id": "folder_id", "name": "name"}
+_APPLICATION, _MEMBER = {"seal_id": "seal_id"}, {"membership_id": "membership_id"}
+_LOB, _LINE = {"lob_id": "lob_id"}, {"product_line_id": "product_line_id"}
+_PRODUCT, _TEAM = {"product_id": "product_id"}, {"team_id": "team_id"}
+_RUN = {"run_id": "run_id"}
+# Edge table -> type and ends as the loads write them.
 EDGE_TABLES = {
-    "runs_on": ("RUNS_ON", "JobFolder", "ControlMServer"),
-    "contains_job": ("CONTAINS_JOB", "JobFolder", "ControlMJob"),
-    "requires_in_condition": ("REQUIRES_IN_CONDITION", "ControlMJob", "Condition"),
-    "emits_out_condition": ("EMITS_OUT_CONDITION", "ControlMJob", "Condition"),
-    "was_informed_by": ("WAS_INFORMED_BY", "ControlMJob", "ControlMJob"),
-    "has_port": ("HAS_PORT", "Application", "Port"),
-    "has_membership": ("HAS_MEMBERSHIP", "Application", "Membership"),
-    "of_role": ("OF_ROLE", "Membership", "Role"),
-    "held_by": ("HELD_BY", "Membership", "Employee"),
-    "reconciles_to": ("RECONCILES_TO", "CatalogLOB", "BusinessSegment"),
-    "has_product_line": ("HAS_PRODUCT_LINE", "CatalogLOB", "ProductLine"),
-    "has_product": ("HAS_PRODUCT", "ProductLine", "Product"),
-    "has_dev_team": ("HAS_DEV_TEAM", "Product", "DevTeam"),
-    "has_jira_board": ("HAS_JIRA_BOARD", "DevTeam", "JiraBoard"),
-    "job_folder_was_generated_by": ("WAS_GENERATED_BY", "JobFolder", "JobRun"),
-    "controlm_job_was_generated_by": ("WAS_GENERATED_BY", "ControlMJob", "JobRun"),
-    "condition_was_generated_by": ("WAS_GENERATED_BY", "Condition", "JobRun"),
-    "application_was_generated_by": ("WAS_GENERATED_BY", "Application", "JobRun"),
-    "membership_was_generated_by": ("WAS_GENERATED_BY", "Membership", "JobRun"),
+    table: quality.EdgeEnds(*ends)
+    for table, *ends in (
+        ("runs_on", "RUNS_ON", "JobFolder", _FOLDER, "ControlMServer", {"server": "name"}),
+        ("contains_job", "CONTAINS_JOB", "JobFolder", _FOLDER, "ControlMJob", _JOB),
+        ("requires_in_condition", "REQUIRES_IN_CONDITION", "ControlMJob", _JOB, "Condition", _CONDITION),
+        ("emits_out_condition", "EMITS_OUT_CONDITION", "ControlMJob", _JOB, "Condition", _CONDITION),
+        ("was_informed_by", "WAS_INFORMED_BY", "ControlMJob", _JOB, "ControlMJob", _BEFORE),
+        ("has_port", "HAS_PORT", "Application", _APPLICATION, "Port",
+         {"seal_id": "parent_seal_id", "kind": "kind"}),
+        ("has_membership", "HAS_MEMBERSHIP", "Application", _APPLICATION, "Membership", _MEMBER),
+        ("of_role", "OF_ROLE", "Membership", _MEMBER, "Role", {"role_name": "name"}),
+        ("held_by", "HELD_BY", "Membership", _MEMBER, "Employee", {"employee_id": "employee_id"}),
+        ("reconciles_to", "RECONCILES_TO", "CatalogLOB", _LOB, "BusinessSegment", {"segment_code": "code"}),
+        ("has_product_line", "HAS_PRODUCT_LINE", "CatalogLOB", _LOB, "ProductLine", _LINE),
+        ("has_product", "HAS_PRODUCT", "ProductLine", _LINE, "Product", _PRODUCT),
+        ("has_dev_team", "HAS_DEV_TEAM", "Product", _PRODUCT, "DevTeam", _TEAM),
+        ("has_jira_board", "HAS_JIRA_BOARD", "DevTeam", _TEAM, "JiraBoard", {"board_id": "board_id"}),
+        ("job_folder_was_generated_by", "WAS_GENERATED_BY", "JobFolder", _FOLDER, "JobRun", _RUN),
+        ("controlm_job_was_generated_by", "WAS_GENERATED_BY", "ControlMJob", _JOB, "JobRun", _RUN),
+        ("condition_was_generated_by", "WAS_GENERATED_BY", "Condition", _CONDITION, "JobRun", _RUN),
+        ("application_was_generated_by", "WAS_GENERATED_BY", "Application", _APPLICATION, "JobRun", _RUN),
+        ("membership_was_generated_by", "WAS_GENERATED_BY", "Membership", _MEMBER, "JobRun", _RUN),
+    )
 }
 
 
-def verify_registry(tables: TableSet) -> DataFrame:
-    """Loaded edge tables against the declared edges, and unique registry ids."""
-    from jobweave.sources.readers import literal_table
-
-    registry = vocabulary.edge_registry(tables.spark)
-    observed = literal_table(
-        tables.spark,
-        [triple for table, triple in EDGE_TABLES.items() if tables.exists(table)],
-        "edge_type string, from_node string, to_node string",
+def edge_findings(tables: TableSet) -> DataFrame:
+    """What loaded edges break: ends without a node, undeclared ends, ends of the wrong kind.
+
+    Ends are looked up in the node tables; a node table that is missing has no node.
+    """
+    spark = tables.spark
+
+    def nodes(label: str, keys: Mapping[str, str]) -> DataFrame:
+        if label == "JobRun":
+            return RunLog(tables).runs()
+        rows = tables.read_or_none(NODE_TABLES[label])
+        if rows is None:
+            schema = ", ".join(f"{k} string" for k in keys.values())
+            return literal_table(spark, [], schema)
+        return rows
+
+    censuses = [
+        quality.edge_census(
+            tables.read(table), ends, nodes(ends.from_node, ends.from_on), nodes(ends.to_node, ends.to_on)
+        )
+        for table, ends in EDGE_TABLES.items()
+        if tables.exists(table)
+    ]
+    schema = "edge_type string, from_node string, to_node string, edges bigint"
+    census = reduce(DataFrame.unionByName, censuses, literal_table(spark, [], schema))
+    return quality.edge_findings(
+        stage(census, "edge-census"),
+        vocabulary.edge_registry(spark),
+        vocabulary.provenance_matrix(spark),
+        vocabulary.node_kinds(spark),
     )
+
+
+def verify_registry(tables: TableSet) -> DataFrame:
+    """Loaded edges against the node tables, the declared edges and the kinds; unique registry ids."""
+    findings = edge_findings(tables)
     return quality.report(
         [
-            quality.registry_conforms(observed, registry, "edges are declared"),
-            quality.no_duplicates(registry, ["id"], "registry ids are unique"),
+            quality.no_findings(findings, "undeclared", "edges are declared"),
+            quality.no_findings(findings, "stray", "edges end at nodes"),
+            quality.no_findings(findings, "off_matrix", "edges link the kinds their term allows"),
+            quality.no_duplicates(vocabulary.edge_registry(tables.spark), ["id"], "registry ids are unique"),
         ]
     )

@@ -61,12 +61,19 @@ class Write:
             tuple(self.keys), tuple(self.create_only), tuple(self.set_columns), tuple(self.keep_old)
         )
 
-    def batch(self, good: DataFrame, tables: TableSet) -> DataFrame:
+    def match(self, good: DataFrame, tables: TableSet) -> tuple[DataFrame, list[DataFrame]]:
+        """The rows that have this write's own parents; and, per parent, those lost for want of it."""
         rows = self.rows(good) if self.rows else good
         if self.where is not None:
             rows = rows.filter(self.where())
+        lost = []
         for table, on in self.parents:
-            rows, _ = require_parents(rows, tables.read(table), on)
+            rows, without = require_parents(rows, tables.read(table), on)
+            lost.append(without)
+        return rows, lost
+
+    def batch(self, good: DataFrame, tables: TableSet) -> DataFrame:
+        rows, _ = self.match(good, tables)
         chosen = {**self.keys, **self.create_only, **self.set_columns, **self.keep_old}
         return rows.select(SEQ, *[_source_column(c).alias(name) for name, c in chosen.items()])
 
@@ -95,14 +102,27 @@ def _apply(write: Write, rows: DataFrame, tables: TableSet) -> None:
     tables.merge(write.table, batch, write.merge())
 
 
+def _lost_rows(load: Load, clock: RunClock, lost: DataFrame, table: str | None = None) -> DataFrame:
+    """Unmatched rows as they are kept: ``table`` is NULL where no table took the row."""
+    names = [n for n in load.spec.names if n in lost.columns]
+    return lost.select(
+        F.lit(clock.run_id).alias("run_id"),
+        F.lit(load.loader).alias("loader"),
+        F.col(SEQ).cast("string").alias("row_index"),
+        F.to_json(F.struct(*names)).alias("row"),
+        F.lit(table).cast("string").alias("table"),
+    )
+
+
 def run_load(
     load: Load, source: DataFrame, tables: TableSet, clock: RunClock, source_label: str | None = None
 ) -> LoadSummary:
     """Check, match, merge and log one source; rejected and unmatched rows are kept.
 
-    The writes of one load touch different tables, so they run together. A bad
-    row never fails the run. Any other error marks the run FAILED and is raised
-    again.
+    The writes of one load touch different tables, so they run together. A row
+    may lack a parent of one write only (an edge): the others take it, and it is
+    kept as unmatched under that table's name. A bad row never fails the run.
+    Any other error marks the run FAILED and is raised again.
     """
     log = RunLog(tables)
     label = source_label or load.source_label
@@ -133,25 +153,26 @@ def run_load(
             }
         )
         matched, lost = good, []
+        folder = StagedFolder(tables.spark, f"matched-{load.name}")
         for table, on in load.parents:
+            # A row is lost at the first parent it lacks, whatever it ties with.
             matched, without = require_parents(matched, tables.read(table), on)
-            lost.append(without)
+            lost.append(_lost_rows(load, clock, without))
         if load.parents:
-            matched, found = StagedFolder(tables.spark, f"matched-{load.name}").write(matched, "rows")
+            matched, found = folder.write(matched, "rows")
             summary.rows_unmatched = summary.rows_processed - found
-            if summary.rows_unmatched:
-                # A row is lost at the first parent it lacks, whatever it ties with.
-                tables.replace_run(
-                    "unmatched_row",
-                    reduce(DataFrame.unionByName, lost).select(
-                        F.lit(clock.run_id).alias("run_id"),
-                        F.lit(load.loader).alias("loader"),
-                        F.col(SEQ).cast("string").alias("row_index"),
-                        F.to_json(F.struct(*load.spec.names)).alias("row"),
-                    ),
-                    clock.run_id,
-                    load.loader,
-                )
+        edges = [
+            _lost_rows(load, clock, without, write.table)
+            for write in load.writes
+            for without in write.match(matched, tables)[1]
+        ]
+        if edges:
+            kept, summary.edges_unmatched = folder.write(reduce(DataFrame.unionByName, edges), "edges")
+            lost.append(kept)
+        if summary.rows_unmatched or summary.edges_unmatched:
+            tables.replace_run(
+                "unmatched_row", reduce(DataFrame.unionByName, lost), clock.run_id, load.loader
+            )
         run_together(
             tables.spark, [partial(_apply, write, matched, tables) for write in load.writes]
         )

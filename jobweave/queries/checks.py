@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators import quality
 from jobweave.operators.upsert import fixed_children
 from jobweave.queries.registry import query, table
+from jobweave.sources.files import stage
 from jobweave.sources.readers import literal_table
+from jobweave.sources.vocabulary import provenance_matrix
 
 _KEYS = {
     "region": ["r_regionkey"],
@@ -215,3 +219,74 @@ def edge_registry_check(spark: SparkSession, folder: str) -> DataFrame:
     return quality.edge_registry_gaps(observed, registry).select(
         "edge_type", "from_node", "to_node", "rows"
     )
+
+
+_ENDS = {
+    "orders": ("PLACED_BY", "Order", {"o_orderkey": "o_orderkey"}, "Customer", {"o_custkey": "c_custkey"}),
+    "events": ("SAW", "Customer", {"user_id": "c_custkey"}, "Part", {"event_id": "p_partkey"}),
+    "lineitem": ("SHIPS", "Supplier", {"l_suppkey": "s_suppkey"}, "Part", {"l_partkey": "p_partkey"}),
+}
+_BILLED = ("BILLED", "Order", {"l_orderkey": "o_orderkey"}, "Supplier", {"l_suppkey": "s_suppkey"})
+
+
+@query(
+    """
+    WITH census AS (
+      SELECT 'PLACED_BY' AS edge_type, 'Order' AS from_node,
+             CASE WHEN c_custkey IS NOT NULL THEN 'Customer' END AS to_node, count(*) AS edges
+      FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL
+      UNION ALL
+      SELECT 'SAW', CASE WHEN c_custkey IS NOT NULL THEN 'Customer' END,
+             CASE WHEN p_partkey IS NOT NULL THEN 'Part' END, count(*)
+      FROM events LEFT JOIN customer ON c_custkey = user_id
+                  LEFT JOIN part ON p_partkey = event_id GROUP BY ALL
+      UNION ALL
+      SELECT 'SHIPS', CASE WHEN s_suppkey IS NOT NULL THEN 'Supplier' END,
+             CASE WHEN p_partkey IS NOT NULL THEN 'Part' END, count(*)
+      FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey
+                    LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL
+      UNION ALL
+      SELECT 'BILLED', CASE WHEN o_orderkey IS NOT NULL THEN 'Order' END,
+             CASE WHEN s_suppkey IS NOT NULL THEN 'Supplier' END, count(*)
+      FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
+                    LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+    SELECT *, 'stray' AS finding FROM census WHERE from_node IS NULL OR to_node IS NULL
+    UNION ALL
+    SELECT *, CASE edge_type WHEN 'SHIPS' THEN 'off_matrix' ELSE 'undeclared' END FROM census
+    WHERE from_node IS NOT NULL AND to_node IS NOT NULL AND edge_type IN ('SHIPS', 'BILLED')
+    """
+)
+def edge_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of four tables, resolved by key, that end nowhere, are not declared or link wrong kinds.
+
+    Events name parts by their own number, so those beyond the last part end nowhere.
+    """
+    nodes = {
+        "Order": table(spark, folder, "orders"),
+        "Customer": table(spark, folder, "customer"),
+        "Supplier": table(spark, folder, "supplier"),
+        "Part": table(spark, folder, "part"),
+    }
+    claims = [*_ENDS.items(), ("lineitem", _BILLED)]
+    censuses = []
+    for name, claim in claims:
+        ends = quality.EdgeEnds(*claim)
+        rows = table(spark, folder, name)
+        censuses.append(quality.edge_census(rows, ends, nodes[ends.from_node], nodes[ends.to_node]))
+    registry = literal_table(
+        spark,
+        [
+            ("PLACED_BY", "Order", "Customer", "prov:wasAttributedTo", "active"),
+            ("SAW", "*", "Part", None, "active"),
+            ("SHIPS", "Supplier", "Part", "prov:used", "active"),
+            ("BILLED", "Order", "Supplier", None, "planned"),
+        ],
+        "edge_type string, from_node string, to_node string, term string, status string",
+    )
+    kinds = literal_table(
+        spark,
+        [("Order", "Entity"), ("Customer", "Agent"), ("Supplier", "Agent"), ("Part", "Entity")],
+        "label string, kind string",
+    )
+    census = stage(reduce(DataFrame.unionByName, censuses), "census")
+    return quality.edge_findings(census, registry, provenance_matrix(spark), kinds)

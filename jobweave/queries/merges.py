@@ -394,3 +394,55 @@ def load_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     lost = tables.read("unmatched_row").select(*outcome("unmatched", part("row", "order_key"), part("row", "line")))
     bad = tables.read("rejected_row").select(*outcome("rejected", part("raw", "order_key"), F.lit(0)))
     return accepted.unionByName(lost).unionByName(bad)
+
+
+_SUPPLIED = Load(
+    RowSpec("supplied_parts", (Field("part", kind="integer", required=True), Field("supplier", kind="integer", required=True))),
+    (
+        Write("supplied_part", {"part": "part"}),
+        Write(
+            "supplied_by", {"part": "part", "supplier": "supplier"},
+            parents=(("known_supplier", {"supplier": "supplier"}),),
+        ),
+    ),
+)
+
+
+@query(
+    """
+    WITH known AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+    SELECT 'node' AS outcome, l_partkey AS part, CAST(NULL AS BIGINT) AS supplier, count(DISTINCT l_partkey) AS n
+    FROM lineitem GROUP BY ALL
+    UNION ALL
+    SELECT 'edge', l_partkey, l_suppkey, 1 FROM lineitem
+    WHERE l_suppkey IN (FROM known) GROUP BY ALL
+    UNION ALL
+    SELECT 'supplied_by', l_partkey, l_suppkey, count(*) FROM lineitem
+    WHERE l_suppkey NOT IN (FROM known) GROUP BY ALL
+    """
+)
+def edge_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """A load whose rows may lack the parent of an edge: nodes are loaded all the same, the rows are kept.
+
+    Suppliers in debt are unknown.
+    """
+    tables = TableSet(spark, StagedFolder(spark, "edge-outcomes").root)
+    known = table(spark, folder, "supplier").filter("s_acctbal > 0")
+    tables.write("known_supplier", known.select(F.col("s_suppkey").alias("supplier")))
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supplier")
+    )
+    run_load(_SUPPLIED, with_sequence(rows), tables, RunClock("edge-outcomes", "2026-01-05 06:00:00"))
+
+    def counted(name: Column, rows: DataFrame, supplier: Column) -> DataFrame:
+        named = rows.select(name.alias("outcome"), F.col("part").cast("bigint").alias("part"), supplier.cast("bigint").alias("supplier"))
+        return named.groupBy("outcome", "part", "supplier").agg(F.count(F.lit(1)).alias("n"))
+
+    kept = tables.read("unmatched_row").withColumns(
+        {name: F.get_json_object("row", f"$.{name}") for name in ("part", "supplier")}
+    )
+    return (
+        counted(F.lit("node"), tables.read("supplied_part"), F.lit(None))
+        .unionByName(counted(F.lit("edge"), tables.read("supplied_by"), F.col("supplier")))
+        .unionByName(counted(F.col("table"), kept, F.col("supplier")))
+    )

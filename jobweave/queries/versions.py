@@ -11,7 +11,9 @@ from jobweave.operators import history
 from jobweave.operators.extras import version_changes
 from jobweave.queries.registry import query, table
 from jobweave.session import RunClock
-from jobweave.sources.files import stage
+from jobweave.sinks.tables import TableSet
+from jobweave.sinks.versions import VersionTable
+from jobweave.sources.files import StagedFolder, stage
 from jobweave.sources.vocabulary import segment_memberships
 
 
@@ -100,16 +102,19 @@ def _period_state(spark: SparkSession, folder: str, start: str | None, end: str)
     """
 )
 def scd2_incremental(spark: SparkSession, folder: str) -> DataFrame:
-    """The version step run after run: compare hashes, close, append."""
-    versions = None
-    previous = None
-    for run_day in _RUNS:
+    """The version step run after run: compare with the open versions, close, open.
+
+    Each run replaces open versions of changed customers and adds the closed ones as
+    its own part.
+    """
+    tables = TableSet(spark, StagedFolder(spark, "history").root)
+    versions = VersionTable(tables, "customer_version", buckets=4)
+    for previous, run_day in zip((None, *_RUNS), _RUNS):
         clock = RunClock(run_id=run_day, loaded_at=f"{run_day} 00:00:00")
         state = _period_state(spark, folder, previous, run_day)
-        compared = stage(history.compare_states(state, versions), "compared")
-        versions = stage(history.advance_versions(compared, versions, clock), "versions")
-        previous = run_day
-    return versions.select(
+        compared = stage(history.compare_states(state, versions.open_versions()), "compared")
+        versions.advance(compared, clock)
+    return tables.read("customer_version").select(
         "entity_key", "state_json", "hash",
         F.col("valid_from").cast("string").alias("valid_from"),
         F.col("valid_to").cast("string").alias("valid_to"),

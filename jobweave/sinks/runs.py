@@ -20,13 +20,14 @@ _SCHEMA = (
 )
 _SUMMARY = (
     "loader string, run_id string, started_at string, completed_at string, "
-    "rows_processed bigint, rows_rejected bigint, rows_unmatched bigint, status string"
+    "rows_processed bigint, rows_rejected bigint, rows_unmatched bigint, "
+    "edges_unmatched bigint, status string"
 )
 
 
 @dataclass
 class LoadSummary:
-    """Accepted, rejected and unmatched counts of one load."""
+    """Accepted, rejected and unmatched counts of one load; an unmatched edge's row is in other tables."""
 
     loader: str
     run_id: str
@@ -35,6 +36,7 @@ class LoadSummary:
     rows_processed: int = 0
     rows_rejected: int = 0
     rows_unmatched: int = 0
+    edges_unmatched: int = 0
     status: str = "STARTED"
 
     def as_dict(self) -> dict:

@@ -11,8 +11,9 @@ current version; the files of all others stay as they are.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,11 @@ def run_part(run: Column) -> Column:
     return F.concat(F.lit("r"), F.sha1(F.coalesce(run.cast("string"), F.lit("")).cast("binary")))
 
 
+def run_name(run_id: str) -> str:
+    """The name that :func:`run_part` gives to a run."""
+    return f"r{hashlib.sha1(run_id.encode()).hexdigest()}"
+
+
 class TableSet:
     """Named tables below one root folder.
 
@@ -162,6 +168,49 @@ class TableSet:
         folder.remove("merged")
         folder.remove("changes")
 
+    def parts(self, name: str) -> set[str]:
+        """The parts of the current version; none if the table is whole."""
+        version = self.current_version(name)
+        found = child_names(self.spark, self._folder(name, version)) if version else []
+        return {c.split("=", 1)[1] for c in found if c.startswith(f"{PART}=")}
+
+    def stored(self, name: str) -> DataFrame:
+        """A dealt table's rows with their part, by which a filter prunes the files."""
+        return self.spark.read.parquet(self._folder(name, self.current_version(name)))
+
+    def write_parts(self, name: str, df: DataFrame) -> None:
+        """A whole next version, dealt by the part column of its rows."""
+        self._write_dealt(self._next(name), df)
+
+    def replace_parts(self, name: str, df: DataFrame) -> None:
+        """The rows' parts are these rows; the files of other parts stay. Rows are not read from here."""
+        self._replace_parts(self._folder(name, self.current_version(name)), df)
+
+    def add_to_run(self, name: str, df: DataFrame, run_id: str, keys: Sequence[str]) -> None:
+        """Rows join those their run has, in place of rows with equal keys; other parts' files stay.
+
+        A replay with the same keys changes nothing. Rows of a table that was
+        whole are dealt into one part, once. Without rows nothing is written,
+        but for the columns of a new table.
+        """
+        here = self.parts(name)
+        new = df.withColumn(PART, run_part(F.lit(run_id)))
+        if not self.exists(name):
+            self.write(name, df) if df.isEmpty() else self.write_parts(name, new)
+        elif run_name(run_id) in here:
+            folder = StagedFolder(self.spark, f"run-{name}")
+            new, _ = folder.write(new, "new")
+            same = self.stored(name).filter(F.col(PART) == run_name(run_id))
+            kept = same.join(new.select(*keys), list(keys), "left_anti").select(*new.columns)
+            merged, _ = folder.write(kept.unionByName(new), "merged")
+            self.replace_parts(name, merged)
+        elif here:
+            self.replace_parts(name, new)
+        elif not df.isEmpty():
+            whole = self.read(name).withColumn(PART, run_part(F.lit(None)))
+            kept = whole.join(new.select(*keys), list(keys), "left_anti").select(*new.columns)
+            self.write_parts(name, kept.unionByName(new))
+
     def _dealt_version(self, name: str, df: DataFrame) -> DataFrame:
         self._write_dealt(self._next(name), df)
         return self.read(name)

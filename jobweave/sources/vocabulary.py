@@ -462,6 +462,32 @@ def provenance_matrix(spark: SparkSession) -> DataFrame:
     )
 
 
+# Kinds of nodes that have no class of their own in a supplement.
+_OTHER_KINDS = {"Condition": "Entity", "JobRun": "Activity"}
+# Agents and collections: the published classes below the kinds of the matrix.
+_KIND_OF_CLASS = {
+    "prov:Activity": ("Activity",),
+    "prov:Agent": ("Agent", "Entity"),
+    "prov:SoftwareAgent": ("Agent", "Entity"),
+    "prov:Collection": ("Collection", "Entity"),
+    "org:OrganizationalUnit": ("Agent", "Entity"),
+    "org:FormalOrganization": ("Agent", "Entity"),
+}
+
+
+def node_kinds(spark: SparkSession) -> DataFrame:
+    """(label, kind) of nodes in the terms of the matrix.
+
+    What is loaded as a record of something is an entity as well, so it can be
+    generated by a run; a class without a published counterpart is only that.
+    """
+    classes = {name: parent for group in LOCAL_CLASSES.values() for name, (_, parent) in group.items()}
+    rows = [(label, kind) for label, kind in _OTHER_KINDS.items()]
+    for label, parent in classes.items():
+        rows.extend((label, kind) for kind in {*_KIND_OF_CLASS.get(parent, ()), "Entity"})
+    return literal_table(spark, sorted(rows), "label string, kind string")
+
+
 def edge_registry(spark: SparkSession) -> DataFrame:
     """Declared edges: the local relationships and the cross-domain provenance edge."""
     domains = {"scheduler": "controlm", "applications": "seal", "catalog": "catalog"}

@@ -122,6 +122,44 @@ def test_structure_only_and_views(spark, tmp_path, scheduler):
     assert {r.source for r in RunLog(tables).runs().collect()} == {"oracle"}
 
 
+def test_stray_and_wrong_edges_are_found(spark, tmp_path):
+    tables = TableSet(spark, str(tmp_path))
+    frame = spark.createDataFrame
+    tables.write("catalog_lob", frame([("L1",), ("L2",)], "lob_id string"))
+    tables.write("product_line", frame([("P1",), (None,)], "product_line_id string"))
+    links = [("L1", "P1"), ("L2", "P1"), ("L9", "P1"), ("L1", None), ("L9", "P9")]
+    tables.write("has_product_line", frame(links, "lob_id string, product_line_id string"))
+    # No employees at all, so these end nowhere; no rows, so nothing is found.
+    tables.write("membership", frame([("m",)], "membership_id string"))
+    tables.write("held_by", frame([("m", "e")], "membership_id string, employee_id string"))
+    tables.write("has_product", frame([], "product_line_id string, product_id string"))
+    found = {tuple(r) for r in chains.edge_findings(tables).collect()}
+    assert found == {
+        ("HAS_PRODUCT_LINE", None, "ProductLine", 1, "stray"),
+        ("HAS_PRODUCT_LINE", "CatalogLOB", None, 1, "stray"),
+        ("HAS_PRODUCT_LINE", None, None, 1, "stray"),
+        ("HELD_BY", "Membership", None, 1, "stray"),
+    }
+    failed = {r.check: r.detail for r in chains.verify_registry(tables).filter("NOT ok").collect()}
+    assert failed == {"edges end at nodes": "types=4 edges=4"}
+
+
+def test_rows_without_the_parent_of_an_edge_are_kept(spark, tmp_path):
+    tables = TableSet(spark, str(tmp_path))
+    tables.write("catalog_lob", spark.createDataFrame([("L1",)], "lob_id string"))
+    rows = [["P1", "one", "L1"], ["P2", "two", "L9"], ["P3", "three", "L9"]]
+    source = Source("delimited", write_csv(tmp_path / "lines.csv", "product_line_id,name,parent_lob_id", rows))
+    for _ in range(2):
+        summary = chains.load_table("product_lines", source, tables, CLOCK)
+        assert (summary.rows_processed, summary.rows_unmatched, summary.edges_unmatched) == (3, 0, 2)
+        assert tables.read("product_line").count() == 3 and tables.read("has_product_line").count() == 1
+        lost = tables.read("unmatched_row").collect()
+        assert {(r.table, json.loads(r.row)["product_line_id"]) for r in lost} == {
+            ("has_product_line", "P2"), ("has_product_line", "P3"),
+        }
+        assert len(lost) == 2
+
+
 def test_view_columns_are_renamed(spark):
     from jobweave.sources.specs import project_view
 
