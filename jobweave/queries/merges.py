@@ -438,11 +438,11 @@ def edge_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         named = rows.select(name.alias("outcome"), F.col("part").cast("bigint").alias("part"), supplier.cast("bigint").alias("supplier"))
         return named.groupBy("outcome", "part", "supplier").agg(F.count(F.lit(1)).alias("n"))
 
-    kept = tables.read("unmatched_row").withColumns(
-        {name: F.get_json_object("row", f"$.{name}") for name in ("part", "supplier")}
-    )
-    return (
-        counted(F.lit("node"), tables.read("supplied_part"), F.lit(None))
-        .unionByName(counted(F.lit("edge"), tables.read("supplied_by"), F.col("supplier")))
-        .unionByName(counted(F.col("table"), kept, F.col("supplier")))
+    outcomes = counted(F.lit("node"), tables.read("supplied_part"), F.lit(None)).unionByName(
+        counted(F.lit("edge"), tables.read("supplied_by"), F.col("supplier"))
     )
+    lost = tables.read_or_none("unmatched_row")
+    if lost is None:
+        return outcomes
+    kept = lost.withColumns({name: F.get_json_object("row", f"$.{name}") for name in ("part", "supplier")})
+    return outcomes.unionByName(counted(F.col("table"), kept, F.col("supplier")))
