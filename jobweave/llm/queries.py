@@ -232,12 +232,14 @@ _KNOWN = ", ".join(
     f"({i}, {_quoted(name)}, {len(pairs)}, {few}, {many}, [{', '.join(map(_quoted, pairs))}])"
     for i, (name, pairs, few, many) in enumerate(licenses.template_rows())
 )
+_ANCHORS = ", ".join(f"({t}, {place}, {_quoted(pair)})" for t, place, pair in licenses.anchor_rows())
 SQL["op3_licenses"] = f"""
 WITH known(t, name, m, few, many, pairs) AS (VALUES {_KNOWN}),
+anchor(t, place, pair) AS (VALUES {_ANCHORS}),
 want AS (SELECT t, unnest(pairs) AS pair FROM known),
 plain AS (
   SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')),
-           '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ') AS body
+           '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ' || chr(10)) AS body
   FROM documents),
 unit AS (
   SELECT DISTINCT doc_id, unnest(list_concat(list_concat(
@@ -247,7 +249,9 @@ unit AS (
   FROM plain),
 sized AS (
   SELECT doc_id, unit, string_split(unit, ' ') AS words, len(unit) - len(replace(unit, ' ', '')) AS n FROM unit),
-near AS (SELECT * FROM sized WHERE n >= (SELECT min(few) FROM known) AND n <= (SELECT max(many) FROM known)),
+near AS (
+  SELECT * FROM sized WHERE n >= (SELECT min(few) FROM known WHERE m <= {licenses.SHORT})
+    AND n <= (SELECT max(many) FROM known WHERE m <= {licenses.SHORT})),
 pair AS (
   SELECT doc_id, unit, n, unnest(list_transform(range(1, n + 1), lambda i: words[i] || ' ' || words[i + 1])) AS pair
   FROM near),
@@ -255,14 +259,34 @@ bag AS (
   SELECT doc_id, unit, n, pair || ' ' || (row_number() OVER (PARTITION BY doc_id, unit, pair) - 1) AS pair FROM pair),
 hit AS (
   SELECT b.doc_id, b.unit, k.name, count(*) * 2 / (any_value(b.n) + any_value(k.m))::DOUBLE AS score
-  FROM bag b JOIN want w ON b.pair = w.pair JOIN known k ON k.t = w.t AND b.n BETWEEN k.few AND k.many
+  FROM bag b JOIN want w ON b.pair = w.pair JOIN known k
+    ON k.t = w.t AND b.n BETWEEN k.few AND k.many AND k.m <= {licenses.SHORT}
   GROUP BY b.doc_id, b.unit, k.t, k.name HAVING score >= {licenses.LEAST}),
+line AS (SELECT doc_id, string_split(regexp_replace(body, '\\n+', ' ', 'g'), ' ') AS words FROM plain),
+place AS (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM line),
+start AS (
+  SELECT DISTINCT p.doc_id, p.words, k.t, k.name, k.m, k.few, p.i - 1 - a.place AS s
+  FROM place p JOIN anchor a ON a.pair = p.words[p.i] || ' ' || p.words[p.i + 1] JOIN known k ON k.t = a.t),
+wide AS (SELECT doc_id, t, name, m, few, words[greatest(s, 0) + 1 : least(s + m + 1, len(words))] AS words FROM start),
+frame AS (
+  SELECT doc_id, t, name, m, array_to_string(words, ' ') AS unit, len(words) - 1 AS n,
+         list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs
+  FROM (SELECT DISTINCT * FROM wide) WHERE len(words) > few),
+framed AS (SELECT doc_id, t, name, m, unit, n, unnest(pairs) AS pair FROM frame),
+frame_bag AS (
+  SELECT doc_id, t, name, m, unit, n,
+         pair || ' ' || (row_number() OVER (PARTITION BY doc_id, t, unit, pair) - 1) AS pair FROM framed),
+frame_hit AS (
+  SELECT b.doc_id, b.unit, b.name, count(*) * 2 / (any_value(b.n) + any_value(b.m))::DOUBLE AS score
+  FROM frame_bag b JOIN want w ON b.pair = w.pair AND b.t = w.t
+  GROUP BY b.doc_id, b.unit, b.t, b.name HAVING score >= {licenses.LEAST}),
+every AS (SELECT * FROM hit UNION ALL SELECT * FROM frame_hit),
 best AS (
   SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(score) AS best_score,
          count(DISTINCT unit) AS n_units
-  FROM hit GROUP BY doc_id)
+  FROM every GROUP BY doc_id)
 SELECT d.doc_id, coalesce(b.licenses, '') AS licenses,
-       (SELECT min(name) FROM hit h WHERE h.doc_id = d.doc_id AND h.score = b.best_score) AS best_license,
+       (SELECT min(name) FROM every h WHERE h.doc_id = d.doc_id AND h.score = b.best_score) AS best_license,
        coalesce(b.best_score, 0.0::DOUBLE) AS best_score, CAST(coalesce(b.n_units, 0) AS INTEGER) AS n_units
 FROM documents d LEFT JOIN best b USING (doc_id)
 """

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,6 +141,71 @@ def test_licences_on_odd_texts(documents):
     assert licenses.find_licenses(documents(ODD).limit(0)).isEmpty()
 
 
+PROSE = "seven words of prose stand before this"
+
+
+def plain_licences(text, least=licenses.LEAST):
+    """Every window of every template's size that an anchor aligns, by Counter; short templates against lines too."""
+    body = re.sub(r"[\W_]+", " ", text.lower()).strip().split(" ")
+    bag = lambda words: Counter(zip(words, words[1:]))
+    best = {}
+    anchors = licenses.anchor_rows()
+    for t, (name, template) in enumerate(licenses.TEMPLATES):
+        want = re.sub(r"[\W_]+", " ", template.lower()).strip().split(" ")
+        units = [
+            body[max(i - o, 0) : i - o + len(want)]
+            for s, o, pair in anchors if s == t
+            for i in range(len(body) - 1) if f"{body[i]} {body[i + 1]}" == pair
+        ]
+        if len(want) <= licenses.SHORT + 1:
+            units.append(body)
+        for unit in units:
+            a, b = bag(unit), bag(want)
+            if sum(a.values()) and 2 * (a & b).total() / (a.total() + b.total()) >= least:
+                score = 2 * (a & b).total() / (a.total() + b.total())
+                best[name] = max(best.get(name, 0), score)
+    return best
+
+
+def test_licences_within_lines_wrapped_and_changed(documents):
+    gnu = dict(licenses.TEXTS)["GPL-3.0"]
+    mit = [t for n, t in licenses.TEXTS if n == "MIT"]
+    bsd = dict(licenses.TEXTS)["BSD-3-Clause"]
+    words = mit[1].split()
+    texts = [
+        f"{PROSE}. Released under the MIT License. {PROSE}",
+        "A tool for sorting files by name and date. Released under the MIT License.",
+        f"{PROSE}\n# {PROSE} Licensed under the Apache License,\n#   Version 2.0 (the \"License\"); you may not use this\n"
+        f"# file except in compliance with the License. {PROSE}",
+        f"Copyright 2020 Someone\n\n{mit[1]}",
+        mit[0],
+        f"/* {gnu} */ int main() {{ return 0; }} " + PROSE,
+        " ".join([*words[:40], "dear", "reader", *words[40:90], *words[93:]]),
+        bsd.replace("copyright holder", "University") + PROSE,
+        " ".join(words[: len(words) // 3]),
+        " ".join([PROSE, *words[80:]]),
+        "free of charge and free software are hereby granted " * 200,
+        " ".join(w for w, x in zip(words, words[1:]) for w in (w, "and")),
+    ]
+    got = licenses.find_licenses(documents(list(enumerate(texts)))).collect()
+    for row in got:
+        want = plain_licences(texts[row.doc_id])
+        assert row.licenses == ",".join(sorted(want)), texts[row.doc_id]
+        assert row.best_score == max(want.values(), default=0.0)
+    found = {r.doc_id: r for r in got}
+    assert [found[i].best_license for i in range(8)] == [
+        "MIT", "MIT", "Apache-2.0", "MIT", "MIT", "GPL-3.0", "MIT", "BSD-3-Clause"
+    ]
+    assert all(found[i].best_license is None for i in (10, 11))
+    assert {found[i].best_score for i in (0, 1, 3, 4, 5)} == {1.0}
+
+
+def test_licences_each_template_finds_itself(documents):
+    rows = [(i, f"{PROSE} {t} {PROSE}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    for row in licenses.find_licenses(documents(rows)).collect():
+        assert row.best_score == 1.0 and licenses.TEMPLATES[row.doc_id][0] in row.licenses.split(",")
+
+
 # 4 SimHash
 
 
