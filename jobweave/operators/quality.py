@@ -123,9 +123,14 @@ def both_ports(applications: DataFrame, ports: DataFrame, name: str) -> DataFram
     return _result(counted, name, ok, apps="_apps", ep="_ep", bp="_bp")
 
 
+def has_null(keys: Sequence[str]) -> Column:
+    """Some part of the key is NULL."""
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
 def key_report(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Rows with a NULL in the key, and keys held by several rows."""
-    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    null_key = has_null(keys)
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum(F.when(null_key, F.col("_n"))), F.lit(0)).cast("bigint").alias("null_keys"),
@@ -135,7 +140,11 @@ def key_report(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 def check_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """A declared key holds: no NULL part, no duplicate."""
-    report = key_report(df, keys, name)
+    return key_verdict(key_report(df, keys, name), name)
+
+
+def key_verdict(report: DataFrame, name: str) -> DataFrame:
+    """The check that a report of a key amounts to."""
     ok = (F.col("null_keys") == 0) & (F.col("duplicate_keys") == 0)
     return _result(report, name, ok, nulls="null_keys", dupes="duplicate_keys")
 

@@ -241,5 +241,8 @@ class TableSet:
             if PART not in stored.columns:
                 stored = stored.withColumn(PART, run_part(F.col(RUN))).filter(~F.col(RUN).eqNullSafe(F.lit(run_id)))
             others = stored.join(dealt.select(PART).distinct(), PART, "left_anti")
-            self._write_dealt(self._next(name), others.unionByName(dealt, allowMissingColumns=True))
+            rows = others.unionByName(dealt, allowMissingColumns=True)
+            # Without a part, a dealt version would have no file that tells its columns.
+            if not rows.isEmpty():
+                self._write_dealt(self._next(name), rows)
         return self.read(name)

@@ -112,3 +112,14 @@ def test_a_run_replaces_only_its_own_part(spark, tmp_path):
     tables.replace_run("r", edges("1", "again", 3).select("id", "run_id", "first"), "1", "y")
     assert sorted(r.first for r in tables.read("r").collect()) == ["again"] * 3 + ["x"] * 20
     assert sum(files(tmp_path / "r")[p] == before[p] for p in before) == 1
+
+
+def test_runs_without_rows_leave_a_table_that_can_be_read(spark, tmp_path):
+    tables = TableSet(spark, str(tmp_path))
+    none = spark.createDataFrame([], "run_id string, n int")
+    for run in ("r1", "r2", "r3"):
+        tables.replace_run("rejected", none, run)
+    again = TableSet(spark, str(tmp_path))
+    assert again.read("rejected").columns == ["run_id", "n"] and again.read("rejected").isEmpty()
+    again.replace_run("rejected", spark.createDataFrame([("r2", 1)], "run_id string, n int"), "r2")
+    assert [tuple(r) for r in TableSet(spark, str(tmp_path)).read("rejected").collect()] == [("r2", 1)]
