@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,3 +131,121 @@ def ingest_chain(spark: SparkSession, folder: str) -> DataFrame:
                  cell("row", "folder_id"), cell("row", "job_id"), cell("row", "condition_name"))
         )
     )
+
+
+#: A priority of orders stands for a role, as extracts spell it; the role it is stored as is NULL if there is none such.
+_ROLES = {
+    "1-URGENT": ("cto", "CTO"),
+    "2-HIGH": ("bio", "Backup Information Owner"),
+    "3-MEDIUM": ("Risk Manager", "Risk Manager"),
+    "4-NOT SPECIFIED": ("Chief Dreamer", None),
+    "5-LOW": ("L2 Ops Manager", "L2 Operate Manager"),
+}
+
+
+def _reference(spark: SparkSession, folder: str) -> dict[str, Source]:
+    """Regions as lines of business, nations as product lines, parts as products, suppliers as teams,
+    customers as applications, orders as contacts.
+
+    One region has an impossible confidence, and some products belong to a line that is not there.
+    """
+    region, nation, part = F.col("r_regionkey"), F.col("n_nationkey"), F.col("p_partkey")
+    blank = F.lit("")
+    role = F.coalesce(*[F.when(F.col("o_orderpriority") == p, spelt) for p, (spelt, _) in _ROLES.items()])
+    sources = {
+        "catalog_lobs": ("region", {
+            "lob_id": region, "code": F.concat(F.lit("L"), region.cast("string")), "name": F.col("r_name"),
+            "reconciles_to_segment": F.when(region < 2, "CIB").otherwise(blank),
+            "reconcile_confidence": F.when(region == 4, "1.4").otherwise("0.5"),
+        }),
+        "product_lines": ("nation", {
+            "product_line_id": nation, "name": F.col("n_name"), "parent_lob_id": F.col("n_regionkey"),
+        }),
+        "products": ("part", {
+            "product_id": F.concat(F.lit("P"), part.cast("string")), "name": F.col("p_name"),
+            "parent_product_line_id": part % 30,
+        }),
+        "dev_teams": ("supplier", {
+            "team_id": F.col("s_suppkey"), "name": F.col("s_name"),
+            "jira_board_id": F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("B"), F.col("s_suppkey").cast("string"))).otherwise(blank),
+            "parent_product_id": F.concat(F.lit("P"), F.col("s_suppkey").cast("string")),
+        }),
+        "seal_applications": ("customer", {
+            "app_id": F.col("c_custkey"), "name": F.col("c_name"), "app_state": F.lit("Operate"),
+            "overall_risk_rating": F.col("c_mktsegment"),
+            "app_owner_sid": F.concat(F.lit("E"), F.col("c_nationkey").cast("string")),
+            "app_owner_name": F.col("c_name"),
+        }),
+        "seal_contacts": ("orders", {
+            "app_id": F.col("o_custkey"), "role_name": role,
+            "employee_sid": F.concat(F.lit("S"), F.col("o_orderstatus")),
+            "employee_name": F.col("o_orderstatus"),
+        }),
+    }
+    return {name: _extract(table(spark, folder, source), name, cells) for name, (source, cells) in sources.items()}
+
+
+_ROLE_SQL = " ".join(f"WHEN '{p}' THEN '{name}'" for p, (_, name) in _ROLES.items() if name)
+
+
+@query(
+    f"""
+    WITH contact AS (
+      SELECT CAST(c_custkey AS VARCHAR) AS app, 'Application Owner' AS role, 'E' || c_nationkey AS person FROM customer
+      UNION
+      SELECT CAST(o_custkey AS VARCHAR), CASE o_orderpriority {_ROLE_SQL} END AS role, 'S' || o_orderstatus
+      FROM orders WHERE role IS NOT NULL),
+    line AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_regionkey AS lob FROM nation),
+    product AS (SELECT 'P' || p_partkey AS id, p_name AS name, CAST(p_partkey % 30 AS VARCHAR) AS line FROM part),
+    team AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, 'P' || s_suppkey AS product, s_acctbal >= 0 AS board FROM supplier)
+    SELECT 'line of lob' AS kind, id AS item, CAST(lob AS VARCHAR) AS detail FROM line WHERE lob <> 4
+    UNION ALL SELECT 'product of line', id, line FROM product WHERE line IN (SELECT id FROM line)
+    UNION ALL SELECT 'team of product', id, product FROM team
+    UNION ALL SELECT 'board of team', id, 'B' || id FROM team WHERE board
+    UNION ALL SELECT 'segment of lob', CAST(r_regionkey AS VARCHAR), 'CIB' FROM region WHERE r_regionkey < 2
+    UNION ALL SELECT 'member', app || '|SEAL|' || role || '|' || person, role FROM contact
+    UNION ALL SELECT 'application state', app, any_value(c_mktsegment) || ' ["' || string_agg(DISTINCT person, '","' ORDER BY person) || '"]'
+      FROM contact JOIN customer ON CAST(c_custkey AS VARCHAR) = app GROUP BY app
+    UNION ALL SELECT 'product state', coalesce(p.id, t.product), coalesce(p.name, '')
+      FROM product p FULL JOIN (SELECT DISTINCT product FROM team) t ON t.product = p.id
+    UNION ALL SELECT 'lob state', CAST(r_regionkey AS VARCHAR),
+           '["' || (SELECT string_agg(id, '","' ORDER BY id) FROM line WHERE lob = r_regionkey) || '"]'
+      FROM region WHERE r_regionkey <> 4
+    UNION ALL SELECT 'rejected', CAST(r_regionkey AS VARCHAR), '' FROM region WHERE r_regionkey = 4
+    UNION ALL SELECT 'rejected', CAST(o_custkey AS VARCHAR), 'Chief Dreamer' FROM orders
+      WHERE CASE o_orderpriority {_ROLE_SQL} END IS NULL
+    UNION ALL SELECT 'unmatched', id, CAST(lob AS VARCHAR) FROM line WHERE lob = 4
+    UNION ALL SELECT 'unmatched', id, line FROM product WHERE line NOT IN (SELECT id FROM line)
+    """
+)
+def refresh_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Vocabularies, then the reference chain and its snapshots over six tables: edges, members, states, lost rows."""
+    tables = TableSet(spark, StagedFolder(spark, "refresh-chain").root)
+    chains.bootstrap(tables)
+    chains.refresh_reference(tables, _reference(spark, folder), RunClock("refresh-chain", "2026-01-05 06:00:00"))
+
+    def told(kind: str, name: str, item: Column, detail: Column) -> DataFrame:
+        return tables.read(name).select(
+            F.lit(kind).alias("kind"), item.alias("item"), F.coalesce(detail, F.lit("")).alias("detail")
+        )
+
+    def cell(row: str, *names: str) -> Column:
+        return F.coalesce(*[F.get_json_object(row, f"$.{n}") for n in names])
+
+    key = F.col("entity_key")
+    state = F.concat_ws(" ", cell("state_json", "risk_level"), cell("state_json", "contact_ids"))
+    parts = (
+        told("line of lob", "has_product_line", F.col("product_line_id"), F.col("lob_id")),
+        told("product of line", "has_product", F.col("product_id"), F.col("product_line_id")),
+        told("team of product", "has_dev_team", F.col("team_id"), F.col("product_id")),
+        told("board of team", "has_jira_board", F.col("team_id"), F.col("board_id")),
+        told("segment of lob", "reconciles_to", F.col("lob_id"), F.col("segment_code")),
+        told("member", "of_role", F.col("membership_id"), F.col("role_name")),
+        told("application state", "application_snapshot", key, state),
+        told("product state", "product_snapshot", key, cell("state_json", "name")),
+        told("lob state", "catalog_lob_snapshot", key, cell("state_json", "product_line_ids")),
+        told("rejected", "rejected_row", cell("raw", "lob_id", "app_id"), cell("raw", "role_name")),
+        told("unmatched", "unmatched_row", cell("row", "product_id", "product_line_id"),
+             cell("row", "parent_product_line_id", "parent_lob_id")),
+    )
+    return reduce(DataFrame.unionByName, parts)
