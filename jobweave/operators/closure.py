@@ -267,6 +267,11 @@ def dependency_paths(
     return _report(_walk_stepwise(start, steps_from, folder, max_level, guard))
 
 
+def in_display_order(paths: DataFrame) -> DataFrame:
+    """Rows by successor and level, for a reader: a global sort. No later step needs it."""
+    return paths.orderBy("in_job_name", "recursion_level", "dependency_path")
+
+
 def shortest_edges(paths: DataFrame) -> DataFrame:
     """One edge per (successor, predecessor, condition): the least (level, path).
 

@@ -141,10 +141,14 @@ def refresh_reference(
 ) -> dict[str, dict]:
     """Catalog, applications, contacts and teams in order; then snapshots.
 
-    A missing source is skipped and reported; the chain goes on.
+    A missing source is skipped and reported; the chain goes on. The summary of
+    the segments that are active now comes first, once they are seeded.
     """
     clock = clock or RunClock()
     results: dict[str, dict] = {}
+    if tables.exists("has_business_segment"):
+        current = tables.read("has_business_segment").select("segment_code").distinct()
+        results["business_segments"] = history.active_segments(current).first().asDict()
     for name in REFERENCE_STAGES:
         source = sources.get(name)
         if source is None or not source.exists(tables.spark):

@@ -166,12 +166,29 @@ def stage_sources(
     folder: str | None = None,
     suffix: str = ".csv",
     queries: Mapping[str, JdbcQuery] | None = None,
+    options: Mapping[str, Mapping] | None = None,
+    order_by: Mapping[str, str] | None = None,
 ) -> dict[str, Source]:
-    """One source per stage: files of a folder, or database queries."""
-    if queries is not None:
-        return {name: Source("jdbc", queries[name]) for name in stages if name in queries}
+    """One source per stage: files of a folder, or database queries.
+
+    With both, a stage that has a query is read from the database and the others
+    from files. ``options`` and ``order_by`` give a stage its own reader options
+    (a separator, ``multi_line``) and the column that orders its rows. A stage
+    that is not among ``stages`` is refused.
+    """
+    options, order_by = options or {}, order_by or {}
+    unknown = sorted({*(queries or {}), *options, *order_by} - set(stages))
+    if unknown:
+        raise ValueError(f"no such stage: {', '.join(unknown)}")
     kind = "parquet" if suffix.startswith(".parquet") else "delimited"
-    return {name: Source(kind, f"{folder}/{name}{suffix}") for name in stages}
+    sources = {}
+    for name in stages:
+        extra = {"options": options.get(name, {}), "order_by": order_by.get(name)}
+        if name in (queries or {}):
+            sources[name] = Source("jdbc", queries[name], **extra)
+        elif folder is not None:
+            sources[name] = Source(kind, f"{folder}/{name}{suffix}", **extra)
+    return sources
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:

@@ -216,6 +216,12 @@ def test_reference_counts(reference):
     }
 
 
+def test_refresh_opens_with_the_active_segments(reference):
+    _, _, results, _ = reference
+    assert next(iter(results)) == "business_segments"
+    assert results["business_segments"] == {"active_segments": 4, "codes": ["AWM", "CCB", "CIB", "Corp"]}
+
+
 def test_reference_rows(reference):
     tables, _, _, _ = reference
     read = lambda name, key: {r[key]: r for r in tables.read(name).collect()}

@@ -140,6 +140,8 @@ def test_anchored_walk_equals_filtered_walk(spark):
     need, make = links(spark, sorted(set(consumes))), links(spark, sorted(set(produces)))
     need = need.withColumn("folder", F.when(F.col("job_id") < "3", "G1").otherwise("H1"))
     everything = closure.dependency_paths(need, make, max_level=6)
+    shown = [(r.in_job_name, r.recursion_level) for r in closure.in_display_order(everything).collect()]
+    assert shown == sorted(shown) and len(shown) == everything.count()
     expected = as_tuples(everything.filter("in_parent_table = 'G1'"))
     assert as_tuples(closure.dependency_paths(need, make, anchor_folders=["G1"], max_level=6)) == expected
     assert as_tuples(closure.dependency_paths(need, make, anchor_like="G%", max_level=6)) == expected

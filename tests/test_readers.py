@@ -63,6 +63,22 @@ def test_jdbc_options():
     assert stage_sources(["a"], "/in")["a"].location == "/in/a.csv"
 
 
+def test_each_stage_has_its_own_options_and_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k;n\n2;x\n10;y\n1;z\n")
+    (tmp_path / "b.csv").write_text("k,n\n1,p\n2,q\n")
+    sources = stage_sources(
+        ["a", "b", "c"], str(tmp_path), queries={"c": JdbcQuery("u", "select 1")},
+        options={"a": {"delimiter": ";"}, "b": {"multi_line": False}, "c": {"fetch_size": 7}}, order_by={"a": "n"},
+    )
+    assert [s.kind for s in sources.values()] == ["delimited", "delimited", "jdbc"]
+    assert sources["c"].options == {"fetch_size": 7}
+    rows = lambda name, by: [r.k for r in sources[name].read(spark).orderBy(by).collect()]
+    assert rows("a", "_seq") == ["2", "10", "1"] and rows("b", "_seq") == ["1", "2"]
+    assert list(stage_sources(["a", "b"], queries={})) == []
+    with pytest.raises(ValueError, match="no such stage: d"):
+        stage_sources(["a"], "/in", options={"d": {}})
+
+
 def test_versioned_tables(spark, tmp_path):
     tables = TableSet(spark, str(tmp_path / "t"))
     assert not tables.exists("n") and tables.read_or_none("n") is None
