@@ -294,10 +294,11 @@ def _visits(
     max_level: int,
     inside: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, _at, _path, _level): the least path from each start to each name it reaches.
+    """(keys, _at, _path, _ends, _level): the least path from each start to each name it reaches.
 
     ``first`` holds the names one hop away. The walk is breadth first and never
     enters a name in the ``avoided`` columns. A shortest path repeats no name.
+    ``_ends`` comes with the hop to a name, see :func:`_plain_ends`.
 
     With ``inside`` (_outer, _inners), a name also bars those that lie inside
     it. A place is then a name and the set of names barred on the way there
@@ -313,15 +314,17 @@ def _visits(
         onward = frontier.join(name_hops, F.col("_at") == F.col("_from"))
         for name in avoided:
             onward = onward.filter(F.col("_to") != F.col(name))
-        path = F.min(F.concat("_path", F.lit(ARROW), "_to")).alias("_path")
+        onward = onward.drop("_ends").withColumnRenamed("_hop_ends", "_ends")
+        path = F.concat("_path", F.lit(ARROW), "_to")
         if inside is None:
-            reached = onward.groupBy(*keys, F.col("_to").alias("_at")).agg(path)
-            seen = folder.read(schema, part).select(*place)
-            fresh = reached.join(seen, place, "left_anti")
+            reached = onward.select(*keys, F.col("_to").alias("_at"), path.alias("_path"), "_ends")
+            fresh = _unvisited(reached, folder.read(schema, part), place)
         else:
             onward = onward.filter(~F.array_contains("_barred", F.col("_to")) & ~_on_path("_to"))
             onward = _barring(onward, inside, "_to")
-            reached = onward.groupBy(*keys, F.col("_to").alias("_at"), "_barred").agg(path)
+            least = F.min(F.struct(path.alias("_path"), "_ends")).alias("_least")
+            reached = onward.groupBy(*keys, F.col("_to").alias("_at"), "_barred").agg(least)
+            reached = reached.select(*place, "_barred", "_least.*")
             seen = folder.read(schema, part).select(*place, F.col("_barred").alias("_less"))
             reached, seen = reached.alias("r"), seen.alias("s")
             same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in place]
@@ -331,6 +334,99 @@ def _visits(
     return folder.read(schema, part)
 
 
+def _unvisited(reached: DataFrame, visits: DataFrame, place: Sequence[str]) -> DataFrame:
+    """The least of the paths to each place not in ``visits``.
+
+    Places seen before join the same grouping, without their paths, so paths
+    are moved and sorted once.
+    """
+    seen = visits.select(*place, *[F.lit(None).cast(reached.schema[c].dataType).alias(c) for c in ("_path", "_ends")])
+    least = F.min(F.when(F.col("_path").isNotNull(), F.struct("_path", "_ends"))).alias("_least")
+    both = reached.unionByName(seen).repartition(*place[:-1])
+    found = both.groupBy(*place).agg(least, F.bool_or(F.col("_path").isNull()).alias("_seen"))
+    return found.filter(~F.col("_seen")).select(*place, "_least.*")
+
+
+def _visits_between_names(
+    first: DataFrame, folder: StagedFolder, part: str, max_level: int
+) -> DataFrame:
+    """:func:`_visits` where each start has a name of its own and all names that lead on are among the starts.
+
+    A path of some hops is a first hop and then a path of one hop less from
+    there, which is known: so visits move by their start, where neighbouring
+    rows share most of their text and take little room, and not by their end.
+    """
+    frontier, count = folder.write(first, f"{part}/_level=1")
+    schema = T.StructType([*first.schema.fields, T.StructField("_level", T.IntegerType())])
+    hops = frontier.select(*_START, F.col("_at").alias("_via"))
+    level = 1
+    while count and level < max_level:
+        level += 1
+        further = frontier.select(
+            F.col("in_job_name").alias("_via"), "_at", F.col("_path").alias("_rest"), "_ends"
+        )
+        path = F.concat("in_job_name", F.lit(ARROW), "_rest").alias("_path")
+        reached = hops.join(further, "_via").filter(F.col("_at") != F.col("in_job_name"))
+        fresh = _unvisited(
+            reached.select(*_START, "_at", path, "_ends"), folder.read(schema, part), [*_START, "_at"]
+        )
+        frontier, count = folder.write(fresh, f"{part}/_level={level}")
+    return folder.read(schema, part)
+
+
+def _visits_from_all(
+    first: DataFrame, name_hops: DataFrame, folder: StagedFolder, max_level: int
+) -> DataFrame:
+    """:func:`_visits` where every job starts.
+
+    Jobs that share their name walk on their own: the way on from a name is
+    that of all its jobs, and may lead through the name again for one of them.
+    """
+    jobs = first.select(*_START).distinct().groupBy("in_job_name").agg(F.count(F.lit(1)).alias("_jobs"))
+    shared, number = folder.write(jobs.filter(F.col("_jobs") > 1).select("in_job_name"), "shared")
+    if not number:
+        return _visits_between_names(first, folder, "visits", max_level)
+    several = first.join(shared, "in_job_name", "left_semi").select(first.columns)
+    alone = first.join(shared, "in_job_name", "left_anti").select(first.columns)
+    # The hops of a shared name, under no job, serve those who come by.
+    mark = F.lit(None).cast("string")
+    by_name = name_hops.join(shared, F.col("_from") == F.col("in_job_name"), "left_semi").select(
+        mark.alias("in_parent_table_id"), mark.alias("in_job_id"), F.col("_from").alias("in_job_name"),
+        F.col("_to").alias("_at"), F.concat("_from", F.lit(ARROW), "_to").alias("_path"), F.col("_hop_ends").alias("_ends"),
+    )
+    names = _visits_between_names(alone.unionByName(by_name), folder, "visits", max_level)
+    own = _visits(several, name_hops, folder, "several", _START, ["in_job_name"], max_level)
+    return names.join(shared, "in_job_name", "left_anti").select(own.columns).unionByName(own)
+
+
+#: Conditions and jobs that a name may bring along on a walk.
+_MOST_ENDS = 16
+
+
+def _plain_ends(direct: DataFrame, first: DataFrame) -> DataFrame:
+    """(_at, _ends): names that all who wait for them wait for alike, with their (condition, job) pairs.
+
+    Each visit of such a name is an edge of each pair, at the visit's level and
+    with its path: no other way to the pair is nearer. A job with several names
+    has no such name, nor has a name with many pairs.
+    """
+    pairs = direct.select(*_START, "out_condition", *_PREDECESSOR[1:]).distinct()
+    job = ["dependent_table_id", "dependent_job_id"]
+    ends = pairs.groupBy("dependent_job", "out_condition", *job).agg(F.count(F.lit(1)).alias("_waiting"))
+    several = ends.groupBy(*job).agg((F.min("dependent_job") == F.max("dependent_job")).alias("_one_name"))
+    starts = first.groupBy(F.col("_at").alias("dependent_job")).agg(F.count(F.lit(1)).alias("_starts"))
+    marked = ends.join(several, job, "left").join(starts, "dependent_job", "left")
+    alike = F.coalesce(F.col("_one_name") & (F.col("_waiting") == F.col("_starts")), F.lit(False))
+    plain = marked.groupBy("dependent_job").agg(F.bool_and(alike).alias("_plain"), F.count(F.lit(1)).alias("_number"))
+    plain = plain.filter(F.col("_plain") & (F.col("_number") <= _MOST_ENDS)).select("dependent_job")
+    pair = F.struct("dependent_table_id", "dependent_job_id", "out_condition")
+    return (
+        ends.join(plain, "dependent_job", "left_semi")
+        .groupBy(F.col("dependent_job").alias("_at"))
+        .agg(F.array_sort(F.collect_list(pair)).alias("_ends"))
+    )
+
+
 def _on_path(name: str) -> Column:
     """Whether a name is found between the arrows of ``_path``; one found in error costs a walk, not a row."""
     whole = F.concat(F.lit(ARROW), "_path", F.lit(ARROW))
@@ -363,8 +459,8 @@ def _meets_arrow(name: str) -> Column:
     return met
 
 
-#: Letters of the pieces by which names are looked up in one another.
-_PIECE = 3
+#: Letters of the pieces by which names are looked up in one another: fewer would be in too many names.
+_PIECE = 8
 
 
 def _names_inside(names: DataFrame) -> DataFrame:
@@ -372,10 +468,17 @@ def _names_inside(names: DataFrame) -> DataFrame:
 
     A name is looked up by the one of its pieces that the fewest names hold,
     and each name that holds the piece is then searched for it. So a name costs
-    its length, and a piece that all names share leads nowhere.
+    its length, and a piece that all names share leads nowhere. Names of one
+    length are not inside one another, and none is taken apart.
     """
-    names = names.filter(F.char_length("name") > 0)
-    sized = names.select("name", F.explode(F.sequence(F.lit(1), F.least(F.char_length("name"), F.lit(_PIECE)))).alias("_size"))
+    length = F.char_length("name")
+    names = names.filter(length > 0)
+    found = names.agg(F.min(length), F.max(length), F.collect_set(F.least(length, F.lit(_PIECE)))).first()
+    if found[0] == found[1]:
+        return names.select(F.col("name").alias("_outer"), F.col("name").alias("_inner")).limit(0)
+    sizes = F.array(*[F.lit(n) for n in sorted(found[2])])
+    fitting = F.filter(sizes, lambda n: n <= F.char_length("name"))
+    sized = names.select("name", F.explode(fitting).alias("_size"))
     begins = F.sequence(F.lit(1), F.char_length("name") - F.col("_size") + 1)
     pieces = (
         sized.select("name", "_size", F.explode(begins).alias("_begin"))
@@ -402,7 +505,7 @@ def _names_barred(
     pairs, number = folder.write(_names_inside(named), "pairs")
     if not number:
         return pairs
-    hops = name_hops.toDF("_outer", "_inner")
+    hops = name_hops.select(F.col("_from").alias("_outer"), F.col("_to").alias("_inner"))
     reach = bounded_reach(hops, "_outer", "_inner", max_level, pairs.select("_outer"))
     return pairs.join(reach.select("_outer", "_inner"), ["_outer", "_inner"], "left_semi")
 
@@ -452,32 +555,46 @@ def dependency_edges(
         raise ValueError(f"unknown guard {guard!r}")
     folder = StagedFolder(consumes.sparkSession, "edges")
     direct, _ = folder.write(direct_dependencies(consumes, produces, match_cyclic), "direct")
-    name_hops = direct.select(
-        F.col("in_job_name").alias("_from"), F.col("dependent_job").alias("_to")
-    ).distinct()
-    name_hops, _ = folder.write(name_hops, "hops")
+    every_job_starts = anchor_folders is None and anchor_like is None
     chosen = anchored(
         direct.withColumn("folder", F.col("in_parent_table")), anchor_folders, anchor_like
     ).drop("folder")
-    first = chosen.groupBy(*_START, F.col("dependent_job").alias("_at")).agg(
-        F.min(_path()).alias("_path")
+    reached = [*_START, F.col("dependent_job").alias("_at")]
+    ends, _ = folder.write(_plain_ends(direct, direct.select(*reached).distinct()), "ends")
+    name_hops = direct.select(
+        F.col("in_job_name").alias("_from"), F.col("dependent_job").alias("_at")
+    ).distinct()
+    name_hops = name_hops.join(ends, "_at", "left").select(
+        "_from", F.col("_at").alias("_to"), F.col("_ends").alias("_hop_ends")
     )
-    visits = _visits(first, name_hops, folder, "visits", _START, ["in_job_name"], max_level)
+    name_hops, _ = folder.write(name_hops, "hops")
+    first = chosen.groupBy(*reached).agg(F.min(_path()).alias("_path")).join(ends, "_at", "left")
+    first = first.select(*_START, "_at", "_path", "_ends")
+    if every_job_starts:
+        visits = _visits_from_all(first, name_hops, folder, max_level)
+    else:
+        visits = _visits(first, name_hops, folder, "visits", _START, ["in_job_name"], max_level)
 
     rows = [*EDGE_KEYS, "recursion_level", "dependency_path"]
-    walked, barred, inside = None, None, None
+    parts, barred, inside = [], None, None
+    job = ["in_parent_table_id", "in_job_id"]
+    renamed = chosen.groupBy(*job).agg((F.min("in_job_name") != F.max("in_job_name")).alias("_several"))
+    renamed, several = folder.write(renamed.filter("_several").select(*job), "renamed")
+    every = visits
     if guard == "substring":
-        arrows, number = folder.write(visits.filter(_meets_arrow("_at")).select(*_START).distinct(), "arrows")
+        met, number = folder.write(name_hops.filter(_meets_arrow("_to")).select(F.col("_to").alias("_at")).distinct(), "met")
+        if number:
+            arrows = visits.join(met, "_at", "left_semi").select(*_START).distinct()
+            arrows, number = folder.write(arrows, "arrows")
         if number:
             listed = _walk_stepwise(
                 chosen.join(arrows, list(_START), "left_semi"), lambda _: direct, folder, max_level, guard
             )
-            walked = listed.withColumn("dependency_path", _path()).select(*rows)
+            parts.append(listed.withColumn("dependency_path", _path()).select(*rows))
             chosen = chosen.join(arrows, list(_START), "left_anti")
+            first = first.join(arrows, list(_START), "left_anti")
             visits = visits.join(arrows, list(_START), "left_anti")
-        pairs, number = folder.write(
-            _names_barred(visits, name_hops, folder, max_level, anchor_folders is None and anchor_like is None), "inside"
-        )
+        pairs, number = folder.write(_names_barred(every, name_hops, folder, max_level, every_job_starts), "inside")
         hidden, number = folder.write(_hidden_starts(visits, pairs), "hidden") if number else (None, 0)
         if number:
             inside = pairs.groupBy("_outer").agg(F.array_sort(F.collect_set("_inner")).alias("_inners"))
@@ -488,12 +605,52 @@ def dependency_edges(
             )
             visits = visits.join(hidden, list(_START), "left_anti")
 
-    hops = direct.select(
-        F.col("in_job_name").alias("_from"), "out_condition", *_PREDECESSOR[1:]
-    ).distinct()
+    # Visits of plain names are edges as they are, unless their job starts under several names.
+    plain = _edges_of_visits(visits)
+    if several:
+        parts.append(plain.join(renamed, job, "left_semi"))
+        plain = plain.join(renamed, job, "left_anti")
+    if barred is not None:
+        parts.append(_edges_of_visits(barred))
     visits = visits.withColumn("_barred", F.array().cast("array<string>"))
     if barred is not None:
         visits = visits.unionByName(barred)
+    hops = direct.select(
+        F.col("in_job_name").alias("_from"), "out_condition", *_PREDECESSOR[1:]
+    ).distinct()
+    known = F.col("dependent_job") == F.col("_at")
+    hops, number = folder.write(hops.join(ends.select("_at"), known, "left_anti"), "other-hops")
+    if number:
+        near = chosen.join(ends.select("_at"), known, "left_anti")
+        parts += _edges_of_hops(near, first, visits, hops, name_hops, folder, max_level, hidden if barred is not None else None, inside)
+    if not parts:
+        return plain.select(*rows)
+    together = parts[0].select(*rows)
+    for part in parts[1:]:
+        together = together.unionByName(part.select(*rows))
+    return plain.select(*rows).unionByName(shortest_edges(together))
+
+
+def _edges_of_visits(visits: DataFrame) -> DataFrame:
+    """An edge of each visit to each pair its name has brought along."""
+    return visits.select(
+        "in_parent_table_id", "in_job_id", F.inline("_ends"),
+        F.col("_level").alias("recursion_level"), F.col("_path").alias("dependency_path"),
+    )
+
+
+def _edges_of_hops(
+    chosen: DataFrame,
+    first: DataFrame,
+    visits: DataFrame,
+    hops: DataFrame,
+    name_hops: DataFrame,
+    folder: StagedFolder,
+    max_level: int,
+    hidden: DataFrame | None,
+    inside: DataFrame | None,
+) -> list[DataFrame]:
+    """Edges over the last hops in ``hops``, and those of ``chosen`` that are one hop long."""
     far = (
         visits.filter(F.col("_level") < max_level)
         .join(hops, F.col("_at") == F.col("_from"))
@@ -533,23 +690,18 @@ def dependency_edges(
     around, number = folder.write(
         around.select(*_START, F.col("dependent_job").alias("_avoid")).distinct(), "around"
     )
-    parts = [certain] + ([walked] if walked is not None else [])
-    if number:
-        free = around if barred is None else around.join(hidden, list(_START), "left_anti")
-        parts.append(_edges_around(chosen, free, hops, name_hops, folder, max_level, "detours"))
-        if barred is not None:
-            held = around.join(hidden, list(_START), "left_semi")
-            parts.append(_edges_around(chosen, held, hops, name_hops, folder, max_level, "held", inside))
-    if len(parts) == 1:
-        return certain
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return shortest_edges(together)
+    if not number:
+        return [certain]
+    free = around if hidden is None else around.join(hidden, list(_START), "left_anti")
+    parts = [certain, _edges_around(first, free, hops, name_hops, folder, max_level, "detours")]
+    if hidden is not None:
+        held = around.join(hidden, list(_START), "left_semi")
+        parts.append(_edges_around(first, held, hops, name_hops, folder, max_level, "held", inside))
+    return parts
 
 
 def _edges_around(
-    direct: DataFrame,
+    first: DataFrame,
     around: DataFrame,
     hops: DataFrame,
     name_hops: DataFrame,
@@ -560,12 +712,8 @@ def _edges_around(
 ) -> DataFrame:
     """Edges to each ``_avoid`` name over the least paths that do not pass it before, nor bar it."""
     keys = (*_START, "_avoid")
-    first = (
-        direct.join(around, list(_START))
-        .filter(F.col("dependent_job") != F.col("_avoid"))
-        .groupBy(*keys, F.col("dependent_job").alias("_at"))
-        .agg(F.min(_path()).alias("_path"))
-    )
+    first = first.join(around, list(_START)).filter(F.col("_at") != F.col("_avoid"))
+    first = first.select(*keys, "_at", "_path", "_ends")
     if inside is not None:
         first = _first_barred(first, inside)
     visits = _visits(first, name_hops, folder, part, keys, ["in_job_name", "_avoid"], max_level, inside)

@@ -323,3 +323,40 @@ def test_names_inside_others(spark):
     expected = {(a, b) for a in names for b in names if b and a != b and b in a}
     rows = [tuple(r) for r in found.select("_outer", "_inner").collect()]
     assert set(rows) == expected and len(rows) == len(expected) > 100
+
+
+def staged_parts(spark, monkeypatch, make):
+    """The parts that closure writes while ``make`` runs."""
+    parts = []
+    write = closure.StagedFolder.write
+
+    def noted(folder, df, part):
+        parts.append(part)
+        return write(folder, df, part)
+
+    monkeypatch.setattr(closure.StagedFolder, "write", noted)
+    return make(), parts
+
+
+def test_visits_of_plain_names_are_edges_as_they_are(spark, monkeypatch):
+    """No grouping of all edges where all who wait for a name wait for it alike, and none to look for names inside."""
+    consumes = [("a", "S1", "1"), ("b", "M1", "2"), ("c", "N1", "3"), ("b", "S1", "1")]
+    produces = [("a", "M1", "2"), ("b", "N1", "3"), ("c", "T1", "4"), ("c", "T1", "5")]
+    expected = edges_of(brute_force(consumes, produces, "substring"))
+    need, make = links(spark, consumes), links(spark, produces)
+    for anchor in (None, "F%"):
+        edges, parts = staged_parts(
+            spark, monkeypatch, lambda: closure.dependency_edges(need, make, anchor_like=anchor)
+        )
+        assert edge_tuples(edges) == expected
+        assert "found" not in parts and "barred/_level=1" not in parts
+
+
+def test_names_reached_by_several_conditions_and_jobs_of_several_names(spark):
+    consumes = [("a", "S1", "1"), ("b", "S1", "1"), ("b", "M1", "2"), ("c", "M1", "2"), ("a", "S2", "1"), ("d", "N1", "3")]
+    produces = [("a", "M1", "2"), ("b", "N1", "3"), ("c", "N1", "3"), ("c", "N2", "3"), ("d", "M1", "9"), ("d", "S1", "1")]
+    for guard in ("substring", "exact"):
+        expected = edges_of(brute_force(consumes, produces, guard))
+        found = closure.dependency_edges(links(spark, consumes), links(spark, produces), guard=guard)
+        assert edge_tuples(found) == expected
+        assert found.count() == len(expected)
