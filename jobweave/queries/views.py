@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.operators import extras
 from jobweave.operators.upsert import require_parents
 from jobweave.queries.registry import SQL, query, table
-from jobweave.sources.files import StagedFolder
+from jobweave.sources.files import StagedFolder, child_names
 from jobweave.streaming.micro_batch import file_stream
 from jobweave.streaming.pairs import append_pairs, pair_stream
 
@@ -225,20 +225,25 @@ def pair_checks_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same pairs from two streams of files that arrive year by year.
 
     A month without its half is released when the watermark has passed it; a
-    last file far ahead lets time pass for the months at the end.
+    last file far ahead lets time pass for the months at the end. A batch takes
+    the files of a year at least, so larger tables make larger batches, not more.
     """
     arrived = StagedFolder(spark, "pairs")
+    per_batch = 4
     for name, files in zip(("data", "control"), _files(spark, folder)):
         stamped = files.withColumn("day", F.col("day").cast("timestamp"))
         stamped, _ = arrived.write(stamped, f"{name}-files")
         end = stamped.agg(F.lit(None).cast("bigint").alias("dataset"), (F.max("day") + F.expr("INTERVAL 3000 DAYS")).alias("day"))
         years = [r.year for r in stamped.select(F.year("day").alias("year")).distinct().orderBy("year").collect()]
+        before = 0
         for year in years:
             stamped.filter(F.year("day") == year).write.mode("append").parquet(f"{arrived.root}/{name}")
+            files_now = sum(child.endswith(".parquet") for child in child_names(spark, f"{arrived.root}/{name}"))
+            per_batch, before = max(per_batch, files_now - before), files_now
         last = stamped.filter("false").unionByName(end, allowMissingColumns=True)
         last.coalesce(1).write.mode("append").parquet(f"{arrived.root}/{name}")
     schema = stamped.schema
-    data, control = (file_stream(spark, f"{arrived.root}/{name}", schema, max_files=4) for name in ("data", "control"))
+    data, control = (file_stream(spark, f"{arrived.root}/{name}", schema, max_files=per_batch) for name in ("data", "control"))
     pairs = pair_stream(data, control, ["dataset", "day"], "day", "800 days", _file_checks())
     append_pairs(pairs, f"{arrived.root}/pairs", f"{arrived.root}/checkpoint").awaitTermination()
     released = spark.read.schema(pairs.schema).parquet(f"{arrived.root}/pairs").filter("dataset IS NOT NULL")

@@ -1,3 +1,4 @@
+from pathlib import Path
 from datetime import datetime, timedelta
 
 import pytest
@@ -117,3 +118,25 @@ def test_pairs_of_two_streams_equal_pairs_of_two_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("dataset IS NOT NULL").count() == got.count()
     with pytest.raises(ValueError):
         pair_stream(*streams, ["dataset"], "day", "30 days", checks)
+
+
+def test_more_files_do_not_make_more_batches(spark, tmp_path):
+    """A batch of the pair query takes the files of a year at least, however many they are."""
+    from jobweave.queries.views import pair_checks_stream
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # As if each staged file were large: none is read together with another.
+        spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        pairs = pair_checks_stream(spark, str(tmp_path))
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    root = pairs.inputFiles()[0].rsplit("/pairs/", 1)[0].removeprefix("file://")
+    years = lines.selectExpr("year(l_shipdate) AS y").distinct().count()
+    batches = [p for p in Path(root, "checkpoint", "offsets").iterdir() if p.name.isdigit()]
+    assert len(batches) <= years + 3
