@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from jobweave.operators.upsert import fixed_children
 from jobweave.queries.registry import query, table
 from jobweave.sinks.key_counts import KeyCounts
 from jobweave.sinks.tables import TableSet
+from jobweave.sinks.together import run_together
 from jobweave.sources.files import StagedFolder, stage
 from jobweave.sources.readers import literal_table
 from jobweave.sources.vocabulary import provenance_matrix
@@ -65,15 +66,19 @@ def key_checks_by_run(spark: SparkSession, folder: str) -> DataFrame:
     A row for which the condition is NULL is in the run of those that do not meet it.
     """
     tables = TableSet(spark, StagedFolder(spark, "key-counts").root)
-    reports = []
-    for name, (source, keys, first) in _LOADED_KEYS.items():
+    reports = {}
+
+    def load(name: str) -> None:
+        source, keys, first = _LOADED_KEYS[name]
         run = F.when(F.expr(first), "run-1").otherwise("run-2")
         rows = table(spark, folder, source).withColumn("run", run)
         counts = KeyCounts(tables, name, keys)
         for run_id in ("run-1", "run-2", "run-1"):
             counts.add(rows.filter(F.col("run") == run_id), run_id)
-        reports.append(counts.report(rows, name, "run"))
-    return quality.report(reports)
+        reports[name] = counts.report(rows, name, "run")
+
+    run_together(spark, [partial(load, name) for name in _LOADED_KEYS])
+    return quality.report([reports[name] for name in _LOADED_KEYS])
 
 
 @query(

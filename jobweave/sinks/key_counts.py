@@ -55,11 +55,13 @@ class KeyCounts:
             others = self.tables.stored(self.counts).filter(F.col(PART) != run_name(run_id))
             # The stored side streams past the run's hashes, which Spark may broadcast if they are few.
             doubtful = doubtful.unionByName(others.join(mine, HASH, "left_semi").select(HASH))
-        doubtful = doubtful.distinct().unionByName(none.select(HASH))
+        doubtful = doubtful.distinct().unionByName(none.select(HASH)).withColumn(RUN, run)
+        doubtful, _ = folder.write(doubtful, "doubtful")
         # Doubts first: counts without their doubts would hide a duplicate.
-        self.tables.replace_run(self.doubts, doubtful.withColumn(RUN, run), run_id)
-        self.tables.replace_run(self.counts, mine, run_id)
+        self.tables.replace_run(self.doubts, doubtful, run_id, staged=True)
+        self.tables.replace_run(self.counts, mine, run_id, staged=True)
         folder.remove("mine")
+        folder.remove("doubtful")
 
     def runs_in_doubt(self) -> list[str]:
         """The runs that hold a doubtful hash, in their order: all that a report has to read."""
@@ -75,10 +77,11 @@ class KeyCounts:
         """
         if run_col is not None:
             rows = rows.filter(F.col(run_col).isin(self.runs_in_doubt()))
-        doubtful = self.tables.read(self.doubts).select(F.col(HASH).alias("_doubt"))
-        suspects = rows.filter(~has_null(self.keys)).select(*self.keys)
-        suspects = suspects.join(doubtful, self.key_hash() == F.col("_doubt"), "left_semi")
-        return suspects.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        doubtful = self.tables.read(self.doubts).select(HASH)
+        suspects = rows.filter(~has_null(self.keys)).select(*self.keys, self.key_hash().alias(HASH))
+        # The hash is in the grouping, so rows the join has moved by it are not moved again.
+        suspects = suspects.join(doubtful, HASH, "left_semi").groupBy(HASH, *self.keys)
+        return suspects.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop(HASH)
 
     def report(self, rows: DataFrame, name: str, run_col: str | None = None) -> DataFrame:
         """What ``quality.key_report`` says of all rows."""

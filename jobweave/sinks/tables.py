@@ -211,31 +211,36 @@ class TableSet:
             kept = whole.join(new.select(*keys), list(keys), "left_anti").select(*new.columns)
             self.write_parts(name, kept.unionByName(new))
 
-    def _dealt_version(self, name: str, df: DataFrame) -> DataFrame:
-        self._write_dealt(self._next(name), df)
+    def _dealt_version(self, name: str, df: DataFrame, staged: bool = False) -> DataFrame:
+        self._write_dealt(self._next(name), df, staged)
         return self.read(name)
 
-    def _write_dealt(self, folder: str, df: DataFrame) -> None:
-        df.hint("rebalance", PART).write.partitionBy(PART).parquet(folder)
+    def _write_dealt(self, folder: str, df: DataFrame, staged: bool = False) -> None:
+        df = df if staged else df.hint("rebalance", PART)
+        df.write.partitionBy(PART).parquet(folder)
 
-    def _replace_parts(self, folder: str, df: DataFrame) -> None:
-        writer = df.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART)
+    def _replace_parts(self, folder: str, df: DataFrame, staged: bool = False) -> None:
+        df = df if staged else df.hint("rebalance", PART)
+        writer = df.write.mode("overwrite").partitionBy(PART)
         writer.option("partitionOverwriteMode", "dynamic").parquet(folder)
 
-    def replace_run(self, name: str, df: DataFrame, run_id: str, loader: str = "") -> DataFrame:
+    def replace_run(
+        self, name: str, df: DataFrame, run_id: str, loader: str = "", staged: bool = False
+    ) -> DataFrame:
         """The rows of one run (and loader) are these; the files of other runs stay as they are.
 
         A replay replaces its own rows, so it adds nothing. Without rows the
-        part that is there already stays.
+        part that is there already stays. ``staged`` rows were read from files of
+        a good size; they are one part, and are not moved to be dealt into it.
         """
         part = run_part(F.lit(f"{run_id}/{loader}" if loader else run_id))
         dealt = df.withColumn(PART, part)
         version = self.current_version(name)
         here = None if version is None else self._folder(name, version)
         if here is None:
-            return self.write(name, df) if df.isEmpty() else self._dealt_version(name, dealt)
+            return self.write(name, df) if df.isEmpty() else self._dealt_version(name, dealt, staged)
         if self._is_dealt(here) and set(df.columns) <= set(self.read(name).columns):
-            self._replace_parts(here, dealt)
+            self._replace_parts(here, dealt, staged)
         else:
             stored = self.spark.read.parquet(here)
             if PART not in stored.columns:

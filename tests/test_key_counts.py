@@ -76,3 +76,19 @@ def test_other_runs_stay_and_no_doubt_reads_no_row(spark, tmp_path):
     assert counts.runs_in_doubt() == ["late", "r1"]
     more = rows.unionByName(spark.createDataFrame([(1500, "late")], "id bigint, run string"))
     assert [tuple(r) for r in counts.duplicates(more, "run").collect()] == [(1500, 2)]
+
+
+def test_doubtful_rows_are_moved_once(spark, tmp_path):
+    """Rows the join has moved by their hash are grouped where they are; a run's staged counts are not dealt again."""
+    rows = loaded(spark, {"r1": [("x", 1.0), ("x", 1.0), ("y", 2.0)]})
+    counts = KeyCounts(TableSet(spark, str(tmp_path)), "t", ["a", "b"])
+    counts.add(rows, "r1")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        twice = counts.duplicates(rows)
+        plan = twice._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert [tuple(r) for r in twice.collect()] == [("x", 1.0, 2)]
