@@ -177,19 +177,21 @@ def split_rows(df: DataFrame, spec: RowSpec, seq: str = SEQ) -> Checked:
 def split_rows_once(df: DataFrame, spec: RowSpec, seq: str = SEQ) -> Checked:
     """As :func:`split_rows`, but the source is scanned a single time.
 
-    The checked rows are written to the shared folder in two partitions, and
-    both counts are observed during that write.
+    The checked rows are written to the shared folder as they come, with a flag
+    and the raw row of rejected ones, and both counts are observed during that
+    write. Two partitions would have each task sort all its rows by the flag.
     """
     from pyspark.sql import Observation
 
     checked = check_rows(df, spec, seq).withColumn("_ok", F.size("_errors") == 0)
+    checked = checked.withColumn("_raw", F.when(~F.col("_ok"), F.col("_raw")))
     seen = Observation()
     folder = StagedFolder(df.sparkSession, f"checked-{spec.name}")
     checked.observe(
         seen,
         F.count_if(F.col("_ok")).alias("accepted"),
         F.count_if(~F.col("_ok")).alias("rejected"),
-    ).write.partitionBy("_ok").parquet(f"{folder.root}/rows")
+    ).write.parquet(f"{folder.root}/rows")
     staged = folder.read(checked.schema, "rows")
     accepted = staged.filter(F.col("_ok")).select(seq, *spec.names)
     if spec.enrich:

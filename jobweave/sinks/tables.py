@@ -44,6 +44,11 @@ def run_name(run_id: str) -> str:
     return f"r{hashlib.sha1(run_id.encode()).hexdigest()}"
 
 
+def one_part(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Rows of a single part hold it as a constant, so that no task sorts them by it to write them."""
+    return df.withColumn(PART, F.lit(parts[0])) if len(parts) == 1 else df
+
+
 class TableSet:
     """Named tables below one root folder.
 
@@ -152,19 +157,22 @@ class TableSet:
             if here is None:
                 self.write(name, changes.drop(PART))
             return
-        if here is None or not self._is_dealt(here):
-            old = None if here is None else self._scan(here).withColumn(PART, part)
+        # As many values as buckets, or runs in the batch.
+        touched = [r[PART] for r in changes.select(PART).distinct().collect()]
+        if here is None:
+            self._write_dealt(self._next(name), one_part(changes, touched))
+            return
+        if not self._is_dealt(here):
+            old = self._scan(here).withColumn(PART, part)
             self._write_dealt(self._next(name), combine(old, changes, keyed, collapsed=True))
             return
         old = self.spark.read.parquet(here)
         if not set(changes.columns) <= set(old.columns):
             self._write_dealt(self._next(name), combine(old, changes, keyed, collapsed=True))
             return
-        # As many values as buckets, or runs in the batch.
-        touched = [r[PART] for r in changes.select(PART).distinct().collect()]
         merged = combine(old.filter(F.col(PART).isin(touched)), changes, keyed, collapsed=True, small=small)
         merged, _ = folder.write(merged, "merged")
-        self._replace_parts(here, merged)
+        self._replace_parts(here, one_part(merged, touched))
         folder.remove("merged")
         folder.remove("changes")
 
