@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+from functools import cached_property
 
 import numpy as np
 
@@ -14,7 +15,8 @@ class ByteTokenizer:
     Ordinary texts are encoded by ``tiktoken`` with the same vocabulary and
     merge order, which gives the same ids several times faster; a text that
     holds the string of a special token, or that ``tiktoken`` refuses, goes
-    through ``tokenizers`` itself. The tests compare both.
+    through ``tokenizers`` itself, which a worker loads at the first such text.
+    The tests compare both.
     """
 
     _loaded: dict[str, ByteTokenizer] = {}
@@ -22,9 +24,8 @@ class ByteTokenizer:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             self.special = [t["content"] for t in json.load(file).get("added_tokens", [])]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
@@ -33,6 +34,12 @@ class ByteTokenizer:
             "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def default_path() -> str:
         import public_tokenizers
