@@ -5,9 +5,9 @@ candidate merge is a left end, a split and a right end in a unit; each candidate
 of each occurrence of a unit has a draw of its own, and is skipped for good if
 that falls below the dropout rate, a multiple of 1/65536. The draws come from a
 counter-based generator keyed by the seed and the document's id, dealt out in the
-order of the text, so a text is cut the same way on every attempt. What is
-remembered does not choose a cut: the candidates of a unit, and the result for a
-set of skipped candidates.
+order of the text, so a text is cut the same way on every attempt. The texts of a
+batch are cut together: a unit with a set of skipped candidates once, and all such
+cases side by side. Which texts share a batch does not choose a cut.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -24,17 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import id_and_text
+from jobweave.llm.common import id_and_text, slices
+from jobweave.llm.piecetables import PieceTables, runs
 
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 11
-#: Entries in each of the two generations of a memory, of units and of cuts: when
-#: the younger is full it becomes the older, so a worker holds 4 * REMEMBERED
-#: entries of about 300 bytes at most. Longer units are not remembered.
-REMEMBERED = 250_000
+#: Units longer than this are cut one by one.
 LONG = 64
-#: Candidates of a remembered unit, whose numbers are single bytes.
+#: Characters of the texts that are cut together.
+TOGETHER = 2_000_000
+#: Candidates of a listed unit, whose numbers are single bytes.
 MOST = 256
 #: Stands for a literal blank mark, which merges with nothing; no text holds it.
 MARK = "\ud800"
@@ -52,21 +53,19 @@ class _Hashed:
         return xxhash.xxh3_64_intdigest(b"%s %d %d %d" % (self.key, *candidate)) >> 48 < self.below
 
 
-class Memory(dict):
-    """A bounded dict: what it lacks is taken from the generation before, or made."""
+def _cases(units: np.ndarray, owner: np.ndarray, skipped: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A number for each occurrence of a unit, the same only for those of one unit with the same skips.
 
-    def __init__(self, size: int) -> None:
-        self.size, self.old = size, {}
-
-    def recall(self, key, make):
-        value = self.old.get(key)
-        if value is None and (value := make(key)) is None:
-            return None
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    Occurrences with more than four skips have one each.
+    """
+    key = units << 36
+    if len(owner):
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        nth = np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner)))
+        key[owner[starts]] += np.add.reduceat(np.where(nth < 4, skipped + 1 << 9 * np.minimum(nth, 3), 0), starts)
+    crowded = np.flatnonzero(times > 4)
+    key[crowded] = -1 - crowded
+    return key
 
 
 class Segmenter:
@@ -74,7 +73,7 @@ class Segmenter:
 
     _loaded: dict[tuple, Segmenter] = {}
 
-    def __init__(self, path: str, dropout: float, seed: int, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, together: int = TOGETHER) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -93,10 +92,9 @@ class Segmenter:
                 self.pieces[i] = bytes([value])
             elif not special[i]:
                 self.pieces[i] = model.id_to_piece(i).replace(BLANK, " ").encode("utf-8")
-        self.longest = max(map(len, self.ids))
+        self.tables = PieceTables(self.ids, self.rank, size, self.bytes)
         self.cut_below = round(dropout * 65536)
-        self.seed = seed
-        self.units, self.cuts = Memory(remembered), Memory(remembered)
+        self.seed, self.together = seed, together
 
     @staticmethod
     def default_path() -> str:
@@ -119,25 +117,8 @@ class Segmenter:
             return b""
         if len(unit) > LONG:
             return None
-        text = unit.replace(BLANK, MARK).replace(" ", BLANK)
-        size, rank, longest, found = len(text), self.rank, self.longest, []
-        ends = [0] * size
-        for left in range(size - 1, -1, -1):
-            # Bit e is set if the characters from left to e can be a piece: one alone always can.
-            mine = 0
-            for end in range(left + 2, min(left + longest, size) + 1):
-                if text[left:end] in rank:
-                    mine |= 1 << end
-            if mine:
-                for split in range(left + 1, mine.bit_length() - 1):
-                    if split == left + 1 or mine >> split & 1:
-                        both = mine & ends[split]
-                        while both:
-                            end = both.bit_length() - 1
-                            both ^= 1 << end
-                            found += (left, split, end)
-            ends[left] = mine | 1 << left + 1
-        return bytes(found) if len(found) <= 3 * MOST else None
+        merges, _ = self.tables.candidates([unit])
+        return merges.tobytes() if len(merges) <= MOST else None
 
     def cut(self, unit: str, skipped=()) -> bytes:
         """Ids of one unit, two bytes each: characters merged by the agenda, the unknown as bytes."""
@@ -182,57 +163,79 @@ class Segmenter:
     def spelled(self, piece: str) -> list[int]:
         return [self.bytes[b] for b in piece.replace(MARK, BLANK).encode("utf-8")]
 
-    def recut(self, case: tuple[str, bytes, bytes]) -> bytes:
-        unit, listed, numbers = case
-        return self.cut(unit, {tuple(listed[3 * n : 3 * n + 3]) for n in numbers})
-
     def encode(self, text: str, doc_id: int | None = 0) -> bytes:
         """Ids of a whole text, four bytes each; the id and the seed choose the draws."""
-        if not text:
-            return b""
-        key = b"%d %s" % (self.seed, str(doc_id).encode())
-        units = _UNIT.findall(" " + text)
-        listed = list(map(self.units.get, units))
-        out: list[bytes] = [b""] * len(units)
-        for i, known in enumerate(listed):
-            if known is None:
-                unit = units[i]
-                found = self.units.recall(unit, self.candidates) if len(unit) <= LONG else self.candidates(unit)
-                if found is None:
-                    out[i], found = self.cut(unit, _Hashed(b"%s %d" % (key, i), self.cut_below)), b""
-                listed[i] = found
-        known = self.cuts.get
-        for i, case in enumerate(zip(units, listed, self.skips(listed, key))):
-            if not out[i]:
-                ids = known(case)
-                if ids is None:
-                    ids = self.cuts.recall(case, self.recut) if len(case[0]) <= LONG else self.recut(case)
-                out[i] = ids
-        return np.frombuffer(b"".join(out), np.uint16).astype("<u4").tobytes()
+        return self.encode_all([text], [doc_id])[0]
+
+    def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes | None]:
+        """Ids of each text, as ``encode`` gives them; null texts have none."""
+        out: list[bytes | None] = []
+        start = chars = 0
+        for stop, text in enumerate(texts, 1):
+            chars += len(text or "")
+            if chars >= self.together or stop == len(texts):
+                out += self._encode_some(texts[start:stop], doc_ids[start:stop])
+                start, chars = stop, 0
+        return out
+
+    def _encode_some(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes | None]:
+        keys = [b"%d %s" % (self.seed, str(doc_id).encode()) for doc_id in doc_ids]
+        cut_up = [_UNIT.findall(" " + text) if text else [] for text in texts]
+        stops = np.cumsum([0, *map(len, cut_up)])
+        every = list(chain.from_iterable(cut_up))
+        number = {unit: i for i, unit in enumerate(dict.fromkeys(every))}
+        units = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        # Tables take the short units; the others keep their numbers.
+        known = [unit if len(unit) <= LONG else "" for unit in number]
+        merges, counts = self.tables.candidates(known if self.cut_below else [""] * len(known))
+        first = np.cumsum(counts) - counts
+        apart = (counts > MOST) | ~np.fromiter(map(bool, known), bool, len(known))
+        counts[apart] = 0
+
+        owner, skipped = self._skipped(counts[units], stops, keys)
+        times = np.bincount(owner, minlength=len(units))
+        tabled, single = np.flatnonzero(~apart[units]), np.flatnonzero(apart[units])
+        _, sources, case = np.unique(_cases(units, owner, skipped, times)[tabled], return_index=True, return_inverse=True)
+        sources = tabled[sources]
+        rows = runs((np.cumsum(times) - times)[sources], times[sources])
+        barred = merges[first[units[owner[rows]]] + skipped[rows]]
+        ids, begin, many = self.tables.cut(known, units[sources], times[sources], barred)
+        pool, begins, sizes, held = [ids], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), len(ids)
+        begins[tabled], sizes[tabled] = begin[case], many[case]
+        for i, doc in zip(single.tolist(), (np.searchsorted(stops, single, side="right") - 1).tolist()):
+            hashed = _Hashed(b"%s %d" % (keys[doc], i - stops[doc]), self.cut_below) if self.cut_below else ()
+            pool.append(np.frombuffer(self.cut(every[i], hashed), np.uint16))
+            begins[i], sizes[i] = held, len(pool[-1])
+            held += len(pool[-1])
+        raw = np.concatenate(pool)[runs(begins, sizes)].astype("<u4").tobytes()
+        ends = (4 * np.append(0, np.cumsum(sizes))[stops]).tolist()
+        return [None if text is None else raw[a:b] for text, a, b in zip(texts, ends, ends[1:])]
+
+    def _skipped(self, sizes: np.ndarray, stops: Sequence[int], keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, number) of every skipped candidate: a draw for each candidate of a document, in order."""
+        ends = np.append(0, np.cumsum(sizes))
+        found = [np.zeros(0, np.int64)]
+        for key, start, stop in zip(keys, ends[stops[:-1]].tolist(), ends[stops[1:]].tolist()):
+            source = np.random.Philox(key=xxhash.xxh3_128_intdigest(key))
+            draws = source.random_raw((stop - start) // 4 + 1).astype("<u8", copy=False).view("<u2")[: stop - start]
+            found.append(start + np.flatnonzero(draws < self.cut_below))
+        at = np.concatenate(found)
+        owner = np.searchsorted(ends[1:], at, side="right")
+        return owner, at - ends[owner]
 
     def skips(self, listed: list[bytes], key: bytes) -> list[bytes]:
-        """The numbers of the skipped candidates of each unit: a draw for each candidate, in order."""
+        """The numbers of the skipped candidates of each unit of one document."""
         sizes = np.fromiter(map(len, listed), np.int64, len(listed)) // 3
-        ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        source = np.random.Philox(key=xxhash.xxh3_128_intdigest(key))
-        draws = source.random_raw(total // 4 + 1).astype("<u8", copy=False).view("<u2")[:total]
-        skipped = np.flatnonzero(draws < self.cut_below)
-        owner = np.searchsorted(ends, skipped, side="right")
-        numbers = (skipped - (ends - sizes)[owner]).astype(np.uint8).tobytes()
-        upto = np.searchsorted(skipped, ends).tolist()
-        return [numbers[a:b] for a, b in zip([0, *upto], upto)]
+        owner, numbers = self._skipped(sizes, np.array([0, len(listed)]), [key])
+        raw = numbers.astype(np.uint8).tobytes()
+        upto = np.searchsorted(owner, np.arange(len(listed)), side="right").tolist()
+        return [raw[a:b] for a, b in zip([0, *upto], upto)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids from ``encode``: the joined bytes without the leading blank."""
         raw = b"".join(map(self.pieces.__getitem__, ids))
         return raw.decode("utf-8", "replace")[1:]
 
-    def encoded(self, text: str | None, doc_id: int | None) -> bytes | None:
-        if text is None:
-            return None
-        return self.encode(text, doc_id)
-
     def decoded(self, ids: bytes | None) -> str | None:
         return None if ids is None else self.decode(np.frombuffer(ids, "<u4").tolist())
 
@@ -251,14 +254,14 @@ def encode(
     each occurrence; ``dropout`` 0 gives the model's own. A null text gives null
     ids, an empty text none. Repeated rows are cut alike; an empty table gives
     an empty result; other columns are not read. Memory per task: a batch of
-    texts and the remembered units and cuts.
+    texts and the arrays of ``TOGETHER`` of their characters, or of one text that is longer.
     """
     settings = (model_path or Segmenter.default_path(), dropout, seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter.shared(*settings)
-        for batch in batches:
-            raw = list(map(segmenter.encoded, batch.column(1).to_pylist(), batch.column(0).to_pylist()))
+        for batch in slices(batches):
+            raw = segmenter.encode_all(batch.column(1).to_pylist(), batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "ids"])
 
     rows = id_and_text(docs, id_col, text_col)
@@ -294,9 +297,8 @@ def with_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter.shared(*settings)
-        for batch in batches:
-            starts, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            raw = [segmenter.encoded(t, i) for t, i in zip(values, starts)]
+        for batch in slices(batches):
+            raw = segmenter.encode_all(batch.column(1).to_pylist(), batch.column(0).to_pylist())
             plain = [segmenter.decoded(r) for r in raw]
             columns = [*batch.columns, pa.array(raw, pa.binary()), pa.array(plain, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "text", "ids", "decoded"])
