@@ -72,16 +72,29 @@ def missing_role(entities: DataFrame, memberships: DataFrame, key: str, role: st
 def holder_not_among(
     left: DataFrame, right: DataFrame, key: str, person: str
 ) -> DataFrame:
-    """Holders on the left who do not appear on the right for the same entity."""
-    other = right.select(key, person).distinct()
-    return left.select(key, person).distinct().join(other, [key, person], "left_anti")
+    """Holders on the left who do not appear on the right for the same entity.
+
+    One aggregation over both sides instead of a join of two distinct ones, so
+    nothing is sorted. A missing key or person is like no other.
+    """
+    pair = [key, person]
+    # NULL counts for no match, in an aggregation as in a join.
+    complete = F.col(key).isNotNull() & F.col(person).isNotNull()
+    both = left.select(*pair, F.lit(True).alias("_left"), F.lit(False).alias("_right")).unionByName(
+        right.filter(complete).select(*pair, F.lit(False).alias("_left"), F.lit(True).alias("_right"))
+    )
+    seen = both.groupBy(*pair).agg(F.bool_or("_left").alias("_left"), F.bool_or("_right").alias("_right"))
+    return seen.filter("_left AND NOT _right").select(*pair)
 
 
 def differs_from_all(
     contact: DataFrame, child: DataFrame, key: str, person: str, other: str
 ) -> DataFrame:
-    """Keys whose contact differs from the person of every child that has one."""
-    pairs = contact.join(child.select(key, other), key)
+    """Keys whose contact differs from the person of every child that has one.
+
+    Children of a key that name the same person count once, before they are moved.
+    """
+    pairs = contact.join(child.select(key, other).distinct(), key)
     compared = pairs.groupBy(key, person).agg(
         F.bool_and(F.col(person) != F.col(other)).alias("_all_differ")
     )
