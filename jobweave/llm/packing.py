@@ -23,7 +23,7 @@ WINDOW = 1024
 END = 0
 #: Sequences of different tasks are numbered this far apart.
 STRIDE = 1 << 40
-OUT_ROWS = 4096
+OUT_ROWS = 256
 SCHEMA = (
     "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint, ids binary"
@@ -142,6 +142,8 @@ def _packed(tokenizer_path: str, window: int, end: int):
                     yield batch()
         for pieces in packer.flush():
             close(pieces)
+            if len(rows) >= OUT_ROWS:
+                yield batch()
         if rows:
             yield batch()
 
