@@ -6,27 +6,35 @@ shard by their distance to a vantage point. A search leaves out a branch whose
 distances cannot come nearer than the k-th best so far; ``factor`` below one
 shrinks that radius and prunes more, factor one keeps the search exact.
 
-Trees are built once and written as rows of the index; blocks of queries meet
-every shard, and each query's best of all shards are merged.
+Trees are built once and written as rows of the index; blocks of queries are
+written once and meet every tree without a shuffle. A task carries what it found
+for a query from tree to tree, and each query's best of all tasks are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import FloatType, _parse_datatype_string
 
+from jobweave.llm.common import slices
 from jobweave.sources.files import stage
 
 LEAF = 64
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
+#: Trees or blocks that one task writes at most, beyond the session's shuffle partitions.
+TASK_PACKS = 16
+#: Tasks, or as many as run at once, that the trees are dealt to; each returns its best of every query.
+TREE_TASKS = 64
 #: Rounding of cosines that must not prune.
 SLACK = 1e-9
 
@@ -90,29 +98,47 @@ class Tree:
                     near[child], far[child] = away[lo], away[hi - 1]
         return cls(ids[order], vectors[order], first, last, near, far)
 
+    @cached_property
+    def length(self) -> np.ndarray:
+        return np.sqrt(dot(self.vectors, self.vectors))
+
+    @cached_property
+    def unit(self) -> np.ndarray:
+        return self.vectors / self.length[:, None]
+
     def search(
-        self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float
+        self,
+        ids: np.ndarray,
+        queries: np.ndarray,
+        k: int,
+        factor: float,
+        held: tuple[np.ndarray, np.ndarray] | None = None,
     ) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, cosines) of the k best of each query, -1 where there are fewer, and pairs measured.
 
-        Queries walk together, the branch that holds most of them nearest first.
+        ``held`` has what was found in other trees; the best of both are returned.
+        Queries walk together, the branch that is nearest to most of them first.
         """
-        q_length, length = np.sqrt(dot(queries, queries)), np.sqrt(dot(self.vectors, self.vectors))
-        q_unit, unit = queries / q_length[:, None], self.vectors / length[:, None]
-        best = np.full((len(queries), k), -np.inf)
-        best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+        q_length, length, unit = np.sqrt(dot(queries, queries)), self.length, self.unit
+        q_unit = queries / q_length[:, None]
+        if held is None:
+            held = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+        best_id, best = held[0].copy(), held[1].copy()
         measured = 0
 
+        def units(who: np.ndarray) -> np.ndarray:
+            return q_unit if len(who) == len(q_unit) else q_unit[who]
+
         def offer(who: np.ndarray, a: int, b: int) -> None:
             nonlocal measured
             measured += len(who) * (b - a)
             # The matrix product only finds who may enter; scores are then added in a fixed order,
             # so equal vectors score alike wherever they lie.
-            near = q_unit[who] @ unit[a:b].T >= best[who][:, -1:] - SLACK
-            row, column = np.nonzero(near & (self.ids[a:b] != ids[who][:, None]))
+            row, column = np.nonzero(units(who) @ unit[a:b].T >= best[who][:, -1:] - SLACK)
+            other = self.ids[a + column] != ids[who[row]]
+            row, at = row[other], a + column[other]
             if not len(row):
                 return
-            at = a + column
             cosine = dot(queries[who[row]], self.vectors[at]) / (q_length[who[row]] * length[at])
             touched = np.unique(row)
             changed = who[touched]
@@ -143,36 +169,61 @@ class Tree:
                 offer(who, a, b)
                 continue
             offer(who, a, a + 1)
-            away = np.sqrt(np.maximum(2 - 2 * (q_unit[who] @ unit[a]), 0))
+            away = np.sqrt(np.maximum(2 - 2 * (units(who) @ unit[a]), 0))
             gaps = [
-                np.maximum(np.maximum(self.near[c] - away, away - self.far[c]), 0)
+                np.maximum(np.maximum(self.near[c] - away, away - self.far[c]), gap[keep])
                 for c in (2 * node + 1, 2 * node + 2)
             ]
-            # Each query takes its nearer child first, so its radius shrinks before the other.
-            inner = gaps[0] <= gaps[1]
-            for c, second in ((0, ~inner), (1, inner)):
-                pending.append((2 * node + 1 + c, who[second], gaps[c][second]))
-            for c, now in ((0, inner), (1, ~inner)):
-                pending.append((2 * node + 1 + c, who[now], gaps[c][now]))
+            # All queries take one child first: dealt by their own order they would part at every level.
+            inner = int(2 * np.count_nonzero(gaps[0] <= gaps[1]) < len(who))
+            for c in (1 - inner, inner):
+                pending.append((2 * node + 1 + c, who, gaps[c]))
         best_id[best == -np.inf] = -1
         return best_id, best, measured
 
 
-_TREE = "shard int, dims int, ids binary, vectors binary, first binary, last binary, near binary, far binary"
+_TREE = "dims int, ids binary, vectors binary, first binary, last binary, near binary, far binary"
+_BLOCK = "q_dims int, q_ids binary, q_vectors binary"
 _FOUND = "query_id bigint, vec_id bigint, score double, measured bigint"
 
 
-def _grouped(rows: DataFrame, key: str, schema: str, make) -> DataFrame:
-    """One output row per key from the vectors of each dimension that share it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        vectors = np.stack(table.column("vector").to_numpy(zero_copy_only=False)).astype(np.float64)
-        number = table.column(key)[0].as_py()
-        return pa.Table.from_pylist([make(number, ids, vectors)], arrow)
+def _packed(
+    rows: DataFrame, size: int, schema: str, make: Callable[[np.ndarray, np.ndarray], dict]
+) -> DataFrame:
+    """One row for about ``size`` vectors of a dimension, from half to one and a half times as many.
 
+    Only the last of a task and dimension may have fewer. Rows are dealt evenly whatever their ids, so
+    neither a repeated id nor a large table makes a task hold more than one pack of each dimension.
+    """
+    spark = rows.sparkSession
+    packs = max(1, -(-rows.select("id").count() // size))
+    tasks = max(-(-packs // TASK_PACKS), min(packs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return rows.groupBy(key, "dims").applyInArrow(run, schema)
+    most = size + size // 2
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for part in slices(batches):
+            for dims in pc.unique(part.column("dims")).to_pylist():
+                own = part.filter(pc.equal(part.column("dims"), dims))
+                ids, vectors = held.setdefault(dims, ([], []))
+                ids.append(own.column("id").to_numpy())
+                vectors.append(own.column("vector").flatten().to_numpy().reshape(-1, dims))
+                if sum(map(len, ids)) > most:
+                    all_ids, matrix = np.concatenate(ids), np.concatenate(vectors)
+                    while len(all_ids) > most:
+                        yield pa.RecordBatch.from_pylist([make(all_ids[:size], matrix[:size])], arrow)
+                        all_ids, matrix = all_ids[size:], matrix[size:]
+                    held[dims] = [all_ids], [matrix]
+        for ids, vectors in held.values():
+            yield pa.RecordBatch.from_pylist([make(np.concatenate(ids), np.concatenate(vectors))], arrow)
+
+    return rows.repartition(tasks).mapInArrow(run, schema)
+
+
+def _matrix(raw: pa.Buffer, dims: int, rows: int) -> np.ndarray:
+    """Vectors in double precision, from the width they were written in."""
+    return np.frombuffer(raw, f"f{raw.size // (rows * dims)}").reshape(rows, dims).astype(np.float64)
 
 
 def build_index(
@@ -185,21 +236,21 @@ def build_index(
 
     Unusable vectors take no part; null ids neither, since no result could name them.
     """
-    rows = _usable_rows(vectors, id_col, vector_col)
-    shards = max(1, -(-rows.select("id").count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
-    def make(shard: int, ids: np.ndarray, matrix: np.ndarray) -> dict:
-        tree = Tree.build(ids, matrix)
-        parts = {k: getattr(tree, k).tobytes() for k in ("ids", "vectors", "first", "last", "near", "far")}
-        return {"shard": shard, "dims": matrix.shape[1], **parts}
+    def make(ids: np.ndarray, matrix: np.ndarray) -> dict:
+        tree = Tree.build(ids, matrix.astype(np.float64))
+        parts = {n: getattr(tree, n).tobytes() for n in ("ids", "first", "last", "near", "far")}
+        return {"dims": matrix.shape[1], "vectors": tree.vectors.astype(matrix.dtype).tobytes(), **parts}
 
-    return _grouped(dealt, "shard", _TREE, make)
+    return _packed(_usable_rows(vectors, id_col, vector_col), shard_rows, _TREE, make)
 
 
 def _usable_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector, dims) of usable rows; floats stay floats until they are measured."""
+    given = vectors.select(F.col(vector_col).alias("vector")).schema["vector"].dataType
+    kind = "float" if isinstance(getattr(given, "elementType", None), FloatType) else "double"
     rows = vectors.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector")
     )
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     return rows.withColumn("dims", F.size("vector"))
@@ -207,21 +258,34 @@ def _usable_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _search(k: int, factor: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By block: its queries, and the ids and cosines of their best in all trees so far.
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        tree, opened, measured = None, (b"", b""), 0
         for batch in batches:
-            for row in batch.to_pylist():
-                dims = row["dims"]
-                tree = Tree(
-                    *(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dims)),
-                    *(np.frombuffer(row[n], np.int64) for n in ("first", "last")),
-                    *(np.frombuffer(row[n]) for n in ("near", "far")),
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                dims = row["dims"].as_py()
+                if dims != row["q_dims"].as_py():
+                    continue
+                raw = {n: x.as_buffer() for n, x in row.items() if pa.types.is_binary(x.type)}
+                if not all(raw[n].equals(pa.py_buffer(x)) for n, x in zip(("ids", "vectors"), opened)):
+                    opened = raw["ids"].to_pybytes(), raw["vectors"].to_pybytes()
+                    ids, first, last = (np.frombuffer(raw[n].to_pybytes(), np.int64) for n in ("ids", "first", "last"))
+                    near, far = (np.frombuffer(raw[n].to_pybytes()) for n in ("near", "far"))
+                    tree = Tree(ids, _matrix(raw["vectors"], dims, len(ids)), first, last, near, far)
+                block = row["block"].as_py()
+                queries = np.frombuffer(raw["q_ids"].to_pybytes(), np.int64)
+                found, cosine, pairs = tree.search(
+                    queries, _matrix(raw["q_vectors"], dims, len(queries)), k, factor, best[block][1:] if block in best else None
                 )
-                queries = np.frombuffer(row["q_ids"], np.int64)
-                matrix = np.frombuffer(row["q_vectors"]).reshape(-1, dims)
-                found, cosine, measured = tree.search(queries, matrix, k, factor)
-                hit = found.ravel() >= 0
-                columns = [np.repeat(queries, k)[hit], found.ravel()[hit], cosine.ravel()[hit]]
-                columns.append(np.where(np.arange(hit.sum()) == 0, measured, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "measured"])
+                best[block] = queries, found, cosine
+                measured += pairs
+        for queries, found, cosine in best.values():
+            hit = found.ravel() >= 0
+            columns = [np.repeat(queries, k)[hit], found.ravel()[hit], cosine.ravel()[hit]]
+            columns.append(np.where(np.arange(hit.sum()) == 0, measured, 0))
+            measured = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "measured"])
 
     return run
 
@@ -239,25 +303,23 @@ def nearest(
 
     ``score`` is the cosine of the original vectors in double precision; ties
     go to the smaller id. ``factor`` 1 finds the true nearest; less prunes
-    harder. Unusable queries give no rows; vectors of another dimension are no
-    candidates; with fewer candidates there are fewer rows. Repeated ids are
-    candidates each. Queries travel in blocks of about ``block_rows``, one copy
-    per shard, and each shard returns at most ``k`` rows per query.
+    harder, and what it finds depends on how the vectors are dealt. Unusable
+    queries give no rows; vectors of another dimension are no candidates; with
+    fewer candidates there are fewer rows. Repeated ids are candidates each.
+
+    Queries are written in blocks of about ``block_rows``. Tasks read trees and blocks again for each pair
+    of their parts, so neither is multiplied on disk, and return at most ``k`` rows per query each.
     """
-    rows = _usable_rows(queries, id_col, vector_col)
-    blocks = max(1, -(-rows.select("id").count() // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int"))
 
-    def make(block: int, ids: np.ndarray, matrix: np.ndarray) -> dict:
+    def make(ids: np.ndarray, matrix: np.ndarray) -> dict:
         order = np.argsort(ids, kind="stable")
-        parts = {"q_ids": ids[order].tobytes(), "q_vectors": matrix[order].tobytes()}
-        return {"block": block, "dims": matrix.shape[1], **parts}
-
-    packed = _grouped(dealt, "block", "block int, dims int, q_ids binary, q_vectors binary", make)
-    shards = index.agg(F.max("shard")).first()[0]
-    every = F.sequence(F.lit(0), F.lit(shards if shards is not None else 0))
-    sent = packed.withColumn("shard", F.explode(every))
-    found = index.join(sent, ["shard", "dims"]).mapInArrow(_search(k, factor), _FOUND)
+        return {"q_dims": matrix.shape[1], "q_ids": ids[order].tobytes(), "q_vectors": matrix[order].tobytes()}
+
+    packed = _packed(_usable_rows(queries, id_col, vector_col), block_rows, _BLOCK, make)
+    blocks = stage(packed.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
+    tasks = max(TREE_TASKS, index.sparkSession.sparkContext.defaultParallelism)
+    # Equal dimensions are no join key: all rows could share one.
+    found = index.coalesce(tasks).crossJoin(blocks).mapInArrow(_search(k, factor), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
