@@ -34,7 +34,7 @@ BLOCK_ROWS = 1024
 #: Trees or blocks that one task writes at most, beyond the session's shuffle partitions.
 TASK_PACKS = 16
 #: Tasks, or as many as run at once, that the trees are dealt to; each returns its best of every query.
-TREE_TASKS = 64
+TREE_TASKS = 24
 #: Rounding of cosines that must not prune.
 SLACK = 1e-9
 
@@ -55,6 +55,15 @@ def dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def dot_of_rows(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``dot(left[a], right[b])``, to the last bit: an accumulation adds one component after the other."""
+    total = np.empty(len(a))
+    for start in range(0, len(a), BLOCK_ROWS):
+        part = slice(start, start + BLOCK_ROWS)
+        total[part] = np.add.accumulate(left[a[part]] * right[b[part]], axis=1)[:, -1]
+    return total
+
+
 @dataclass
 class Tree:
     """A balanced tree over rows in tree order.
@@ -134,12 +143,17 @@ class Tree:
             measured += len(who) * (b - a)
             # The matrix product only finds who may enter; scores are then added in a fixed order,
             # so equal vectors score alike wherever they lie.
-            row, column = np.nonzero(units(who) @ unit[a:b].T >= best[who][:, -1:] - SLACK)
+            near, least = units(who) @ unit[a:b].T, best[who, -1]
+            if b - a > k and least.min() == -np.inf:
+                # Who holds fewer than k needs no more than the k best of these rows.
+                near[ids[who][:, None] == self.ids[a:b]] = -np.inf
+                least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - SLACK)
+            row, column = np.divmod(np.flatnonzero(near >= least[:, None] - SLACK), b - a)
             other = self.ids[a + column] != ids[who[row]]
             row, at = row[other], a + column[other]
             if not len(row):
                 return
-            cosine = dot(queries[who[row]], self.vectors[at]) / (q_length[who[row]] * length[at])
+            cosine = dot_of_rows(queries, who[row], self.vectors, at) / (q_length[who[row]] * length[at])
             touched = np.unique(row)
             changed = who[touched]
             of = np.concatenate([np.repeat(touched, k), row])
